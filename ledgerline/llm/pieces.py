@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 _SPACE = "▁"
 _PARTS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 _LONG = 64
-_CACHE = 150_000
+_CACHE = 600_000
 _NONE = np.iinfo(np.int64).max
 
 
