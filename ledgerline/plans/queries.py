@@ -47,14 +47,14 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 # -- panels -------------------------------------------------------------------------------
 
 
-@query(f"WITH {t.segment_sql()} SELECT series_id, date, round(value, 6) AS value FROM seg", days=("date",))
+@query(f"WITH {t.segment_sql()} SELECT series_id, date, value FROM seg", days=("date",))
 def panel_segments(spark, sf_dir):
-    return r6(t.segment_panel(spark, sf_dir))
+    return t.segment_panel(spark, sf_dir)
 
 
-@query(f"WITH {t.brand_sql()} SELECT series_id, date, round(value, 6) AS value, member, n_lines FROM brand", days=("date",))
+@query(f"WITH {t.brand_sql()} SELECT series_id, date, value, member, n_lines FROM brand", days=("date",))
 def panel_brands(spark, sf_dir):
-    return r6(t.brand_panel(spark, sf_dir))
+    return t.brand_panel(spark, sf_dir)
 
 
 @query(f"""WITH {t.brand_sql()}, days AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM brand)),
@@ -85,9 +85,9 @@ def fill_ratio_brands(spark, sf_dir):
 
 
 @query(f"""WITH {t.brand_sql()}, w AS (SELECT date FROM brand WHERE series_id IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY date HAVING count(DISTINCT series_id) = 3)
-    SELECT series_id, date, round(value, 6) AS value FROM brand WHERE date IN (SELECT date FROM w)""", days=("date",))
+    SELECT series_id, date, value FROM brand WHERE date IN (SELECT date FROM w)""", days=("date",))
 def complete_days(spark, sf_dir):
-    return r6(panels.require_complete(t.brand_panel(spark, sf_dir).select("series_id", "date", "value"), ["Brand#1", "Brand#2", "Brand#3"]))
+    return panels.require_complete(t.brand_panel(spark, sf_dir).select("series_id", "date", "value"), ["Brand#1", "Brand#2", "Brand#3"])
 
 
 @query(f"""WITH {t.segment_sql()}, {t.EVENT_SQL}, u AS (SELECT * FROM seg UNION ALL SELECT * FROM ev)
@@ -98,9 +98,9 @@ def combined_sources(spark, sf_dir):
 
 
 @query(f"""WITH {t.brand_sql()}, r AS (SELECT * FROM brand WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31')
-    SELECT series_id, date, round(value, 6) AS value, member FROM r""", days=("date",))
+    SELECT series_id, date, value, member FROM r""", days=("date",))
 def restricted_window(spark, sf_dir):
-    return r6(panels.restrict(t.brand_panel(spark, sf_dir).select("series_id", "date", "value", "member"), "1996-01-01", "1998-12-31"))
+    return panels.restrict(t.brand_panel(spark, sf_dir).select("series_id", "date", "value", "member"), "1996-01-01", "1998-12-31")
 
 
 @query(f"""WITH {t.segment_sql()}, h AS (SELECT series_id, sha256(series_id || '|' || date || '|' || round(value * 100)::BIGINT) AS d FROM seg)
@@ -179,10 +179,10 @@ def mix_volatility(spark, sf_dir):
     return r6(signals.portfolio_trailing_vol(signals.simple_returns(panel), weights, 26))
 
 
-@query(f"""WITH {t.brand_sql()} SELECT series_id, date, round(lag(value, 2) OVER w, 6) AS value, coalesce(lag(member, 2) OVER w, false) AS eligible FROM brand WINDOW w AS (PARTITION BY series_id ORDER BY date)""", days=("date",))
+@query(f"""WITH {t.brand_sql()} SELECT series_id, date, lag(value, 2) OVER w AS value, coalesce(lag(member, 2) OVER w, false) AS eligible FROM brand WINDOW w AS (PARTITION BY series_id ORDER BY date)""", days=("date",))
 def causal_eligibility(spark, sf_dir):
     known = signals.lagged_eligibility(t.brand_panel(spark, sf_dir))
-    return r6(signals.causal_shift(known, ["value"]).select("series_id", "date", "value", "eligible"))
+    return signals.causal_shift(known, ["value"]).select("series_id", "date", "value", "eligible")
 
 
 @query(f"""WITH {t.segment_sql()}, {_RET.format("seg")}, s AS (SELECT *, avg(ret) {_win(4)} AS s, lead(ret) OVER (PARTITION BY series_id ORDER BY date) AS r1 FROM ret),
