@@ -14,6 +14,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +61,15 @@ class MergeVocabulary:
                 if a is not None and b is not None:
                     merges[a * size + b] = i
         self.size, self.merges = size, merges
+        self.by_char = np.full(0x110000, self.none, np.int64)
+        self.by_char[[ord(c) for c in self.symbols]] = list(self.symbols.values())
+        self.plain = np.zeros(size, bool)  # the symbols that are pieces
+        self.plain[list(self.rank)] = True
+        self.names = [str(i) for i in range(len(proto.pieces))]
         self.pair_keys = np.array(sorted(merges), np.int64)
         self.pair_ids = np.array([merges[k] for k in self.pair_keys.tolist()], np.int64)
         self.pair_ranks = np.array([self.rank[i] for i in self.pair_ids.tolist()], np.int64)
-        self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def _finish(self, part: str, symbols: list[int], spans: list[int]) -> tuple[int, ...]:
         """Ids of the merged symbols; single characters outside the vocabulary become bytes."""
@@ -115,7 +121,7 @@ class MergeVocabulary:
     def together(self, parts: list[str]) -> list[tuple[int, ...]]:
         """Many parts: every round merges the best pair of each part that has one."""
         n = np.fromiter(map(len, parts), np.int64, len(parts))
-        sym = np.fromiter((self.symbols.get(c, self.none) for p in parts for c in p), np.int64, int(n.sum()))
+        sym = self.by_char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
         owner, span = np.repeat(np.arange(len(parts)), n), np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rank, into = self._pairs(sym, owner)
@@ -145,9 +151,14 @@ class MergeVocabulary:
                 into[here] = m
         owner, sym, span = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.lexsort((span, owner))
-        owner, sym, span = owner[order], sym[order].tolist(), span[order].tolist()
-        at = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner)).tolist()
-        return [self._finish(p, sym[a:b], span[a:b]) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)]
+        owner, sym, span = owner[order], sym[order], span[order]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        plain = np.logical_and.reduceat(self.plain[sym], starts).tolist()
+        at, sym, span = np.append(starts, len(owner)).tolist(), sym.tolist(), span.tolist()
+        return [
+            tuple(sym[a:b]) if whole else self._finish(p, sym[a:b], span[a:b])
+            for p, whole, a, b in zip(parts, plain, at[:-1], at[1:], strict=True)
+        ]
 
     def _pairs(self, sym: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, into = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
@@ -163,24 +174,18 @@ class MergeVocabulary:
         short = [p for p in new if len(p) <= _LONG]
         for k in range(0, len(short), 20_000):
             some = short[k : k + 20_000]
-            for p, ids in zip(some, self.together(some), strict=True):
-                self.cache[p] = (" ".join(map(str, ids)), ids)
+            self.cache.update(zip(some, self.together(some), strict=True))
         for p in new[len(short) :]:
-            ids = self.by_heap(p)
-            self.cache[p] = (" ".join(map(str, ids)), ids)
+            self.cache[p] = self.by_heap(p)
 
     def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """(ids as text, ids) of each text, with the end id."""
         cut = [_PARTS.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
-        self.learn({p for parts in cut for p in parts})
+        self.learn(set().union(*cut))
         out = []
         for parts in cut:
-            got = [self.cache[p] for p in parts]
-            ids: list[int] = []
-            for _, x in got:
-                ids += x
-            ids.append(self.end)
-            out.append((" ".join([*[x for x, _ in got], str(self.end)]), ids))
+            ids = [*chain.from_iterable(map(self.cache.__getitem__, parts)), self.end]
+            out.append((" ".join(map(self.names.__getitem__, ids)), ids))
         return out
 
 
