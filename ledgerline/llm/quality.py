@@ -171,24 +171,38 @@ def learn_rules(
     return rules
 
 
-def fit_rules(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[Rule]:
-    """Learn from the ``max_rows`` labelled rows (label 0 or 1 in ``quality``) of least hash.
+def labelled_sample(statistics: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(_h, doc_id, quality, ratios ...) of at most ``max_rows`` labelled rows.
 
-    The sample is the bound on what the driver holds: ``max_rows`` rows of ten ratios.  Null
-    labels and labels without a document take no part; without any, the list is empty.
+    Where there are more labels, those under a threshold of their hash are drawn, so that 0.95 of
+    ``max_rows`` are expected, before the join: no task sends more than its share of the sample.
+    The limit behind it only matters where one doc_id carries very many of the labels.
     """
+    named = labels.where("quality is not null").select(
+        F.xxhash64(F.lit("quality"), "doc_id").alias("_h"), F.col("doc_id").alias("_id"), "quality"
+    )
+    n = named.count()
+    if n > max_rows:
+        named = named.where(F.col("_h") < F.lit(int(0.95 * max_rows / n * 2**64) - 2**63))
     ratios = features()
-    sample = (
-        labels.where("quality is not null").select(F.col("doc_id").alias("_id"), "quality")
-        .join(statistics, F.col("_id") == F.col("doc_id"))
-        .select(F.xxhash64(F.lit("quality"), "doc_id").alias("_h"), "doc_id", "quality", *[c.alias(k) for k, c in ratios.items()])
+    return (
+        named.join(statistics, F.col("_id") == F.col("doc_id"))
+        .select("_h", "doc_id", "quality", *[c.alias(k) for k, c in ratios.items()])
         .orderBy("_h", "doc_id", "quality", *ratios)
         .limit(max_rows)
-        .toPandas()
     )
+
+
+def fit_rules(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[Rule]:
+    """Learn from at most ``max_rows`` labelled rows (label 0 or 1 in ``quality``), drawn by hash.
+
+    The sample is the bound on what the driver holds: ``max_rows`` rows of ten ratios.  Null
+    labels and labels without a document take no part; without any, the list is empty.
+    """
+    sample = labelled_sample(statistics, labels, max_rows).toPandas()
     if sample.empty:
         return []
-    x = {k: sample[k].to_numpy(float) for k in ratios}
+    x = {k: sample[k].to_numpy(float) for k in features()}
     return learn_rules(x, (sample["quality"] == 0).to_numpy(), (sample["_h"].to_numpy() % 3 == 0))
 
 

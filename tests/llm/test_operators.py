@@ -203,6 +203,15 @@ def test_quality_counts(spark):
         assert quality.text_counts(r[1])[:5] == plain_counts(r[1])
 
 
+def test_quality_sample_is_bounded(spark):
+    stats = quality.text_statistics(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))).cache()
+    labels = stats.select("doc_id", F.lit(1).alias("quality"))
+    sizes = [quality.labelled_sample(stats, labels, n).count() for n in (4000, 1000, 1)]
+    assert sizes[0] == 4000 and 800 <= sizes[1] <= 1000 and sizes[2] <= 1
+    same = labels.withColumn("doc_id", F.lit(7).cast("long"))  # one document with every label
+    assert quality.labelled_sample(stats, same, 1000).count() <= 1000
+
+
 def test_quality_learns_ordered_rules(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta."]) + str(rng.randrange(500)) for _ in range(60)) for _ in range(150)]
