@@ -17,6 +17,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ _SPACE = "▁"
 _PARTS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 _LONG = 64
 _CACHE = 600_000
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 
 
 class MergeVocabulary:
@@ -61,14 +62,16 @@ class MergeVocabulary:
                 if a is not None and b is not None:
                     merges[a * size + b] = i
         self.size, self.merges = size, merges
-        self.by_char = np.full(0x110000, self.none, np.int64)
+        self.by_char = np.full(0x110000, self.none, np.int32)
         self.by_char[[ord(c) for c in self.symbols]] = list(self.symbols.values())
         self.plain = np.zeros(size, bool)  # the symbols that are pieces
         self.plain[list(self.rank)] = True
         self.names = [str(i) for i in range(len(proto.pieces))]
-        self.pair_keys = np.array(sorted(merges), np.int64)
-        self.pair_ids = np.array([merges[k] for k in self.pair_keys.tolist()], np.int64)
-        self.pair_ranks = np.array([self.rank[i] for i in self.pair_ids.tolist()], np.int64)
+        self.shared = np.array(range(size), object)  # one int object per symbol, for all cached parts
+        self.pairs = pd.Index(np.array(list(merges), np.int64))
+        # one more place at the end answers for pairs that make no piece
+        self.pair_ids = np.array([*merges.values(), 0], np.int32)
+        self.pair_ranks = np.array([*(self.rank[i] for i in merges.values()), _NONE], np.int32)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _finish(self, part: str, symbols: list[int], spans: list[int]) -> tuple[int, ...]:
@@ -113,16 +116,14 @@ class MergeVocabulary:
         return self._finish(part, [sym[i] for i in spans], spans)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        hit = self.pair_keys[at] == key
-        return np.where(hit, self.pair_ranks[at], _NONE), self.pair_ids[at]
+        at = self.pairs.get_indexer(a * np.int64(self.size) + b)
+        return self.pair_ranks[at], self.pair_ids[at]
 
     def together(self, parts: list[str]) -> list[tuple[int, ...]]:
         """Many parts: every round merges the best pair of each part that has one."""
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         sym = self.by_char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
-        owner, span = np.repeat(np.arange(len(parts)), n), np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
+        owner, span = np.repeat(np.arange(len(parts), dtype=np.int32), n), (np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rank, into = self._pairs(sym, owner)
         while len(sym):
@@ -154,14 +155,14 @@ class MergeVocabulary:
         owner, sym, span = owner[order], sym[order], span[order]
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         plain = np.logical_and.reduceat(self.plain[sym], starts).tolist()
-        at, sym, span = np.append(starts, len(owner)).tolist(), sym.tolist(), span.tolist()
+        at, sym, span = np.append(starts, len(owner)).tolist(), self.shared[sym].tolist(), span.tolist()
         return [
             tuple(sym[a:b]) if whole else self._finish(p, sym[a:b], span[a:b])
             for p, whole, a, b in zip(parts, plain, at[:-1], at[1:], strict=True)
         ]
 
     def _pairs(self, sym: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank, into = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
+        rank, into = np.full(len(sym), _NONE, np.int32), np.zeros(len(sym), np.int32)
         r, m = self._ranks(sym[:-1], sym[1:])
         rank[:-1], into[:-1] = np.where(owner[:-1] == owner[1:], r, _NONE), m
         return rank, into
