@@ -2,13 +2,15 @@
 
 The automaton of "within k edits of some lexicon term" is the product of the trie and the
 Levenshtein automata of its terms; it is made deterministic as words walk it, and most words
-leave it after two or three letters.  Each spelling that it accepts is weighted by how often
+leave it after two or three letters.  Terms that a bounded labelled sample shows to be abusive
+join the trie without edits, since their misspellings are learned alike.  Each spelling that it accepts is weighted by how often
 labelled training documents that hold it are toxic; a hit inside quotation marks or next to a
 word of reporting counts less than one in plain running text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,10 +42,11 @@ def edits_allowed(term: str) -> int:
 class LexiconAutomaton:
     """Finds the nearest lexicon term within its allowed edits; states are made on demand."""
 
-    def __init__(self, lexicon: list[str]):
+    def __init__(self, lexicon: list[str], exact: frozenset[str] = frozenset()):
+        self.exact = exact - set(lexicon)
         self.children: list[dict[str, int]] = [{}]
         self.terms: list[str | None] = [None]
-        for term in sorted(set(lexicon)):
+        for term in sorted({*lexicon, *exact}):
             node = 0
             for ch in term:
                 if ch not in self.children[node]:
@@ -54,7 +57,7 @@ class LexiconAutomaton:
             self.terms[node] = term
         self.reach = [0] * len(self.children)  # most edits allowed to a term below the node
         for node in reversed(range(len(self.children))):
-            own = edits_allowed(self.terms[node]) if self.terms[node] else 0
+            own = self._allowed(self.terms[node]) if self.terms[node] else 0
             self.reach[node] = max([own, *(self.reach[c] for c in self.children[node].values())])
         self.alphabet = {ch for kids in self.children for ch in kids}
         self.states: dict[tuple, int] = {(): 0}
@@ -64,6 +67,9 @@ class LexiconAutomaton:
         self.start = self._state({0: 0})
         self.known: dict[str, tuple[str, int] | None] = {}
 
+    def _allowed(self, term: str) -> int:
+        return 0 if term in self.exact else edits_allowed(term)
+
     def _state(self, edits: dict[int, int]) -> int:
         """The state of trie nodes with their least edits, lexicon letters left out included."""
         todo = list(edits)
@@ -79,7 +85,7 @@ class LexiconAutomaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            found = [(d, self.terms[n]) for n, d in key if self.terms[n] and d <= edits_allowed(self.terms[n])]
+            found = [(d, self.terms[n]) for n, d in key if self.terms[n] and d <= self._allowed(self.terms[n])]
             self.accepts.append((min(found)[1], min(found)[0]) if found else None)
         return self.states[key]
 
@@ -140,12 +146,12 @@ def hits_in(text: str | None, automaton: LexiconAutomaton, window: int = 5) -> l
 _HITS = "row_id long, doc_id long, hits array<struct<spelling: string, term: string, edits: int, quoted: boolean>>"
 
 
-def toxic_hits(docs: DataFrame, lexicon: list[str], window: int = 5) -> DataFrame:
+def toxic_hits(docs: DataFrame, lexicon: list[str], window: int = 5, exact: frozenset[str] = frozenset()) -> DataFrame:
     """(row_id, doc_id, hits) for every row; row_id tells repeated rows apart."""
     kind = pa.list_(pa.struct([("spelling", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LexiconAutomaton(lexicon)
+        automaton = LexiconAutomaton(lexicon, exact)
         for b in batches:
             found = [
                 [{"spelling": s, "term": t, "edits": d, "quoted": q} for s, t, d, q in hits_in(x, automaton, window)]
@@ -157,6 +163,53 @@ def toxic_hits(docs: DataFrame, lexicon: list[str], window: int = 5) -> DataFram
     return rows.mapInArrow(scan, _HITS)
 
 
+_NAMED = "word string, context string, toxic double"
+
+
+def _named_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of each text once, with the first in order of the pairs of words around it."""
+    for b in batches:
+        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words, around = _WORD.findall((text or "").lower()), {}
+            for left, word, right in zip(["", *words], words, [*words[1:], ""], strict=False):
+                pair = f"{left} {right}"
+                if len(word) > 2 and pair < around.get(word, "\U0010ffff"):
+                    around[word] = pair
+            rows = [pa.array(list(around), pa.string()), pa.array(list(around.values()), pa.string()), pa.array([toxic] * len(around), pa.float64())]
+            yield pa.RecordBatch.from_arrays(rows, ["word", "context", "toxic"])
+
+
+def learn_terms(
+    docs: DataFrame, marked: DataFrame, max_rows: int = 10_000, max_terms: int = 1_000, share: float = 0.9, evidence: float = 12.0
+) -> list[str]:
+    """At most ``max_terms`` words, the most telling first, that mark toxic texts.
+
+    ``marked`` has (label_id, toxic); where it has more than ``max_rows`` rows, those under a
+    threshold of their hash are drawn.  A word counts once per text and once per pair of
+    neighbours, so that copies of a text count as one.  It is taken where at least ``share`` of
+    its counts are toxic and its likelihood against the overall share is above exp(``evidence``).
+    """
+    n = marked.count()
+    if n > max_rows:
+        marked = marked.where(F.xxhash64(F.lit("toxic"), "label_id") < F.lit(int(0.95 * max_rows / n * 2**64) - 2**63))
+    sample = docs.select(F.col("doc_id").alias("label_id"), "text").join(marked, "label_id")
+    n, t = marked.agg(F.count("*"), F.sum("toxic")).first()
+    if not n or not t or t == n:
+        return []
+    counts = (
+        sample.select("text", "toxic")
+        .mapInArrow(_named_words, _NAMED)
+        .groupBy("word", "context")
+        .agg(F.max("toxic").alias("toxic"))
+        .groupBy("word")
+        .agg(F.sum("toxic").alias("t"), F.count("*").cast("double").alias("n"))
+    )
+    p, clean = t / n, F.col("n") - F.col("t")
+    gain = F.col("t") * (F.log(F.col("t") / F.col("n")) - math.log(p)) + F.when(clean > 0, clean * (F.log(clean / F.col("n")) - math.log(1 - p))).otherwise(0.0)
+    telling = counts.where(F.col("t") >= share * F.col("n")).where("t > 2").withColumn("gain", gain).where(F.col("gain") >= evidence)
+    return [r[0] for r in telling.orderBy(F.desc("gain"), "word").limit(max_terms).select("word").collect()]
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, lexicon: list[str] | None = None, window: int = 5, threshold: float = 0.7
 ) -> DataFrame:
@@ -169,10 +222,11 @@ def score_toxicity(
     score.  Labels repeated for a document count once each; null labels take no part; without
     labels, exact hits weigh 0.9, near ones 0.5 and quoted ones a third of that.
     """
-    found = cut(toxic_hits(docs, list(LEXICON if lexicon is None else lexicon), window), "toxic-hits").withColumn(
+    marked = labels.where("toxic is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("double").alias("toxic"))
+    terms = frozenset(learn_terms(docs, marked.where(crc_remainder(F.col("label_id"), 3) != 1)))
+    found = cut(toxic_hits(docs, list(LEXICON if lexicon is None else lexicon), window, terms), "toxic-hits").withColumn(
         "held_out", crc_remainder(F.col("doc_id"), 3) == 1
     )
-    marked = labels.where("toxic is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("double").alias("toxic"))
     train = found.where("not held_out").join(marked, F.col("doc_id") == F.col("label_id")).select("row_id", "hits", "toxic")
     base = train.where(F.size("hits") == 0).agg(F.sum("toxic"), F.count("*")).first()
     base_rate = ((base[0] or 0.0) + 1.0) / (base[1] + 20.0)  # two numbers from the driver

@@ -294,6 +294,19 @@ def test_toxicity_scores(spark):
     assert toxicity.reject_toxic(docs, labels).count() == sum(not r["predicted"] for r in got.values())
 
 
+def test_learned_terms(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    one = "copied zworp of a copied text"
+    texts = [f"{word()} zlorm {word()}" for _ in range(20)] + [one] * 30 + [f"{word()} calm {word()}" for _ in range(100)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = docs.select(F.col("doc_id").alias("label_id"), (F.col("doc_id") < 50).cast("double").alias("toxic"))
+    assert toxicity.learn_terms(docs, marked) == ["zlorm"]
+    assert toxicity.learn_terms(docs, marked.limit(0)) == []
+    exact = toxicity.LexiconAutomaton(["stupid"], frozenset({"zlorm"}))
+    assert [exact.find(w) for w in ("zlorm", "zlarm", "stupit")] == [("zlorm", 0), None, ("stupid", 1)]
+
+
 # -- 7 languages --------------------------------------------------------------------------
 
 
