@@ -50,6 +50,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that tells rows apart, whatever their doc_id.
+ROW = "_row_key"
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a distinct number in ``ROW``, written first, so that every read has the same."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+
+
 def crc_remainder(doc_id, modulus: int):
     """``crc32(doc_id as text) mod modulus``; null ids count as remainder 0 of the empty text."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(0)) % modulus
