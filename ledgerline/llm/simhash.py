@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerline.llm._tools import cut
+from ledgerline.llm._tools import ROW, cut, with_row_keys
 
 #: Two of the four 16-bit blocks, as masks over signed 64-bit fingerprints.
 _MASKS = [(0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i, j in combinations(range(4), 2)]
@@ -134,15 +134,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     doc_id reached, null ids aside; it is null where a component has no id.  Repeated rows share
     their component.  An empty table gives an empty table; other columns are not read.
     """
-    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(F.col(text)).alias("fp")), "fingerprints")
+    return _grouped(docs, doc_id, text).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id), and with ``carry`` its columns and the root of the component."""
+    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(F.col(text)).alias("fp"), *carry), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(distinct.select("fp")))
     owner = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
     ids = owner.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = cut(owner.join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    more = ("root",) if carry else ()
+    named = cut(owner.join(ids, "root").select("fp", "component_id", *more), "components")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *more, *carry)
 
 
 def fingerprint_hex(fp: str | Column) -> Column:
@@ -151,8 +157,8 @@ def fingerprint_hex(fp: str | Column) -> Column:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group; rows without a doc_id all stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(
-        docs.where("doc_id is null")
-    )
+    """One row of each component: of the least doc_id, null ones last, the first of the table."""
+    keyed = with_row_keys(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("head")
+    heads = _grouped(keyed, "doc_id", "text", (ROW,)).groupBy("root").agg(first)
+    return keyed.join(heads.select(F.col(f"head.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)

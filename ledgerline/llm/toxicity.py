@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._tools import crc_remainder, cut
+from ledgerline.llm._tools import ROW, crc_remainder, cut, with_row_keys
 
 # Common terms of abuse, and words and marks that introduce a quotation.
 LEXICON = (
@@ -147,7 +147,7 @@ _HITS = "row_id long, doc_id long, hits array<struct<spelling: string, term: str
 
 
 def toxic_hits(docs: DataFrame, lexicon: list[str], window: int = 5, exact: frozenset[str] = frozenset()) -> DataFrame:
-    """(row_id, doc_id, hits) for every row; row_id tells repeated rows apart."""
+    """(row_id, doc_id, hits) for every row; row_id tells repeated rows apart and is ``ROW`` where there."""
     kind = pa.list_(pa.struct([("spelling", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,8 @@ def toxic_hits(docs: DataFrame, lexicon: list[str], window: int = 5, exact: froz
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["row_id", "doc_id", "hits"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
+    row_id = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(row_id.alias("row_id"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(scan, _HITS)
 
 
@@ -260,6 +261,7 @@ def score_toxicity(
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that are not predicted toxic; a doc_id that any row of which is goes whole."""
-    bad = score_toxicity(docs, labels, threshold=threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows that are not predicted toxic, each judged by its own text whatever its doc_id."""
+    keyed = with_row_keys(docs)
+    bad = score_toxicity(keyed, labels, threshold=threshold).where("predicted = 1").select(F.col("row_id").alias(ROW))
+    return keyed.join(bad, ROW, "left_anti").select(docs.columns)
