@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _OTHER = "\0other"
@@ -22,29 +22,19 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... up to where the tail is below 1e-16.
+def poisson_steps(rates: DataFrame, group: str, rate: str) -> DataFrame:
+    """(group, steps): per group P(count <= k) for k = 0, 1, ... up to where the tail is below 1e-16.
 
-    Terms are built from their logarithms, so large rates do not underflow.  A document's
-    count is the number of steps that are at or below its uniform number.
+    Terms are built from their logarithms, so large rates do not underflow, and summed by windows
+    over k, so the work grows with the number of steps.  A document's count is the number of steps
+    that are at or below its uniform number.  Groups of rate 0 have no row.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    terms = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda k: F.struct(
-            F.when(k == 0, -rate).otherwise(F.log(rate) - F.log(k.cast("double"))).alias("step"),
-        ),
-    )
-    start = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
-
-    def add(acc, term):
-        log_p = acc["log_p"] + term["step"]
-        total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
-
-    return F.when(rate > 0, F.aggregate(terms, start, add, lambda acc: acc["all"])).otherwise(
-        F.array().cast("array<double>")
-    )
+    last = F.ceil(F.col(rate) + 12 * F.sqrt(rate) + 40).cast("int")
+    terms = rates.where(F.col(rate) > 0).select(group, rate, F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    path = Window.partitionBy(group).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_factorial = F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(path)
+    share = terms.withColumn("p", F.exp(F.col("k") * F.ln(rate) - F.col(rate) - log_factorial))
+    return share.withColumn("at_most", F.sum("p").over(path)).groupBy(group).agg(F.sort_array(F.collect_list("at_most")).alias("steps"))
 
 
 def mix_sources(
@@ -73,37 +63,22 @@ def mix_sources(
     if any(w < 0 for w in (*weights.values(), rest)) or not sum(weights.values()) + rest > 0:
         raise ValueError("weights are non-negative and not all zero")
     total_weight = float(sum(weights.values()) + rest)
-    named = [name for name in weights]
-    mine = F.when(F.col(source).isin(named), F.col(source)).otherwise(F.lit(_OTHER))
-    sizes = docs.groupBy(mine.alias("_group")).agg(
-        F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("_bytes")
-    )
+    mine = F.when(F.col(source).isin(*weights), F.col(source)).otherwise(F.lit(_OTHER))
+    sizes = docs.groupBy(mine.alias("group")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
     share = F.create_map(*[x for k, w in {**weights, _OTHER: rest}.items() for x in (F.lit(k), F.lit(float(w)))])
-    wanted = F.lit(float(budget)) if budget is not None else F.sum("_bytes").over(_everything()).cast("double")
-    rates = sizes.withColumn("_wanted", wanted).select(
-        "_group",
-        F.when(
-            F.col("_bytes") > 0,
-            F.element_at(share, F.col("_group")) / total_weight * F.col("_wanted") / F.col("_bytes").cast("double"),
-        )
-        .otherwise((F.element_at(share, F.col("_group")) > 0).cast("double"))
-        .alias("_rate"),
+    weight = F.element_at(share, F.col("group"))
+    # one window over the table of rates, whose rows are bounded by the named weights
+    wanted = F.lit(float(budget)) if budget is not None else F.sum("bytes").over(Window.partitionBy(F.lit(0))).cast("double")
+    rates = sizes.withColumn("wanted", wanted).select(
+        "group", F.when(F.col("bytes") > 0, weight / total_weight * F.col("wanted") / F.col("bytes").cast("double")).otherwise((weight > 0).cast("double")).alias("rate")
     )
-    steps = rates.select("_group", poisson_steps(F.col("_rate")).alias("_steps"))
-    drawn = docs.withColumns({"_group": mine, "_u": uniform(seed, F.col("doc_id"))}).join(
-        F.broadcast(steps), "_group", "left"
+    # the whole row goes into one struct, so that no column of docs can clash with the working ones
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = docs.select(row.alias("row"), mine.alias("group"), uniform(seed, F.col("doc_id")).alias("u")).join(
+        F.broadcast(poisson_steps(rates, "group", "rate")), "group", "left"
     )
-    count = F.size(F.filter("_steps", lambda p: p <= F.col("_u")))
-    kept = [c for c in docs.columns if c != "copy"]
-    copies = drawn.withColumn("_n", count).where("_n > 0").select(
-        *kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy")
-    )
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy")))
-    return copies.withColumn("_order", key).repartition("_order").sortWithinPartitions("_order").drop("_order")
-
-
-def _everything():
-    """One window over the table of rates, whose rows are bounded by the named weights."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    count = F.size(F.filter("steps", lambda p: p <= F.col("u")))
+    copies = drawn.withColumn("n", count).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy")))
+    dealt = copies.withColumn("order", key).repartition("order").sortWithinPartitions("order")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copy"], "copy")

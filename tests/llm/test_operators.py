@@ -67,11 +67,21 @@ def test_mixing_counts_are_poisson_quantiles(spark):
         assert got.get(i, 0) == n
 
 
+def test_mixing_large_rates(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"))
+    n = mixing.mix_sources(docs, {"s": 1.0}, budget=40 * 5000.0).count()
+    assert abs(n - 200_000) < 5 * math.sqrt(200_000)
+
+
 def test_mixing_awkward_tables(spark):
     assert mixing.mix_sources(empty(spark), {"big": 1.0}).count() == 0
     out = mixing.mix_sources(documents(spark), {"big": 0.5, "absent": 0.1}, rest=0.4)
     assert out.columns == [c for c in documents(spark).columns if c != "copy"] + ["copy"] and out.count() > 0
     assert mixing.mix_sources(documents(spark), {"big": 1.0}).where("source <> 'big' or source is null").count() == 0
+    names = ["_group", "_n", "_u", "_order", "_steps", "group", "rate", "row", "u", "n", "steps", "order", "a.b"]
+    clash = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), *[F.concat(F.lit(f"{c}:"), "id").alias(c) for c in names])
+    mixed = mixing.mix_sources(clash, {"s": 1.0}, budget=200.0).collect()
+    assert mixed and all(r[c] == f"{c}:{r['doc_id']}" for r in mixed for c in names)
     with pytest.raises(ValueError):
         mixing.mix_sources(documents(spark), {"big": -1.0})
 
