@@ -1,30 +1,37 @@
-"""Shared helpers of the training-data operators: scratch tables and block-wise sums.
+"""Shared helpers of the training-data operators: scratch tables, blocks of documents, block-wise sums.
 
 ``cut`` replaces a lineage by a Parquet table in the folder that the cluster names in
-``spark.checkpoint.dir``, which every executor reaches.  ``block_sums`` answers, for sorted
-key lists of many blocks of documents, what the keys add up to over the whole corpus; it is
-how the count-min sketches and the n-gram model gather counts without one row per key.
+``spark.checkpoint.dir``, which every executor reaches; ``discard`` deletes such tables once later
+ones have replaced them, and what is left goes when the driver ends.  ``pack_blocks`` turns texts
+into blocks of token arrays, one row a block.  ``block_sums`` answers, for sorted key lists of many
+blocks, what the keys add up to over the whole corpus.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions without ``spark.checkpoint.dir`` (tests on one machine).
+#: Only where driver and executors are one process (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    """The shared folder for intermediate tables; a cluster has to name one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+    return named or LOCAL_SCRATCH
 
 
 @contextmanager
@@ -41,13 +48,43 @@ def _shuffle_files_freed(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of the written table."""
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def cut(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of the written table.
+
+    With ``bucket`` the table is dealt by that column into as many buckets as the session has
+    shuffle partitions, so that grouping by it later needs no shuffle of the table.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    table = None
     with _shuffle_files_freed(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if bucket:
+            n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"scratch_{uuid.uuid4().hex}"
+            df.repartition(n, bucket).write.option("compression", "zstd").bucketBy(n, bucket).option("path", path).saveAsTable(table)
+        else:
+            writer.parquet(path)
+    out = spark.table(table) if table else spark.read.schema(df.schema).parquet(path)
+    out._scratch = (path, table)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing will read again."""
+    for df in tables:
+        path, table = df._scratch
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        fs, at = _folder(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 #: The column that tells rows apart, whatever their doc_id.
@@ -64,15 +101,74 @@ def crc_remainder(doc_id, modulus: int):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(0)) % modulus
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts: one number, from which block and shard counts follow."""
-    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+# -- blocks -------------------------------------------------------------------------------
 
+#: A block: its number, its rows' keys, ids and lengths, and its words as places in the list of distinct ones.
+BLOCK = "block long, rows binary, ids binary, flags binary, lengths binary, tokens binary, words binary, n_docs long, n_tokens long, n_windows long"
+_BLOCK_NAMES = [x.split()[0] for x in BLOCK.split(", ")]
+#: Stands for a null doc_id: after all others.
+NO_ID = (1 << 63) - 1
 
-def into_blocks(docs: DataFrame, n_blocks: int, *more) -> DataFrame:
-    """(block, doc_id, text, more ...): rows dealt evenly by a hash of the id and the text."""
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+
+class Block(NamedTuple):
+    number: int
+    rows: np.ndarray
+    ids: np.ndarray
+    flags: np.ndarray
+    lengths: np.ndarray
+    tokens: np.ndarray
+    words: list[bytes]
+
+
+def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tuple[bytes, ...] = (), flag: Column | None = None, window: int = 1, block_bytes: int = 6 << 20) -> DataFrame:
+    """Texts as blocks of about ``block_bytes``, each task packing the rows it reads: one row a block.
+
+    ``split`` makes the words of a text; ``first`` are words that every block numbers 0, 1, ...
+    A text longer than a block is a block of its own.  ``window`` sets what n_windows counts.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+
+        def fresh():
+            return {w: i for i, w in enumerate(first)}, [], [], [], [], []
+
+        known, rows, ids, flags, lengths, parts = fresh()
+
+        def block():
+            n = np.array(lengths, np.int64)
+            arrays = [np.array(rows, np.int64), np.array(ids, np.int64), np.array(flags, np.uint8), n.astype(np.int64), np.concatenate(parts)]
+            values = [number, *[x.tobytes() for x in arrays], b"\n".join(list(known)[len(first) :]), len(n), int(n.sum()), int(np.maximum(n - window + 1, 0).sum())]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], _BLOCK_NAMES)
+
+        size = 0
+        for b in batches:
+            for row, doc, text, marked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                words = split(text or "")
+                parts.append(np.fromiter((known[w] if w in known else known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+                rows.append(row)
+                ids.append(NO_ID if doc is None else doc)
+                flags.append(bool(marked))
+                lengths.append(len(words))
+                size += len(text or "") + 32
+                if size >= block_bytes:
+                    yield block()
+                    number, size = number + 1, 0
+                    known, rows, ids, flags, lengths, parts = fresh()
+        if rows:
+            yield block()
+
+    row = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long")
+    marked = F.coalesce(flag, F.lit(False)) if flag is not None else F.lit(False)
+    return docs.select(row, F.col("doc_id").cast("long"), "text", marked.alias("flag")).mapInArrow(pack, BLOCK)
+
+
+def read_block(table: pa.Table | pa.RecordBatch, i: int = 0, first: tuple[bytes, ...] = ()) -> Block:
+    """The block in row ``i``."""
+    at = lambda name, kind: np.frombuffer(table[name][i].as_py(), kind)
+    blob = table["words"][i].as_py()
+    words = [*first, *(blob.split(b"\n") if blob else [])]
+    return Block(table["block"][i].as_py(), at("rows", np.int64), at("ids", np.int64), at("flags", np.uint8).astype(bool), at("lengths", np.int64), at("tokens", np.int32), words)
 
 
 # -- sorted key lists ---------------------------------------------------------------------
@@ -116,13 +212,26 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-#: shard, block, sorted keys, and ``n_sums`` packed count columns, one after the other.
+#: shard, block, sorted keys, and packed columns that go with them.
 REQUEST = "shard long, block long, keys binary, sums array<binary>"
-REQUEST_ARROW = pa.schema(
-    [("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("sums", pa.list_(pa.binary()))]
-)
+REQUEST_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("sums", pa.list_(pa.binary()))])
 REPLY = "block long, shard long, sums array<binary>"
-_REPLY_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("sums", pa.list_(pa.binary()))])
+REPLY_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("sums", pa.list_(pa.binary()))])
+
+
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(schema.types)], schema=schema)
+
+
+def as_batches(made: Callable[[pa.RecordBatch], pa.Table]) -> Callable:
+    """A function of one-block tables as one over Arrow batches of blocks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from made(b.slice(i, 1)).to_batches()
+
+    return each
 
 
 def shard_bounds(keys: np.ndarray, n_shards: int, bits: int) -> np.ndarray:
@@ -131,8 +240,20 @@ def shard_bounds(keys: np.ndarray, n_shards: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
+def request_rows(block: int, keys: np.ndarray, sums: list[np.ndarray], n_shards: int, bits: int = 64, pack=None) -> pa.Table:
+    """A block's sorted distinct ``keys`` with its own counts, a row for each shard it touches."""
+    at, pack = shard_bounds(keys, n_shards, bits), pack or pack_counts
+    rows = [(s, block, pack_sorted(keys[a:b]), [pack(x[a:b]) for x in sums]) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a]
+    return rows_of(rows, REQUEST_ARROW)
+
+
+def by_shard(requests: DataFrame, n_shards: int):
+    """Requests grouped by shard, dealt into as many partitions as there are shards."""
+    return requests.repartition(n_shards, "shard").groupBy("shard")
+
+
 def mapped(values: np.ndarray) -> np.ndarray:
-    """The array in an unlinked temporary file, memory-mapped: it leaves no file behind."""
+    """The array memory-mapped from a file that has no name any more, so that nothing is left behind."""
     if not len(values):
         return values
     with tempfile.TemporaryFile() as f:
@@ -141,54 +262,7 @@ def mapped(values: np.ndarray) -> np.ndarray:
         return np.memmap(f, values.dtype, "r", shape=values.shape)
 
 
-def request_rows(block: int, keys: np.ndarray, sums: list[np.ndarray], n_shards: int, bits: int) -> pa.Table:
-    """A block's sorted distinct ``keys`` with its own counts, a row for each shard it touches."""
-    at = shard_bounds(keys, n_shards, bits)
-    rows = [
-        (s, block, pack_sorted(keys[a:b]), [pack_counts(x[a:b]) for x in sums])
-        for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-        if b > a
-    ]
-    return pa.Table.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate(REQUEST_ARROW.types)], schema=REQUEST_ARROW
-    )
-
-
-def block_sums(requests: DataFrame, answer) -> DataFrame:
-    """Merge the requests of each shard and answer every block in the order of its own keys.
-
-    ``answer(totals, own)`` gets the shard's totals at the block's keys (a list of arrays), and
-    per key whether this block is the first that holds it with a count; it returns the list of
-    arrays to send back.  A shard holds an equal range of hashed keys, and a block names a key
-    once however often it holds it, so no key makes a shard large.
-    """
-
-    def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        requests_ = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-        sums = [[unpack_counts(y) for y in x] for x in table["sums"].to_pylist()]
-        keys, place = np.unique(np.concatenate(requests_), return_inverse=True)
-        counts = [np.concatenate([x[i] for x in sums]) for i in range(len(sums[0]))]
-        totals = [mapped(np.bincount(place, c.astype(np.float64), len(keys)).astype(np.uint64)) for c in counts]
-        counted = np.flatnonzero(counts[0])[::-1]
-        first = np.full(len(keys), -1, np.int64)
-        first[place[counted]] = counted
-        keys, first = mapped(keys), mapped(first)
-        del place, counts, sums
-        shard, out, at = table["shard"][0].as_py(), [], 0
-        for block, wanted in zip(table["block"].to_pylist(), requests_, strict=True):
-            mine = np.searchsorted(keys, wanted)
-            own = first[mine] == np.arange(at, at + len(wanted))
-            out.append((block, shard, [pack_counts(x) for x in answer([t[mine] for t in totals], own)]))
-            at += len(wanted)
-        return pa.Table.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate(_REPLY_ARROW.types)], schema=_REPLY_ARROW
-        )
-
-    return requests.groupBy("shard").applyInArrow(merge, REPLY)
-
-
-def read_replies(replies: pa.Table, keys: np.ndarray, n_shards: int, bits: int, n_sums: int) -> list[np.ndarray]:
+def read_replies(replies: pa.Table, keys: np.ndarray, n_shards: int, n_sums: int, bits: int = 64) -> list[np.ndarray]:
     """Put a block's replies back into the order of its sorted ``keys``."""
     at = shard_bounds(keys, n_shards, bits)
     out = [np.zeros(len(keys), np.uint64) for _ in range(n_sums)]

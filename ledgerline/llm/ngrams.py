@@ -1,14 +1,20 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model counted over the corpus.
-
-Tokens are words (A-Z lower-cased) and one end per text; the first word's context is a start
-sign.  Blocks of documents name their distinct bigrams and words as sorted hashes with their own
-training counts; shards merge them into sorted hash arrays, memory-mapped by the worker that
-answers the blocks (see ``_tools.block_sums``).  So the model is as large as the corpus makes it,
-no worker holds more than a shard, and a frequent word adds one entry per block.
+"""Perplexity by an interpolated modified Kneser-Ney n-gram model counted over the corpus.
+
+Tokens are words (A-Z lower-cased) and one end per text; contexts begin with start signs.  Blocks
+of documents name their distinct n-grams as sorted 64-bit hashes with their own training counts;
+each shard (an equal range of hashes) merges them into sorted arrays, memory-maps these and answers
+the blocks.  Orders go from the highest to single words: below the highest, an n-gram's count is
+the number of distinct words before it, and each n-gram's context learns the total and the numbers
+of its followers with a count of one, two, three or more.
+
+The shards' arrays are the model: ``train_model`` keeps them as a table in the shared folder, and
+``score_texts`` looks other texts up in it.  No worker holds more than a shard, and a frequent word
+adds one entry per block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -20,98 +26,186 @@ from pyspark.sql import functions as F
 from ledgerline.llm import _tools as t
 
 _END, _START = b"\n", b"\n\n"  # no word holds a line break
-_STATS = -1  # the shard number of rows that carry a block's summary numbers
+FIRST = (_END, _START)
+#: The block number of rows that carry a shard's summary, and of those that carry its arrays.
+_SUMMARY, _ARRAYS = -1, -2
+#: Tokens of the corpus for each shard.
+TOKENS_A_SHARD = 1 << 21
+_MIX = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
-class Plan(NamedTuple):
-    n_blocks: int
-    n_shards: int
-    bits: int
+class Grams(NamedTuple):
+    keys: np.ndarray  # sorted distinct hashes
+    at: np.ndarray  # of each token: the place of the n-gram that ends there
+    last: np.ndarray  # of each key: a token at which it ends
 
 
-class _Tokens(NamedTuple):
-    row: np.ndarray  # of each token
-    ids: np.ndarray  # of each token: its place in the block's sorted word keys
-    before: np.ndarray  # the context's place
-    keys: np.ndarray  # sorted distinct word keys
-    pairs: np.ndarray  # sorted distinct bigram keys
-    pair: np.ndarray  # of each token: its bigram's place
-    train: np.ndarray  # of each token
+def _split(text: str) -> list[bytes]:
+    return [*text.encode("utf-8", "replace").lower().split(), _END]
 
 
-def _tokens(table: pa.Table, plan: Plan) -> _Tokens:
-    known: dict[bytes, int] = {_END: 0, _START: 1}
-    texts = [x.encode("utf-8", "replace").lower().split() for x in table["text"].to_pylist()]
-    n = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
-    raw = np.fromiter((known.setdefault(w, len(known)) for x in texts for w in (*x, _END)), np.int64, int(n.sum()))
-    row = np.repeat(np.arange(len(texts)), n)
-    before = np.concatenate([[1], raw[:-1]]).astype(np.int64)
-    before[np.cumsum(n) - n] = 1
-    shift = np.uint64(64 - plan.bits)
-    full = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-    keys, place = np.unique(t.mix64(full) >> shift, return_inverse=True)
-    pairs, pair = np.unique(t.mix64(full[before] * np.uint64(0x9E3779B97F4A7C15) + full[raw]) >> shift, return_inverse=True)
-    return _Tokens(row, place[raw], place[before], keys, pairs, pair, table["train"].to_numpy(zero_copy_only=False)[row])
+def word_keys(words: list[bytes], seed: int) -> np.ndarray:
+    return t.mix64(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)))
 
 
-def _bigram_requests(table: pa.Table, plan: Plan) -> pa.Table:
-    k = _tokens(table, plan)
-    counts = np.bincount(k.pair[k.train], minlength=len(k.pairs))
-    return t.request_rows(table["block"][0].as_py(), k.pairs, [counts], plan.n_shards, plan.bits)
+def _grams(b: t.Block, n: int, seed: int) -> Grams:
+    """The n-grams that end at each token; start signs stand before the first."""
+    words = word_keys(b.words, seed)
+    before = np.arange(len(b.tokens)) - np.repeat(np.cumsum(b.lengths) - b.lengths, b.lengths)
+    hashed = words[b.tokens]
+    total = hashed.copy()
+    for k in range(1, n):
+        back = np.full(len(hashed), words[1])
+        back[k:] = hashed[:-k] if k else hashed
+        back[before < k] = words[1]
+        total += back * np.uint64(_MIX[(k - 1) % len(_MIX)] + 2 * ((k - 1) // len(_MIX)))
+    return _distinct(t.mix64(total + np.uint64(n)) if n > 1 else total)
 
 
-def _histogram(counts: np.ndarray) -> list[int]:
-    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+def _distinct(hashes: np.ndarray) -> Grams:
+    keys, at = np.unique(hashes, return_inverse=True)
+    last = np.zeros(len(keys), np.int64)
+    last[at] = np.arange(len(at))
+    return Grams(keys, at, last)
+
+
+def _contexts(b: t.Block, n: int, seed: int) -> Grams:
+    """The n-grams that end before each token: what the token stands after."""
+    if n == 0:
+        return Grams(np.zeros(1, np.uint64), np.zeros(len(b.tokens), np.int64), np.zeros(1, np.int64))
+    words = word_keys(b.words, seed)
+    before = np.arange(len(b.tokens)) - np.repeat(np.cumsum(b.lengths) - b.lengths, b.lengths)
+    hashed = words[b.tokens]
+    total = np.zeros(len(hashed), np.uint64)
+    for k in range(1, n + 1):
+        back = np.full(len(hashed), words[1])
+        back[k:] = hashed[:-k]
+        back[before < k] = words[1]
+        total += back * (np.uint64(_MIX[(k - 2) % len(_MIX)] + 2 * ((k - 2) // len(_MIX))) if k > 1 else np.uint64(1))
+    return _distinct(t.mix64(total + np.uint64(n)) if n > 1 else total)
+
+
+class Level(NamedTuple):
+    """Keys of one order in a block: those of its n-grams and of the contexts of the order above."""
+
+    keys: np.ndarray
+    gram: np.ndarray  # of each token: its n-gram's place
+    context: np.ndarray  # of each token: the place of the n words before it
 
 
-def _word_requests(table: pa.Table, replies: pa.Table, plan: Plan) -> pa.Table:
-    """Per word of the block: count, contexts it follows, count as context, and its followers by count."""
+def _level(b: t.Block, n: int, order: int, seed: int) -> Level:
+    own = _grams(b, n, seed)
+    if n == order:
+        return Level(own.keys, own.at, np.zeros(0, np.int64))
+    over = _contexts(b, n, seed)
+    keys, place = np.unique(np.concatenate([own.keys, over.keys]), return_inverse=True)
+    return Level(keys, place[: len(own.keys)][own.at], place[len(own.keys) :][over.at])
+
+
+def _first_tokens(at: np.ndarray, n: int) -> np.ndarray:
+    last = np.zeros(n, np.int64)
+    last[at] = np.arange(len(at))
+    return last
+
+
+#: Sums of an order's keys: its count, and as a context the total, the followers with counts 1, 2, 3 and more; words have their training count too.
+N_TOP, N_LOWER, N_WORDS = 1, 5, 6
+
+
+def _requests(table: pa.Table, replies: pa.Table | None, n: int, order: int, seed: int, n_shards: int) -> pa.Table:
     if not table.num_rows:
         return t.REQUEST_ARROW.empty_table()
-    k = _tokens(table, plan)
-    total, own = t.read_replies(replies, k.pairs, plan.n_shards, plan.bits, 2)
-    first = np.zeros(len(k.pairs), np.int64)
-    first[k.pair] = np.arange(len(k.pair))
-    mine = np.flatnonzero(own > 0)
-    u, v, c, n = k.before[first[mine]], k.ids[first[mine]], total[mine], len(k.keys)
-    count = lambda x: np.bincount(x, minlength=n)
-    sums = [count(k.ids[k.train]), count(v), count(k.before[k.train]), count(u[c == 1]), count(u[c == 2]), count(u[c >= 3])]
-    block = table["block"][0].as_py()
-    stats = [*_histogram(c), len(mine), int(k.train.sum())]
-    row = pa.Table.from_arrays(
-        [pa.array([_STATS]), pa.array([block]), pa.array([b""], pa.binary()), pa.array([[t.pack_counts(np.array(stats))]], pa.list_(pa.binary()))],
-        schema=t.REQUEST_ARROW,
-    )
-    return pa.concat_tables([t.request_rows(block, k.keys, sums, plan.n_shards, plan.bits), row])
-
-
-def _summaries(requests: DataFrame) -> list[int]:
-    """Sums of the blocks' summary numbers: six integers."""
+    b = t.read_block(table, 0, FIRST)
+    level = _level(b, n, order, seed)
+    count = lambda x: np.bincount(x, minlength=len(level.keys))
+    train = np.repeat(b.flags, b.lengths)
+    if n == order:
+        sums = [count(level.gram[train])]
+    else:
+        above = _level(b, n + 1, order, seed)
+        counts, own = _above(replies, above.keys, n + 1, order, n_shards)
+        token = _first_tokens(above.gram, len(above.keys))[own > 0]
+        c, into, after = counts[own > 0].astype(np.int64), level.gram[token], level.context[token]
+        weight = np.bincount(after, c.astype(np.float64), len(level.keys)).astype(np.int64)
+        sums = [count(into), weight, count(after[c == 1]), count(after[c == 2]), count(after[c >= 3])]
+        if n == 1:
+            sums.append(count(level.gram[train]))
+    return t.request_rows(b.number, level.keys, sums, n_shards)
+
+
+def _above(replies: pa.Table, keys: np.ndarray, n: int, order: int, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    sums = t.read_replies(replies, keys, n_shards, (N_TOP if n == order else N_LOWER) + 1)
+    return sums[0], sums[-1]
+
+
+def _histogram(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _merge(store: bool) -> Callable[[pa.Table], pa.Table]:
+    """Merge a shard's requests into sorted arrays and answer every block in the order of its keys.
+
+    Each block gets the totals at its keys, and of each whether it is the first block in which the
+    n-gram was counted, so that every n-gram has one owner.
+    """
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        asked = [t.unpack_sorted(x) for x in table["keys"].to_pylist()]
+        keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+        n_sums = len(table["sums"][0])
+        totals, first = [], np.full(len(keys), -1, np.int64)
+        for i in range(n_sums):
+            counts = np.concatenate([t.unpack_counts(x[i]) for x in table["sums"].to_pylist()])
+            if i == 0:
+                counted = np.flatnonzero(counts)[::-1]
+                first[place[counted]] = counted
+            totals.append(t.mapped(np.bincount(place, counts.astype(np.float64), len(keys)).astype(np.uint64)))
+        del place
+        keys, first = t.mapped(keys), t.mapped(first)
+        shard, out, at = table["shard"][0].as_py(), [], 0
+        for block, wanted in zip(table["block"].to_pylist(), asked, strict=True):
+            mine = np.searchsorted(keys, wanted)
+            own = first[mine] == np.arange(at, at + len(wanted))
+            out.append((block, shard, [t.pack_counts(x[mine]) for x in totals] + [t.pack_counts(own)]))
+            at += len(wanted)
+        raw = totals[-1] if n_sums == N_WORDS else totals[0]
+        seen = totals[0][totals[0] > 0]
+        summary = np.array([len(seen), int(raw.sum()), int((raw > 0).sum()), *_histogram(seen)], np.uint64)
+        out.append((_SUMMARY, shard, [t.pack_counts(summary)]))
+        if store:
+            out.append((_ARRAYS, shard, [t.pack_sorted(keys), *map(t.pack_counts, totals)]))
+        return t.rows_of(out, t.REPLY_ARROW)
+
+    return merge
+
+
+def _summary(replies: DataFrame) -> list[int]:
+    """Over all shards: n-grams counted, the sum of raw counts, keys with one, and n-grams with counts 1 to 4."""
 
     def read(batches):
         for b in batches:
             rows = [t.unpack_counts(x[0]).astype(np.int64) for x in b.column(0).to_pylist()]
             if rows:
-                total = np.sum(rows, 0)
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], [f"s{i}" for i in range(6)])
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in np.sum(rows, 0)], [f"s{i}" for i in range(7)])
 
-    got = requests.where(F.col("shard") == _STATS).select("sums").mapInArrow(read, ", ".join(f"s{i} long" for i in range(6)))
-    return [x or 0 for x in got.agg(*[F.sum(f"s{i}") for i in range(6)]).first()]
+    got = replies.where(F.col("block") == _SUMMARY).select("sums").mapInArrow(read, ", ".join(f"s{i} long" for i in range(7)))
+    return [x or 0 for x in got.agg(*[F.sum(f"s{i}") for i in range(7)]).first()]
 
 
-def _vocabulary(replies: DataFrame) -> list[int]:
-    """How many training words there are, and how many follow 1, 2, 3 and 4 contexts."""
+def _word_totals(blocks: DataFrame, seed: int) -> tuple[int, int, bool]:
+    """N and V of the training words, counted by the words themselves, and whether two share a hash."""
 
-    def read(batches):
+    def words(batches):
         for b in batches:
-            total = np.zeros(5, np.int64)
-            for sums in b.column(0).to_pylist():
-                own, follows = t.unpack_counts(sums[6]) > 0, t.unpack_counts(sums[1])
-                total += [int(own.sum()), *_histogram(follows[own])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], [f"s{i}" for i in range(5)])
+            for i in range(b.num_rows):
+                x = t.read_block(b, i, FIRST)
+                n = np.bincount(x.tokens[np.repeat(x.flags, x.lengths)], minlength=len(x.words))
+                yield pa.RecordBatch.from_arrays([pa.array(x.words, pa.binary()), pa.array(word_keys(x.words, seed).view(np.int64)), pa.array(n)], ["word", "key", "n"])
 
-    got = replies.select("sums").mapInArrow(read, ", ".join(f"s{i} long" for i in range(5)))
-    return [x or 0 for x in got.agg(*[F.sum(f"s{i}") for i in range(5)]).first()]
+    each = blocks.mapInArrow(words, "word binary, key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("word").alias("a"), F.max("word").alias("b"))
+    n, v, met = each.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count_if(F.col("a") != F.col("b"))).first()
+    return n or 0, v or 0, met > 0
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -125,65 +219,175 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Numbers(NamedTuple):
     """What a model is besides its arrays."""
 
+    order: int
+    seed: int
+    n_shards: int
     tokens: int
     words: int
-    pairs: int
-    discount: np.ndarray
-    lower: np.ndarray
-    spread: float  # the mass that the lower order's discounts leave for the uniform distribution
+    discount: dict[int, np.ndarray]
+    lowest: tuple[float, float]  # the sum of the words' counts, and the mass their discounts leave
 
 
-_RESULT = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+class Model(NamedTuple):
+    """``arrays(order, shard, sums)``: the shards' sorted hash arrays in the shared folder."""
 
+    numbers: Numbers
+    arrays: DataFrame
 
-def _scores(table: pa.Table, replies: pa.Table, plan: Plan, m: Numbers) -> pa.Table:
-    names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+def _probabilities(b: t.Block, sums: dict[int, list[np.ndarray]], levels: dict[int, Level], m: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, raw count) of every token, the orders interpolated from the lowest up."""
+    total, left = m.lowest
+    counts = {n: sums[n][0][levels[n].gram].astype(np.float64) for n in levels}
+    cut = lambda n: np.maximum(counts[n] - m.discount[n][np.minimum(counts[n], 3).astype(int)], 0)
+    raw = sums[1][5 if m.order > 1 else 0][levels[1].gram].astype(np.float64)
+    p = cut(1) / max(total, 1) + left / (m.words + 1)
+    for n in range(2, m.order + 1):
+        d, (_, weight, one, two, more) = m.discount[n], (x[levels[n - 1].context].astype(np.float64) for x in sums[n - 1][:5])
+        seen = np.maximum(weight, 1)
+        p = cut(n) / seen + np.where(weight > 0, (d[1] * one + d[2] * two + d[3] * more) / seen, 1.0) * p
+    return p, raw
+
+
+_RESULT = f"{t.ROW} long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+_RESULT_ARROW = pa.schema([(t.ROW, pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _n_sums(n: int, order: int) -> int:
+    return N_TOP if n == order else N_WORDS if n == 1 else N_LOWER
+
+
+def _scores(table: pa.Table, replies: pa.Table, m: Numbers, owned: bool) -> pa.Table:
     if not table.num_rows:
-        return pa.schema(zip(names, types, strict=True)).empty_table()
-    k, kind = _tokens(table, plan), replies["kind"].to_numpy()
-    pair_count = t.read_replies(replies.filter(pa.array(kind == 0)), k.pairs, plan.n_shards, plan.bits, 2)[0]
-    words = t.read_replies(replies.filter(pa.array(kind == 1)), k.keys, plan.n_shards, plan.bits, 7)
-    count, follows, context, one, two, more = (x.astype(np.float64) for x in words[:6])
-    base = np.log10((count + 1) / (m.tokens + m.words + 1))
-    low = np.maximum(follows - m.lower[np.minimum(follows, 3).astype(int)], 0) / max(m.pairs, 1) + m.spread / (m.words + 1)
-    seen = np.maximum(context, 1)
-    left = np.where(context > 0, (m.discount[1] * one + m.discount[2] * two + m.discount[3] * more) / seen, 1.0)
-    c = pair_count[k.pair].astype(np.float64)
-    p = np.maximum(c - m.discount[np.minimum(c, 3).astype(int)], 0) / seen[k.before] + left[k.before] * low[k.ids]
-    n = table.num_rows
-    total = lambda x: np.bincount(k.row, x, n)
-    columns = [np.bincount(k.row, minlength=n), total((count > 0)[k.ids].astype(float)).astype(np.int64), total(base[k.ids]), total(np.log10(p))]
-    return pa.Table.from_arrays(
-        [table["doc_id"].combine_chunks(), table["train"].combine_chunks(), *[pa.array(x, y) for x, y in zip(columns, types[2:], strict=True)]], names
-    )
-
-
-def score_by_model(docs: DataFrame, train: Column, block_bytes: int = 6 << 20) -> DataFrame:
+        return _RESULT_ARROW.empty_table()
+    b, kind = t.read_block(table, 0, FIRST), replies["n"].to_numpy()
+    levels = {n: _level(b, n, m.order, m.seed) for n in range(1, m.order + 1)}
+    sums = {n: t.read_replies(replies.filter(pa.array(kind == n)), x.keys, m.n_shards, _n_sums(n, m.order) + owned) for n, x in levels.items()}
+    p, raw = _probabilities(b, sums, levels, m)
+    row = np.repeat(np.arange(len(b.lengths)), b.lengths)
+    total = lambda x: np.bincount(row, x, len(b.lengths))
+    columns = [
+        b.rows, pa.array(b.ids, mask=b.ids == t.NO_ID), b.flags, b.lengths, total((raw > 0).astype(float)).astype(np.int64),
+        total(np.log10((raw + 1) / (m.tokens + m.words + 1))), total(np.log10(p)),
+    ]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, _RESULT_ARROW.types, strict=True)], schema=_RESULT_ARROW)
+
+
+def _blocks(docs: DataFrame, train: Column | None, block_bytes: int) -> DataFrame:
+    return t.cut(t.pack_blocks(docs, _split, FIRST, train, block_bytes=block_bytes), "token-blocks", bucket="block")
+
+
+def _asked(blocks: DataFrame, above: DataFrame | None, n: int, order: int, seed: int, n_shards: int) -> DataFrame:
+    """The blocks' requests of one order, from the answers to the order above."""
+    if above is None:
+        return blocks.mapInArrow(t.as_batches(lambda a: _requests(a, None, n, order, seed, n_shards)), t.REQUEST)
+    answers = above.where("block >= 0").groupBy("block")
+    return blocks.groupBy("block").cogroup(answers).applyInArrow(lambda a, r: _requests(a, r, n, order, seed, n_shards), t.REQUEST)
+
+
+def _count(blocks: DataFrame, order: int, store: bool) -> tuple[Numbers, dict[int, DataFrame]]:
+    """The model's numbers, and per order the shards' answers to the blocks."""
+    seed = 0
+    tokens, words, met = _word_totals(blocks, seed)
+    while met:  # another seed until no two words share a hash, so that counts of words are exact
+        seed += 1
+        tokens, words, met = _word_totals(blocks, seed)
+    n_shards = max(1, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // TOKENS_A_SHARD)
+    replies: dict[int, DataFrame] = {}
+    discount, lowest = {}, (0.0, 1.0)
+    for n in range(order, 0, -1):
+        asked = _asked(blocks, replies.get(n + 1), n, order, seed, n_shards)
+        replies[n] = t.cut(t.by_shard(asked, n_shards).applyInArrow(_merge(store), t.REPLY), f"grams-{n}")
+        kinds, raw, _, *histogram = _summary(replies[n])
+        discount[n] = discounts(*histogram)
+        if n == 1:
+            total = raw if order == 1 else _summary_total(replies[2])
+            mass = float(discount[1][1] * histogram[0] + discount[1][2] * histogram[1] + discount[1][3] * (kinds - histogram[0] - histogram[1]))
+            lowest = (float(total), mass / total) if total else (0.0, 1.0)
+    return Numbers(order, seed, n_shards, tokens, words, discount, lowest), replies
+
+
+def _summary_total(replies: DataFrame) -> int:
+    """How many distinct n-grams an order has: the sum of the counts of the order below."""
+    return _summary(replies)[0]
+
+
+def train_model(docs: DataFrame, train: Column, order: int = 3, block_bytes: int = 6 << 20) -> Model:
+    """Count the rows where ``train`` is true; the arrays are written to the shared folder.
+
+    A model of an empty table, or without training rows, gives every token the probability 1.
+    """
+    blocks = _blocks(docs, train, block_bytes)
+    numbers, replies = _count(blocks, order, store=True)
+    kept = [df.where(F.col("block") == _ARRAYS).select(F.lit(n).alias("n"), "shard", "sums") for n, df in replies.items()]
+    arrays = kept[0]
+    for x in kept[1:]:
+        arrays = arrays.unionByName(x)
+    arrays = t.cut(arrays, "ngram-model")
+    t.discard(blocks, *replies.values())
+    return Model(numbers, arrays)
+
+
+def _look_up(asked: pa.Table, stored: pa.Table) -> pa.Table:
+    """A shard's sorted arrays, memory-mapped, answer what blocks ask; unknown n-grams have zeros."""
+    if not asked.num_rows:
+        return t.REPLY_ARROW.append(pa.field("n", pa.int32())).empty_table()
+    sums, out = stored["sums"][0].as_py() if stored.num_rows else [b"", b""], []
+    keys, values = t.mapped(t.unpack_sorted(sums[0])), [t.mapped(t.unpack_counts(x)) if x else np.zeros(0, np.uint64) for x in sums[1:]]
+    for block, shard, n, wanted, like in zip(*(asked[c].to_pylist() for c in ("block", "shard", "n", "keys", "sums")), strict=True):
+        wanted = t.unpack_sorted(wanted)
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        got = [np.where(known, v[at] if len(v) else 0, 0) for v in values] if len(keys) else [np.zeros(len(wanted))] * len(like)
+        out.append((block, shard, [t.pack_counts(x) for x in got], n))
+    return t.rows_of(out, t.REPLY_ARROW.append(pa.field("n", pa.int32())))
+
+
+def score_texts(docs: DataFrame, model: Model, block_bytes: int = 6 << 20) -> DataFrame:
+    """The columns of :func:`score_by_model` for any texts, by look-ups in a stored model."""
+    m = model.numbers
+    blocks = _blocks(docs, None, block_bytes)
+
+    def ask(table: pa.RecordBatch) -> pa.Table:
+        b, parts = t.read_block(table, 0, FIRST), []
+        for n in range(1, m.order + 1):
+            keys = _level(b, n, m.order, m.seed).keys
+            part = t.request_rows(b.number, keys, [np.zeros(len(keys))] * _n_sums(n, m.order), m.n_shards)
+            parts.append(part.append_column("n", pa.array([n] * part.num_rows, pa.int32())))
+        return pa.concat_tables(parts)
+
+    asked = blocks.mapInArrow(t.as_batches(ask), f"{t.REQUEST}, n int")
+    stored = model.arrays
+    answers = t.cut(asked.groupBy("n", "shard").cogroup(stored.groupBy("n", "shard")).applyInArrow(_look_up, f"{t.REPLY}, n int"), "answers")
+    scored = t.cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, m, False), _RESULT), "scores")
+    t.discard(blocks, answers)
+    return _finished(scored, m)
+
+
+def _finished(scored: DataFrame, m: Numbers) -> DataFrame:
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.drop(t.ROW).withColumns({"train_tokens": F.lit(m.tokens).cast("long"), "perplexity": perplexity})
+
+
+def score_by_model(docs: DataFrame, train: Column, order: int = 3, block_bytes: int = 6 << 20) -> DataFrame:
     """Learn from the rows where ``train`` is true and score all rows.
 
-    Returns (doc_id, train, n_tokens, n_known, train_tokens, base_score, score): base_score is
-    the add-one unigram score sum(log10((c + 1) / (N + 1 * (V + 1)))), score the model's log10
-    probability of the text.  Null texts count as empty (one end token).  Without training rows
-    every token has the same probability 1.  Repeated rows are scored, and counted, each.  The
-    driver gets eleven numbers; keys have 20 bits more than the corpus has tokens, so one in a
-    million meets another.
+    Returns (doc_id, train, n_tokens, n_known, base_score, score, train_tokens, perplexity):
+    base_score is the add-one unigram score sum(log10((c + 1) / (N + 1 * (V + 1)))), score the
+    model's log10 probability of the text, perplexity 10 ** (-score / n_tokens).  Null texts count
+    as empty (one end token); a text of any length is read whole.  Without training rows every
+    token has the probability 1.  Repeated rows are scored, and counted, each; an empty table gives
+    an empty table.  Counts of words are exact: words are counted by themselves, and hashed anew
+    where two share a hash.  Longer n-grams are told apart by 64-bit hashes.  The driver gets a few
+    numbers an order.
     """
-    total = t.text_bytes(docs)
-    plan = Plan(max(1, -(-total // block_bytes)), max(1, total // (4 * block_bytes)), min(64, max(40, total.bit_length() + 18)))
-    blocks = t.into_blocks(docs, plan.n_blocks, F.coalesce(train, F.lit(False)).alias("train"))
-    named = t.cut(blocks.groupBy("block").applyInArrow(lambda x: _bigram_requests(x, plan), t.REQUEST), "bigrams")
-    pairs = t.cut(t.block_sums(named, lambda totals, own: [totals[0], own]), "bigram-counts")
-    asked = t.cut(
-        blocks.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(lambda a, b: _word_requests(a, b, plan), t.REQUEST), "words"
-    )
-    words = t.cut(t.block_sums(asked.where(F.col("shard") != _STATS), lambda totals, own: [*totals, own]), "word-counts")
-    n1, n2, n3, n4, n_pairs, n_tokens = _summaries(asked)
-    n_words, *lower = _vocabulary(words)
-    low = discounts(*lower)
-    # the lower order's discounted mass, from the counts of its counts
-    spread = (low[1] * lower[0] + low[2] * lower[1] + low[3] * (n_words - lower[0] - lower[1])) / max(n_pairs, 1)
-    m = Numbers(n_tokens, n_words, n_pairs, discounts(n1, n2, n3, n4), low, float(spread) if n_pairs else 1.0)
-    replies = pairs.withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
-    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, plan, m), _RESULT)
-    return scored.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
+    blocks = _blocks(docs, train, block_bytes)
+    numbers, replies = _count(blocks, order, store=False)
+    every = [df.where("block >= 0").withColumn("n", F.lit(n)) for n, df in replies.items()]
+    both = every[0]
+    for x in every[1:]:
+        both = both.unionByName(x)
+    scored = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, numbers, True), _RESULT)
+    out = t.cut(scored, "scores")
+    t.discard(blocks, *replies.values())
+    return _finished(out, numbers)

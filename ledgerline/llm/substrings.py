@@ -1,15 +1,16 @@
-"""Substring deduplication: count-min sketches first, exact groups of what they leave.
-
-A window is 20 consecutive words.  First pass: every block of documents counts its windows in a
-sparse sketch (the cells it touches), sketches are merged by ranges of cells, and each block
-learns which of its cells reached two.  A cell's count is never below a window's own, so no
-repeated window is lost.  Second pass: only windows in such cells are grouped by a 128-bit digest
-of their words, which tells every block the earliest place of each.  Third pass: words covered by
-a window that starts earlier elsewhere go.
-
-The sketch widens with the corpus (cells per window stay the same), and is never held whole by
-one task: shards are equal ranges of cells, blocks are bounded in bytes, and a block names a
-window once, so a passage found in every document makes no shard or block large.
+"""Substring deduplication: a count-min sketch first, exact groups of the windows it leaves.
+
+A window is 20 consecutive words.  First pass: every block of documents fills its own sketch of
+``ROWS`` hash rows and, over all rows, ``WIDTH`` columns for each window of the corpus, counters
+stopping at two; it names the cells that it touched.  Sketches are added cell by cell in dense
+arrays, one range of columns a task, and each block learns which of its cells came to two.  A
+window's estimate, the least of its cells, is never below its count, so no repeated window is
+lost.  Second pass: only windows estimated at two are grouped by a digest of their words, which
+tells every block the earliest place of each.  Third pass: words covered by a window that starts
+earlier elsewhere go.
+
+The sketch is never held whole: ranges are bounded, blocks are bounded in bytes, and a block names
+a window once, so a passage found in every document makes no range or block large.
 """
 
 from __future__ import annotations
@@ -25,31 +26,35 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import _tools as t
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_NO_ID = (1 << 63) - 1
-_EXACT = "shard long, block long, high binary, low binary, doc binary, start binary"
-_EXACT_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("high", "low", "doc", "start")]])
+#: Hash rows of the sketch, and columns a row per window of the corpus (rounded up to a power of two).
+ROWS, WIDTH = 2, 8
+#: Cells of the sketch that one task adds up, and windows of the corpus for each task of the second pass.
+CELLS_A_TASK, WINDOWS_A_TASK = 1 << 25, 1 << 21
+_ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_EXACT = "shard long, block long, high binary, low binary, least long, doc binary, start binary"
+_EXACT_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("least", pa.int64()), ("doc", pa.binary()), ("start", pa.binary())])
 
 
 class Plan(NamedTuple):
     """Numbers that follow from the corpus size and are shipped to every task."""
 
     size: int
-    n_blocks: int
+    bits: int  # of the columns of a row
+    n_ranges: int
     n_shards: int
-    bits: int
 
+    @property
+    def cell_bits(self) -> int:
+        return self.bits + (ROWS - 1).bit_length()
 
-class _Windows(NamedTuple):
-    order: list[int]  # rows of the block, by doc_id
-    ids: np.ndarray  # their doc ids
-    words: list[list[bytes]]
-    row: np.ndarray  # of each window: its row and its start
+
+class Windows(NamedTuple):
+    doc: np.ndarray  # of each window: its document's place in the block, and its start
     start: np.ndarray
-    cells: np.ndarray
-    distinct: np.ndarray
-    place: np.ndarray  # of each window's cell in distinct
+    high: np.ndarray  # two halves of a digest of its words: 64 and 32 bits
+    low: np.ndarray
+    cells: np.ndarray  # distinct cells touched, sorted, over the rows of the sketch one after the other
+    place: np.ndarray  # of each row and window: its cell's place in cells
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -58,75 +63,93 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _windows(table: pa.Table, plan: Plan) -> _Windows:
-    """All windows of a block's documents, with the cells of the sketch they fall into."""
-    ids = [_NO_ID if x is None else x for x in table["doc_id"].to_pylist()]
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    texts = table["text"].to_pylist()
-    words = [texts[i].encode("utf-8", "replace").split() for i in order]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    known: dict[bytes, int] = {}
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (known[w] if w in known else known.setdefault(w, digest(w)) for ws in words for w in ws), np.uint64, int(n.sum())
-    )
-    row = np.repeat(np.arange(len(words)), np.maximum(n - plan.size + 1, 0))
-    before = np.cumsum(np.maximum(n - plan.size + 1, 0)) - np.maximum(n - plan.size + 1, 0)
-    start = np.arange(len(row)) - before[row]
-    at = (np.cumsum(n) - n)[row] + start
-    # window hash = sum of word hash times odd power, moved to the window's start, modulo 2**64
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_ODD, len(hashes)), dtype=np.uint64)])
-    back = _powers(_INVERSE, len(hashes) + 1)
-    cells = t.mix64((total[at + plan.size] - total[at]) * back[at]) >> np.uint64(64 - plan.bits)
-    distinct, place = np.unique(cells, return_inverse=True)
-    return _Windows(order, np.array([ids[i] for i in order], np.int64), words, row, start, cells, distinct, place)
-
-
-class _Candidates(NamedTuple):
-    """A block's windows whose cell is repeated, and its earliest place of each distinct one."""
+def _rolling(values: np.ndarray, at: np.ndarray, size: int, odd: int) -> np.ndarray:
+    """Sums of a window's word hashes times odd powers, moved to the window's start, modulo 2**64, scrambled."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(odd, len(values)), dtype=np.uint64)])
+    back = _powers(pow(odd, -1, 1 << 64), len(values) + 1)
+    return t.mix64((total[at + size] - total[at]) * back[at])
+
+
+def windows_of(b: t.Block, plan: Plan) -> Windows:
+    """All windows of a block's documents, with their digests and the cells of the sketch they fall into."""
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, b.words)), ">u8").reshape(-1, 2).astype(np.uint64)
+    n = np.maximum(b.lengths - plan.size + 1, 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+    at = (np.cumsum(b.lengths) - b.lengths)[doc] + start
+    one, high = (_rolling(digests[b.tokens, i], at, plan.size, _ODD[i]) for i in (0, 1))
+    columns = [(one if r == 0 else t.mix64(one * np.uint64(2 * r + 1) + np.uint64(r))) >> np.uint64(64 - plan.bits) for r in range(ROWS)]
+    cells, place = np.unique(np.concatenate([c + np.uint64(r << plan.bits) for r, c in enumerate(columns)]), return_inverse=True)
+    return Windows(doc, start, high, one & np.uint64(0xFFFFFFFF), cells, place.reshape(ROWS, -1))
+
+
+def _bits(values: np.ndarray) -> bytes:
+    return np.packbits(values > 0).tobytes()
+
+
+def sketch(b: t.Block, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """A block's own sketch: the cells it touched, sorted, and whether it did so twice or more."""
+    w = windows_of(b, plan)
+    return w.cells, np.bincount(w.place.ravel(), minlength=len(w.cells)) > 1
+
+
+def _sketch_rows(table: pa.Table, plan: Plan) -> pa.Table:
+    b = t.read_block(table)
+    cells, twice = sketch(b, plan)
+    return t.request_rows(b.number, cells, [twice], plan.n_ranges, plan.cell_bits, _bits)
+
+
+def _add_sketches(table: pa.Table, plan: Plan) -> pa.Table:
+    """One range of columns: the blocks' sketches added, and which of its cells each block finds at two."""
+    shard = table["shard"][0].as_py()
+    low, high = ((i << plan.cell_bits) // plan.n_ranges for i in (shard, shard + 1))
+    counters = np.zeros(high - low, np.uint8)
+    named = [(t.unpack_sorted(k) - np.uint64(low)).astype(np.int64) for k in table["keys"].to_pylist()]
+    for cells, twice in zip(named, table["sums"].to_pylist(), strict=True):
+        more = np.unpackbits(np.frombuffer(twice[0], np.uint8), count=len(cells)) + np.uint8(1)
+        counters[cells] = np.minimum(counters[cells] + more, 2)
+    return t.rows_of([(b, shard, [_bits(counters[c] == 2)]) for b, c in zip(table["block"].to_pylist(), named, strict=True)], t.REPLY_ARROW)
+
+
+class Candidates(NamedTuple):
+    """A block's windows with an estimate of two, and its earliest place of each distinct one."""
 
     window: np.ndarray
     group: np.ndarray  # of each: the position of its digest among the sorted distinct ones
     high: np.ndarray
     low: np.ndarray
-    doc: np.ndarray
+    doc: np.ndarray  # of each distinct one: the doc_id and start of its earliest place
     start: np.ndarray
 
 
-def _candidates(w: _Windows, sketch: pa.Table, plan: Plan) -> _Candidates:
-    repeated = t.read_replies(sketch, w.distinct, plan.n_shards, plan.bits, 1)[0] > 0
-    window = np.flatnonzero(repeated[w.place])
-    digest, spaced, digests = xxhash.xxh3_128_digest, b" ".join, []
-    for r, s in zip(w.row[window].tolist(), w.start[window].tolist(), strict=True):
-        digests.append(digest(spaced(w.words[r][s : s + plan.size])))
-    pair = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
-    doc, start = w.ids[w.row[window]], w.start[window]
-    order = np.lexsort((start, doc, pair[:, 1], pair[:, 0]))
-    high, low = pair[order, 0], pair[order, 1]
+def _candidates(b: t.Block, w: Windows, replies: pa.Table, plan: Plan) -> Candidates:
+    at, full = t.shard_bounds(w.cells, plan.n_ranges, plan.cell_bits), np.zeros(len(w.cells), np.uint8)
+    for s, sums in zip(replies["shard"].to_pylist(), replies["sums"].to_pylist(), strict=True):
+        full[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(sums[0], np.uint8), count=at[s + 1] - at[s])
+    window = np.flatnonzero(full[w.place].all(0))
+    high, low, doc, start = w.high[window], w.low[window], b.ids[w.doc[window]], w.start[window]
+    order = np.lexsort((start, doc, low, high))
+    h, x = high[order], low[order]
     new = np.ones(len(order), bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     lead = order[new]
-    return _Candidates(window, group, high[new], low[new], doc[lead], start[lead])
-
+    return Candidates(window, group, h[new], x[new], doc[lead], start[lead])
 
-def _sketch(table: pa.Table, plan: Plan) -> pa.Table:
-    w = _windows(table, plan)
-    counts = np.minimum(np.bincount(w.place, minlength=len(w.distinct)), 2)
-    return t.request_rows(table["block"][0].as_py(), w.distinct, [counts], plan.n_shards, plan.bits)
 
-
-def _exact_requests(table: pa.Table, sketch: pa.Table, plan: Plan) -> pa.Table:
+def _exact_requests(table: pa.Table, replies: pa.Table, plan: Plan) -> pa.Table:
     rows = []
     if table.num_rows:
-        c = _candidates(_windows(table, plan), sketch, plan)
-        at, block = t.shard_bounds(c.high, plan.n_shards, 64), table["block"][0].as_py()
-        doc = c.doc.astype(np.uint64) ^ np.uint64(1 << 63)
-        for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            if b > a:
-                rows.append((s, block, t.pack_sorted(c.high[a:b]), t.pack_counts(c.low[a:b]), t.pack_counts(doc[a:b]), t.pack_counts(c.start[a:b])))
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_EXACT_ARROW.types)], schema=_EXACT_ARROW)
+        b = t.read_block(table)
+        c = _candidates(b, windows_of(b, plan), replies, plan)
+        at = t.shard_bounds(c.high, plan.n_shards, 64)
+        for s, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if j > i:
+                least = int(c.doc[i:j].min())
+                gap = (c.doc[i:j].astype(np.uint64) - np.uint64(least & (1 << 64) - 1)).astype(np.uint64)
+                rows.append((s, b.number, t.pack_sorted(c.high[i:j]), t.pack_counts(c.low[i:j]), least, t.pack_counts(gap), t.pack_counts(c.start[i:j])))
+    return t.rows_of(rows, _EXACT_ARROW)
 
 
 def _earliest(table: pa.Table) -> pa.Table:
@@ -134,7 +157,8 @@ def _earliest(table: pa.Table) -> pa.Table:
     high = [t.unpack_sorted(x) for x in table["high"].to_pylist()]
     n = [len(x) for x in high]
     high = np.concatenate(high)
-    low, doc, start = (np.concatenate([t.unpack_counts(x) for x in table[c].to_pylist()]) for c in ("low", "doc", "start"))
+    low, start = (np.concatenate([t.unpack_counts(x) for x in table[c].to_pylist()]) for c in ("low", "start"))
+    doc = np.concatenate([(t.unpack_counts(x) + np.uint64(k & (1 << 64) - 1)).view(np.int64) for x, k in zip(table["doc"].to_pylist(), table["least"].to_pylist(), strict=True)])
     order = np.lexsort((start, doc, low, high))
     new = np.ones(len(order), bool)
     new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
@@ -142,87 +166,87 @@ def _earliest(table: pa.Table) -> pa.Table:
     later = np.empty(len(order), bool)
     later[order] = (doc[order] != doc[lead]) | (start[order] != start[lead])
     parts = np.split(later, np.cumsum(n)[:-1])
-    rows = [
-        (b, s, [t.pack_counts(p)]) for b, s, p in zip(table["block"].to_pylist(), table["shard"].to_pylist(), parts, strict=True)
-    ]
-    schema = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("sums", pa.list_(pa.binary()))])
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(schema.types)], schema=schema)
+    return t.rows_of([(b, s, [_bits(p)]) for b, s, p in zip(table["block"].to_pylist(), table["shard"].to_pylist(), parts, strict=True)], t.REPLY_ARROW)
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_RESULT = f"{t.ROW} long, doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_RESULT_ARROW = pa.schema([(t.ROW, pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _remove(table: pa.Table, replies: pa.Table, plan: Plan, carried: list[str]) -> pa.Table:
-    if not table.num_rows:
-        table, order = table.slice(0, 0), []
-    numbers, texts, digests = [], [], []
+def _remove(table: pa.Table, replies: pa.Table, plan: Plan, texts: bool) -> pa.Table:
+    rows = []
     if table.num_rows:
-        w = _windows(table, plan)
-        order = w.order
-        kind = replies["kind"].to_numpy()
-        c = _candidates(w, replies.filter(pa.array(kind == 0)), plan)
-        exact = replies.filter(pa.array(kind == 1))
+        b = t.read_block(table)
+        w = windows_of(b, plan)
+        exact = pa.array(replies["exact"].to_numpy(zero_copy_only=False))
+        c = _candidates(b, w, replies.filter(pa.compute.invert(exact)), plan)
+        replies = replies.filter(exact)
         at, elsewhere = t.shard_bounds(c.high, plan.n_shards, 64), np.zeros(len(c.high), bool)
-        for s, sums in zip(exact["shard"].to_pylist(), exact["sums"].to_pylist(), strict=True):
-            elsewhere[at[s] : at[s + 1]] = t.unpack_counts(sums[0]) > 0
-        here = (w.ids[w.row[c.window]] != c.doc[c.group]) | (w.start[c.window] != c.start[c.group])
+        for s, sums in zip(replies["shard"].to_pylist(), replies["sums"].to_pylist(), strict=True):
+            elsewhere[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(sums[0], np.uint8), count=at[s + 1] - at[s]) > 0
+        here = (b.ids[w.doc[c.window]] != c.doc[c.group]) | (w.start[c.window] != c.start[c.group])
         gone = c.window[here | elsewhere[c.group]]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in w.words])])
-        n = int(first[-1]) + 1
-        begins = np.bincount(first[w.row[gone]] + w.start[gone], minlength=n)
-        ends = np.bincount(first[w.row[gone]] + w.start[gone] + plan.size, minlength=n)
-        kept = np.cumsum(begins - ends)[:-1] == 0
-        for i, words in enumerate(w.words):
-            keep = kept[first[i] : first[i + 1]]
-            whole = bool(keep.all())
-            left = b" ".join(words if whole else [x for x, k in zip(words, keep.tolist(), strict=True) if k])
-            numbers.append((len(words), len(words) - int(keep.sum())))
-            texts.append(None if whole else left.decode("utf-8", "replace"))
-            digests.append(hashlib.sha256(left).hexdigest())
-    rows = table.take(pa.array(order, pa.int64()))
-    texts = [a if b is None else b for a, b in zip(rows["text"].to_pylist(), texts, strict=True)]
-    columns = [pa.array([x[0] for x in numbers], pa.int64()), pa.array([x[1] for x in numbers], pa.int64()), pa.array(texts, pa.string()), pa.array(digests, pa.string())]
-    names = ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", *carried]
-    return pa.Table.from_arrays([rows["doc_id"], *columns, *[rows[c] for c in carried]], names)
-
-
-def remove_repeats(docs: DataFrame, size: int = 20, carry: list[str] | None = None, block_bytes: int = 6 << 20) -> DataFrame:
+        first = np.concatenate([[0], np.cumsum(b.lengths)])
+        edge = np.zeros(first[-1] + 1, np.int64)
+        np.add.at(edge, first[w.doc[gone]] + w.start[gone], 1)
+        np.add.at(edge, first[w.doc[gone]] + w.start[gone] + plan.size, -1)
+        kept = np.cumsum(edge)[:-1] == 0
+        for i, (row, doc) in enumerate(zip(b.rows.tolist(), b.ids.tolist(), strict=True)):
+            span = slice(first[i], first[i + 1])
+            left = b" ".join([b.words[k] for k in b.tokens[span][kept[span]].tolist()])
+            n, removed = int(b.lengths[i]), int((~kept[span]).sum())
+            text = left.decode("utf-8", "replace") if texts and removed else None
+            rows.append((row, None if doc == t.NO_ID else doc, n, removed, text, hashlib.sha256(left).hexdigest()))
+    return t.rows_of(rows, _RESULT_ARROW)
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").split()
+
+
+def _removed(docs: DataFrame, size: int, block_bytes: int, texts: bool) -> DataFrame:
+    blocks = t.cut(t.pack_blocks(docs, _words, window=size, block_bytes=block_bytes), "word-blocks", bucket="block")
+    n_windows = blocks.agg(F.sum("n_windows")).first()[0] or 0  # one number, from which the sketch's width follows
+    bits = max(12, (WIDTH * n_windows - 1).bit_length())
+    plan = Plan(size, bits, max(1, (ROWS << bits) // CELLS_A_TASK), max(1, n_windows // WINDOWS_A_TASK))
+    named = blocks.mapInArrow(t.as_batches(lambda x: _sketch_rows(x, plan)), t.REQUEST)
+    full = t.cut(t.by_shard(named, plan.n_ranges).applyInArrow(lambda x: _add_sketches(x, plan), t.REPLY), "full-cells")
+    asked = blocks.groupBy("block").cogroup(full.groupBy("block")).applyInArrow(lambda a, b: _exact_requests(a, b, plan), _EXACT)
+    later = t.cut(t.by_shard(asked, plan.n_shards).applyInArrow(_earliest, t.REPLY), "later-windows")
+    replies = full.withColumn("exact", F.lit(False)).unionByName(later.withColumn("exact", F.lit(True)))
+    done = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, plan, texts), _RESULT)
+    out = t.cut(done, "kept-words")
+    t.discard(blocks, full, later)
+    return out
+
+
+def remove_repeats(docs: DataFrame, size: int = 20, block_bytes: int = 6 << 20, texts: bool = True) -> DataFrame:
     """Remove each word covered by a window of ``size`` words that also starts earlier.
 
     Earlier: at a smaller doc_id, or in the same document before; null ids come last, and rows
     that share an id count as one document.  Returns (doc_id, n_words, n_removed, kept_text,
-    kept_sha256) for every row, then the columns named in ``carry`` as ``carried_0`` and so on.
-    kept_text is the text itself where nothing goes, else the kept words joined by a space.
-    Null texts count as empty; texts under ``size`` words keep all; an empty table gives an
-    empty table.
+    kept_sha256) for every row.  kept_text is the kept words joined by a space where words go, and
+    null where none does or without ``texts``; the digest is that of the kept words in any case.
+    Null texts count as empty; texts under ``size`` words keep all; one text of any length is read
+    whole; an empty table gives an empty table.  Windows are told apart by digests of 96 bits.
     """
-    total = t.text_bytes(docs)
-    n_shards = max(1, total // (6 * block_bytes))
-    plan = Plan(size, max(1, -(-total // block_bytes)), n_shards, min(64, max(20, (total // 4).bit_length() + 9)))
-    blocks = t.into_blocks(docs, plan.n_blocks)
-    sketches = t.cut(blocks.groupBy("block").applyInArrow(lambda x: _sketch(x, plan), t.REQUEST), "sketches")
-    cells = t.cut(t.block_sums(sketches, lambda totals, own: [totals[0] >= 2]), "repeated-cells")
-    named = t.cut(
-        blocks.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(lambda a, b: _exact_requests(a, b, plan), _EXACT), "window-digests"
-    )
-    later = t.cut(named.groupBy("shard").applyInArrow(_earliest, t.REPLY), "later-windows")
-    replies = cells.withColumn("kind", F.lit(0)).unionByName(later.withColumn("kind", F.lit(1)))
-    carried = [f"carried_{i}" for i in range(len(carry or []))]
-    whole = t.into_blocks(docs, plan.n_blocks, *[F.col(c).alias(k) for c, k in zip(carry or [], carried, strict=True)])
-    schema = ", ".join([_RESULT, *[f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(carry or [], carried, strict=True)]])
-    return whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, plan, carried), schema)
+    return _removed(docs, size, block_bytes, texts).drop(t.ROW)
 
 
 def drop_repeated_text(docs: DataFrame, size: int = 20) -> DataFrame:
-    """``docs`` with repeated words removed from its texts; documents left without a word go.
+    """``docs`` with repeated words removed from its texts; rows left without a word go.
 
-    Texts that lose nothing stay as they are (null ones become empty); others become their kept
-    words joined by a space.  A document without words to begin with stays.  ``n_chars``, if
-    there, is counted anew.
+    Texts that lose nothing stay as they are, null ones too; others become their kept words joined
+    by a space.  A row without words to begin with stays.  Rows are told apart whatever their
+    doc_id; of rows equal in doc_id and text the windows start at the same place, so both stay.
+    ``n_chars``, if there, is counted anew where words go.
     """
-    others = [c for c in docs.columns if c != "text"]
-    done = remove_repeats(docs, size, carry=others).where("n_words = 0 or n_removed < n_words")
-    at = {c: F.col(f"carried_{i}") for i, c in enumerate(others)} | {"text": F.col("kept_text")}
+    keyed = t.with_row_keys(docs)
+    done = _removed(keyed, size, 6 << 20, True).select(t.ROW, "n_words", "n_removed", F.col("kept_text").alias("_kept"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    both = keyed.select(t.ROW, row).join(done, t.ROW).where("n_words = 0 or n_removed < n_words")
+    at = {c: F.col("row")[c] for c in docs.columns}
+    at["text"] = F.coalesce("_kept", at["text"])
     if "n_chars" in at:
-        at["n_chars"] = F.when(F.col("n_removed") == 0, at["n_chars"]).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
-    return done.select(*[at[c].alias(c) for c in docs.columns])
+        at["n_chars"] = F.when(F.col("n_removed") == 0, at["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[at[c].alias(c) for c in docs.columns])

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerline.llm import languages, mixing, neighbours, ngrams, pieces, quality, simhash, substrings, toxicity, warc
+from ledgerline.llm import _tools as t
 from ledgerline.llm._tools import crc_remainder, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from ledgerline.llm.queries import vocabulary_file
 from tests.llm.fixtures import documents, empty, rows
@@ -368,12 +369,33 @@ def plain_removal(data, size=20):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [6 << 20, 700])
-def test_substrings(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,task", [(6 << 20, 1 << 25), (700, 64)])
+def test_substrings(spark, monkeypatch, block_bytes, task):
+    monkeypatch.setattr(substrings, "CELLS_A_TASK", 32 * task)
+    monkeypatch.setattr(substrings, "WINDOWS_A_TASK", task)
     got = substrings.remove_repeats(documents(spark), block_bytes=block_bytes).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == plain_removal([(r[0], r[1]) for r in rows()])
 
 
+def test_sketch_never_underestimates():
+    rng = random.Random(7)
+    plan = substrings.Plan(4, 12, 3, 1)
+    texts = [[b"%d" % rng.randrange(6) for _ in range(rng.randrange(400))] for _ in range(9)]
+    added, windows = np.zeros(2 << 12, int), Counter()
+    blocks = []
+    for words_ in texts:
+        known: dict[bytes, int] = {}
+        tokens = np.array([known.setdefault(w, len(known)) for w in words_], np.int32)
+        blocks.append(t.Block(0, np.zeros(1, int), np.zeros(1, int), np.zeros(1, bool), np.array([len(words_)]), tokens, list(known)))
+        cells, twice = substrings.sketch(blocks[-1], plan)
+        added[cells.astype(int)] += 1 + twice
+        windows.update(tuple(words_[i : i + 4]) for i in range(len(words_) - 3))
+    for b, words_ in zip(blocks, texts, strict=True):
+        w = substrings.windows_of(b, plan)
+        estimate = added[w.cells.astype(int)][w.place].min(0) if len(w.cells) else []
+        assert all(e >= min(2, windows[tuple(words_[i : i + 4])]) for i, e in enumerate(estimate))
+
+
 def test_substrings_keep_columns(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
     docs = documents(spark)
@@ -408,49 +430,79 @@ def test_pieces_equal_the_library(spark):
 # -- 10 language model --------------------------------------------------------------------
 
 
-def plain_model(data):
+def plain_model(data, order):
+    """Modified Kneser-Ney by its definition: continuation counts below the highest order."""
     tokens = [([w.lower() for w in words(t)] + ["\n"], is_train) for t, is_train in data]
-    count, pair = Counter(), Counter()
+    padded = lambda t: ["\n\n"] * (order - 1) + t
+    grams = lambda t, n: [tuple(padded(t)[i + order - n : i + order]) for i in range(len(t))]
+    count = {n: Counter() for n in range(1, order + 1)}
+    raw = Counter(w for t, is_train in tokens if is_train for w in t)
     for t, is_train in tokens:
         if is_train:
-            count.update(t)
-            pair.update(zip(["\n\n", *t[:-1]], t, strict=True))
-    follows, context, followers = Counter(v for _, v in pair), Counter(), defaultdict(Counter)
-    for (u, _), c in pair.items():
-        context[u] += c
-        followers[u][min(c, 3)] += 1
+            count[order].update(grams(t, order))
+    for n in range(order - 1, 0, -1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
     of = lambda values: [sum(x == k for x in values) for k in (1, 2, 3, 4)]
-    high, low = ngrams.discounts(*of(pair.values())), ngrams.discounts(*of([follows[w] for w in count]))
-    n, vocabulary, pairs = sum(count.values()), len(count), len(pair)
-    spread = sum(low[min(follows[w], 3)] for w in count) / max(pairs, 1) if pairs else 1.0
-
-    def p(u, v):
-        base = max(follows[v] - low[min(follows[v], 3)], 0) / max(pairs, 1) + spread / (vocabulary + 1)
-        if not context[u]:
-            return base
-        c = pair[u, v]
-        return max(c - high[min(c, 3)], 0) / context[u] + sum(high[k] * followers[u][k] for k in (1, 2, 3)) / context[u] * base
+    d = {n: ngrams.discounts(*of(count[n].values())) for n in count}
+    after = {n: defaultdict(list) for n in count}
+    for n in count:
+        for g, c in count[n].items():
+            after[n][g[:-1]].append(c)
+    total, vocabulary = sum(raw.values()), len(raw)
+
+    def p(g):
+        n, followers = len(g), after[len(g)][g[:-1]]
+        low = p(g[1:]) if n > 1 else 1 / (vocabulary + 1)
+        if not followers:
+            return low
+        c = count[n][g]
+        return (max(c - d[n][min(c, 3)], 0) + sum(d[n][min(x, 3)] for x in followers) * low) / sum(followers)
 
     out = []
     for t, is_train in tokens:
-        out.append((is_train, len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 1) / (n + vocabulary + 1)) for w in t), sum(math.log10(p(u, v)) for u, v in zip(["\n\n", *t[:-1]], t, strict=True))))
-    total = sum(p("x", v) for v in count) + spread / (vocabulary + 1)
-    assert not pairs or abs(total - 1) < 1e-9
+        out.append((is_train, len(t), sum(raw[w] > 0 for w in t), total, sum(math.log10((raw[w] + 1) / (total + vocabulary + 1)) for w in t), sum(math.log10(p(g)) for g in grams(t, order))))
+    some = next((g[:-1] for g in count[order]), None)
+    assert some is None or abs(sum(p((*some, w)) for w in raw) + p((*some, "never seen")) - 1) < 1e-9
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [6 << 20, 900])
-def test_model_equals_brute_force(spark, block_bytes):
+def plain_train(d):
+    return zlib.crc32(str(d).encode()) % 7 != 2 if d is not None else True
+
+
+def scored(rows_):
+    return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows_)
+
+
+@pytest.mark.parametrize("order,block_bytes,shard", [(3, 6 << 20, 1 << 21), (3, 900, 500), (2, 900, 500), (1, 900, 500), (4, 2000, 900)])
+def test_model_equals_brute_force(spark, monkeypatch, order, block_bytes, shard):
+    monkeypatch.setattr(ngrams, "TOKENS_A_SHARD", shard)
     data = rows()
-    train = lambda d: zlib.crc32(str(d).encode()) % 7 != 2 if d is not None else True
-    want = plain_model([(r[1], train(r[0])) for r in data])
-    want = sorted((str(r[0]), *w[:4], round(w[4], 6), round(w[5], 6)) for r, w in zip(data, want, strict=True))
-    got = ngrams.score_by_model(documents(spark), crc_remainder(F.col("doc_id"), 7) != 2, block_bytes=block_bytes)
-    got = sorted((str(r["doc_id"]), r["train"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect())
-    assert got == want
+    want = plain_model([(r[1], plain_train(r[0])) for r in data], order)
+    want = sorted((str(r[0]), *w[1:4], round(w[4], 6), round(w[5], 6)) for r, w in zip(data, want, strict=True))
+    train = crc_remainder(F.col("doc_id"), 7) != 2
+    got = ngrams.score_by_model(documents(spark), train, order, block_bytes).collect()
+    assert scored(got) == want
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got)
+    if block_bytes == 900:
+        model = ngrams.train_model(documents(spark), train, order, block_bytes)
+        assert scored(ngrams.score_texts(documents(spark), model, 1500).collect()) == want
 
 
 def test_model_without_training(spark):
     out = ngrams.score_by_model(documents(spark), F.lit(False)).collect()
     assert len(out) == len(rows()) and all(r["score"] == 0 and r["n_known"] == 0 for r in out)
     assert ngrams.score_by_model(empty(spark), F.lit(True)).count() == 0
+
+
+def test_a_text_of_megabytes(spark):
+    """One text much longer than a block, for the operators that work in blocks or batches."""
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long, "en"), (2, long[:3000], "en"), (3, "short", "en")], "doc_id long, text string, lang string")
+    got = substrings.remove_repeats(docs, block_bytes=1 << 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == plain_removal([(1, long), (2, long[:3000]), (3, "short")])
+    assert {r["doc_id"]: r["n_tokens"] for r in ngrams.score_by_model(docs, F.lit(True), block_bytes=1 << 20).collect()}[1] == 400_001
+    assert languages.identify_language(docs, vocabulary_file(), F.lit(True)).where("lang_pred = 'en'").count() == 3
+    v = pieces.vocabulary(vocabulary_file())
+    assert {r["n_tokens"] for r in pieces.encode_documents(docs, vocabulary_file(), outputs=False).where("doc_id = 1").collect()} == {len(v.library.encode(long)) + 1}
