@@ -15,19 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._tools import crc_remainder, cut
+from ledgerline.llm._tools import crc_remainder, cut, discard
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _CACHE = 200_000
-_LONG = 48  # longer words are scored one by one, with their own scale
+#: Steps of the forward algorithm between two changes of scale: the numbers stay within doubles.
+_RESCALE = 4
 _UNKNOWN = 1e-9
 
 
 def words_of(text: str | None) -> list[str]:
-    """Maximal runs of letters, lower-cased."""
+    """Maximal runs of letters (general category L) and the marks on them, lower-cased."""
     return _WORD.findall((text or "").lower())
 
 
@@ -78,7 +80,11 @@ class Pieces:
         self.rows = np.zeros((1024, counts.shape[1]))
 
     def _forward(self, words: list[str]) -> np.ndarray:
-        """Words of one length; ``alpha[j]`` sums all cuts of the first j characters."""
+        """Words of one length; ``alpha[j]`` sums all cuts of the first j characters.
+
+        Every few steps all sums in reach are divided by the latest, for each word and language,
+        and the logarithm of the divisor is kept: words of any length keep their full evidence.
+        """
         length, get = len(words[0]), self.ids.get
         alpha = np.zeros((length + 1, len(words), self.p.shape[1]))
         alpha[0], scale = 1.0, np.zeros((len(words), self.p.shape[1]))
@@ -93,12 +99,11 @@ class Pieces:
                 else:
                     continue
                 alpha[j] += alpha[i] * step
-            if length > _LONG:  # keep the numbers in range
-                top = alpha[j].max(1, keepdims=True)
-                top[top == 0] = 1.0
+            if j % _RESCALE == 0:
+                top = alpha[j].copy()  # positive: a single character always has a probability
                 alpha[max(0, j - self.longest) : j + 1] /= top
                 scale += np.log(top)
-        return np.log(np.maximum(alpha[length], 1e-300)) + scale
+        return np.log(alpha[length]) + scale
 
     def score(self, words: list[str]) -> None:
         """Make sure that ``known`` holds the row of each of ``words`` in ``rows``."""
@@ -118,19 +123,24 @@ class Pieces:
                 self.known.update(zip(part, range(n, n + len(part)), strict=True))
 
 
-def identify_language(docs: DataFrame, model_file: str, train: Column, lang: str = "lang", smoothing: float = 0.1) -> DataFrame:
+def identify_language(docs: DataFrame, model_file: str, train: Column, lang: str = "lang", smoothing: float = 0.1, most_languages: int = 1000) -> DataFrame:
     """(doc_id, lang_pred, score) for every row.
 
     Learns from the text and the non-null language of rows where ``train`` is true; the piece
     counts that reach the driver are bounded by vocabulary times languages.  score is the
     prediction's share of the languages' likelihoods, all alike beforehand.  Null texts, texts
     without letters, and all texts where nothing was learned get ``und`` and score 0; ties go to
-    the first language in order; an empty table gives an empty table.
+    the first language in order; an empty table gives an empty table.  The table that every worker
+    gets has a row per piece and a column per language; more than ``most_languages`` are refused.
     """
     from sentencepiece import SentencePieceProcessor
 
-    counted = cut(piece_counts(docs.where(train), model_file, lang), "piece-counts").toPandas()
-    names = sorted(counted["lang"].unique())
+    table = cut(piece_counts(docs.where(train), model_file, lang), "piece-counts")
+    names = [r[0] for r in table.select("lang").distinct().sort("lang").limit(most_languages + 1).collect()]
+    if len(names) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    counted = table.toPandas()
+    discard(table)
     model = SentencePieceProcessor(model_file=model_file)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     counts = np.zeros((len(pieces), max(1, len(names))))

@@ -328,12 +328,55 @@ def test_forward_sums_all_segmentations():
     def total(s):
         return 1.0 if not s else sum((p[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p), np.zeros(2))
 
-    table.score(["ab", "abab", "ab" * 40])
-    for w in ("ab", "abab"):
+    table.score(["ab", "abab", "abbabab", "ab" * 40])
+    for w in ("ab", "abab", "abbabab"):
         assert np.allclose(table.rows[table.known[w]], np.log(total("▁" + w)))
     assert np.isfinite(table.rows[table.known["ab" * 40]]).all()
 
 
+def test_long_unknown_words_keep_their_evidence():
+    table = languages.Pieces(["▁a", "a", "b", "▁"], np.array([[3.0, 1], [2, 1], [2, 5], [1, 1]]), 0.1)
+    words_ = ["aaaaa" + "x" * n for n in range(1, 101)]
+    table.score(words_)
+    gap = [np.subtract(*table.rows[table.known[w]]) for w in words_]
+    assert np.ptp(gap) < 1e-9 and abs(gap[0]) > 1
+    steps = np.diff([table.rows[table.known[w]][0] for w in words_])
+    assert np.allclose(steps, math.log(1e-9))
+
+
+def test_words_are_letters():
+    assert languages.words_of("½ ² Ⅷ ① 12 _ -- ٣") == [] and languages.words_of("Éa²b x½ e\u0301t") == ["éa", "b", "x", "e\u0301t"]
+
+
+def test_predictions_equal_brute_force(spark):
+    """Every prediction and score from the definition: all segmentations of all words, by recursion."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=vocabulary_file())
+    data = [(i, " ".join(["the cat", "le chat noir", "der hund"][i % 3] for _ in range(1 + i % 2)) + (" xq" if i % 5 == 0 else ""), ["en", "fr", "de"][i % 3]) for i in range(24)]
+    train = [x for x in data if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    names, count = ["de", "en", "fr"], defaultdict(Counter)
+    for _, text, lang in train:
+        for w in text.split():
+            count[lang].update(model.encode(w))
+    n = model.get_piece_size()
+    p = {x: [(count[x][i] + 0.1) / (sum(count[x].values()) + 0.1 * n) for i in range(n)] for x in names}
+    ids = {model.id_to_piece(i): i for i in range(n) if i > 2 and not model.id_to_piece(i).startswith("<0x")}
+
+    def total(s, x):
+        out = 0.0 if s else 1.0
+        for k in range(1, len(s) + 1):
+            if s[:k] in ids or k == 1:
+                out += (p[x][ids[s[:k]]] if s[:k] in ids else 1e-9) * total(s[k:], x)
+        return out
+
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for r in languages.identify_language(docs, vocabulary_file(), ~languages.held_out(F.col("doc_id"))).collect():
+        logs = [sum(math.log(total("▁" + w, x)) for w in data[r["doc_id"]][1].split()) for x in names]
+        assert r["lang_pred"] == names[int(np.argmax(logs))]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs), rel=1e-4)
+
+
 def test_language_held_out(spark):
     rng = random.Random(6)
     stock = {"en": ["the", "thing", "and", "with", "nation"], "de": ["der", "und", "schein", "keit", "über"], "fr": ["le", "été", "eaux", "vie", "ment"]}
