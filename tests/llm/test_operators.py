@@ -274,18 +274,52 @@ def distance(a, b):
     return row[-1]
 
 
+def nearest_term(word, lexicon, roots):
+    found = [(d, x, False) for x in lexicon if (d := distance(word, x)) <= toxicity.edits_allowed(x)]
+    found += [(d, x, True) for x in roots if (d := min(distance(word[:k], x) for k in range(len(word) + 1))) <= toxicity.root_edits(x)]
+    best = min(found, default=None)
+    return best and (best[1], best[0], best[2])
+
+
 def test_automaton_equals_edit_distance():
     rng = random.Random(2)
-    lexicon = toxicity.LEXICON
-    auto = toxicity.LexiconAutomaton(lexicon)
-    for _ in range(600):
-        w = list(rng.choice(lexicon))
+    lexicon, roots = toxicity.LEXICON, ["réeux", "achl", "bomen", "stup", "lowei"]
+    auto = toxicity.LexiconAutomaton(lexicon, roots)
+    for _ in range(900):
+        w = list(rng.choice([*lexicon, *(r + rng.choice(["", "ment", "aux", "o"]) for r in roots)]))
         for _ in range(rng.randrange(4)):
             k = rng.randrange(len(w) + 1)
             w[k : k + rng.randrange(2)] = rng.choice(["", "x", "é", "a", "1"])
         w = "".join(w)
-        want = min(((d, t) for t in lexicon if (d := distance(w, t)) <= toxicity.edits_allowed(t)), default=None)
-        assert auto.find(w) == (want and (want[1], want[0]))
+        assert auto.find(w) == nearest_term(w, lexicon, roots), w
+    assert auto.find("scvm") == ("scum", 1, False) and auto.find("réexment") == ("réeux", 1, True) and auto.find("acl") is None
+
+
+def plain_toxicity(data, marked, roots):
+    """Scores from their definition: (spelling, class) shares drawn towards class shares, combined as independent chances."""
+    auto = toxicity.LexiconAutomaton(toxicity.LEXICON, roots)
+    train = {i: y for i, y in marked.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    hits = {}
+    for i, text in data:
+        found = toxicity.hits_in(text, auto)
+        hits[i] = [(s, (min(d, 2), root, len(term) < 5, quoted, min(3, sum(h[2] == 0 and h[3] == root for h in found)))) for s, term, d, root, quoted in found]
+    calm = [train[i] for i in train if not hits[i]]
+    base = (sum(calm) + 1) / (len(calm) + 20)
+    own, kinds = defaultdict(list), defaultdict(list)
+    for i, y in train.items():
+        for s, k in hits[i]:
+            own[s, k].append(y)
+            kinds[k].append(y)
+    out = {}
+    for i, _ in data:
+        left = 1 - base
+        for s, k in hits[i]:
+            prior = (0.9 if k[0] == 0 else 0.5) * (1 / 3 if k[3] else 1)
+            of_class = (sum(kinds[k]) + 10 * prior) / (len(kinds[k]) + 10)
+            rate = (sum(own[s, k]) + 5 * of_class) / (len(own[s, k]) + 5)
+            left *= 1 - min(max((rate - base) / (1 - base), 0), 0.999)
+        out[i] = 1 - left
+    return out
 
 
 def test_toxicity_scores(spark):
@@ -305,17 +339,31 @@ def test_toxicity_scores(spark):
     assert toxicity.reject_toxic(docs, labels).count() == sum(not r["predicted"] for r in got.values())
 
 
-def test_learned_terms(spark):
+def test_scores_equal_brute_force_and_come_from_terms_and_roots(spark):
     rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    one = "copied zworp of a copied text"
-    texts = [f"{word()} zlorm {word()}" for _ in range(20)] + [one] * 30 + [f"{word()} calm {word()}" for _ in range(100)] + ["", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marked = docs.select(F.col("doc_id").alias("label_id"), (F.col("doc_id") < 50).cast("double").alias("toxic"))
-    assert toxicity.learn_terms(docs, marked) == ["zlorm"]
-    assert toxicity.learn_terms(docs, marked.limit(0)) == []
-    exact = toxicity.LexiconAutomaton(["stupid"], frozenset({"zlorm"}))
-    assert [exact.find(w) for w in ("zlorm", "zlarm", "stupit")] == [("zlorm", 0), None, ("stupid", 1)]
+    word = lambda n=6: "".join(rng.choice("abcdefgh") for _ in range(n))
+    bad = lambda: rng.choice([f"zlorm{word(rng.randrange(1, 4))}", "scum", "scvm", "worthles", 'said "idiot" today'])
+    data = [(i, f"{word()} {bad()} {word()} {bad()} {word()}" if i < 120 else f"{word()} {word()} {word()}" + (" scam aile" if i % 9 == 0 else "")) for i in range(400)]
+    data += [(400, "zlormxyz zlorq"), (401, "zlarmxyz and zlormb"), (402, ""), (403, None), (404, "copied zworp of a copied text")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    marked = {i: int(i < 120) for i, _ in data[:400]}
+    labels = spark.createDataFrame([(i, y) for i, y in marked.items()] + [(7, None), (9999, 1)], "doc_id long, toxic int")
+    train = labels.where("toxic is not null").where(crc_remainder(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("double").alias("toxic"))
+    roots = toxicity.learn_roots(docs, train)
+    assert any("zlorm".startswith(r) or r.startswith("zlorm") for r in roots) and toxicity.learn_roots(docs, train.limit(0)) == []
+    want = plain_toxicity(data, marked, roots)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-8 for i in want)
+    held = [i for i in marked if zlib.crc32(str(i).encode()) % 3 == 1]
+    caught = lambda **kw: sum(r["predicted"] for r in toxicity.score_toxicity(docs, labels, **kw).where(F.col("doc_id").isin([i for i in held if i < 120])).collect())
+    whole, none = caught(), caught(lexicon=["qqqqqqqq"], roots=[])
+    assert whole > 0.9 * sum(i < 120 for i in held) and none == 0 and none < caught(roots=[]) < whole
+
+
+def test_copies_of_a_text_are_no_evidence(spark):
+    docs = spark.createDataFrame([(i, "copied zworpa zworpb zworpc of a copied text") for i in range(60)] + [(i, f"calm word{i} here") for i in range(60, 400)], "doc_id long, text string")
+    marked = docs.select(F.col("doc_id").alias("label_id"), (F.col("doc_id") < 60).cast("double").alias("toxic"))
+    assert toxicity.learn_roots(docs, marked) == []
 
 
 # -- 7 languages --------------------------------------------------------------------------
