@@ -239,7 +239,9 @@ def test_quality_learns_ordered_rules(spark):
 # -- 5 nearest neighbours -----------------------------------------------------------------
 
 
-def test_nearest_recall_ties_and_unusable_vectors(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_nearest_recall_ties_and_unusable_vectors(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     rng = np.random.default_rng(5)
     v = rng.standard_normal((1500, 24)) + 4 * rng.standard_normal((6, 24))[rng.integers(0, 6, 1500)]
     v[100:180] = v[100]
@@ -247,7 +249,7 @@ def test_nearest_recall_ties_and_unusable_vectors(spark):
     odd = [(5001, None, ""), (5002, [0.0] * 24, ""), (5003, [1.0] * 23 + [None], ""), (5004, [float("nan")] * 24, ""), (5005, [1.0], ""), (5006, [float("inf")] * 24, ""), (None, data[3][1], ""), data[7]]
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>, key string").repartition(6)
     got = defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, block_rows=400).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, index_block=(64, 300), query_block=40).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     w = np.float32(v).astype(float)
     hits = 0
@@ -256,10 +258,30 @@ def test_nearest_recall_ties_and_unusable_vectors(spark):
         want = [i for i in np.lexsort((np.arange(1500), -np.round(s, 9))) if i != q][:20]
         assert len(got[q]) == 20 and all(abs(x - s[i]) < 1e-9 for i, x in got[q])
         hits += len(set(want) & {i for i, _ in got[q]})
-    assert set(got) == set(range(0, 1500, 20)) and hits / (75 * 20) > 0.99
+    assert set(got) == set(range(0, 1500, 20)) and hits / (75 * 20) > 0.97
     few = neighbours.nearest(df.where("vec_id < 6 and vec_id >= 0"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4, 5]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows_ = sorted(map(tuple, neighbours.nearest(twice, F.col("vec_id") == 1).collect()))
+    assert rows_ == [(1, 1, 3, 1.0), (1, 2, 2, 0.5)]
+
+
+def test_bounds_spare_most_vectors():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    turn = neighbours.rotation(64, 1)
+    codes = neighbours.Codes(*neighbours.encode(v, np.zeros(64), turn), np.zeros(64), turn, 2.0)
+    estimates, errors = codes.estimate(v[:50])
+    exact = v[:50] @ v.T
+    assert abs((estimates - exact).mean()) < 1e-3 and (abs(estimates - exact) <= errors).mean() > 0.94
+    hits = scored = 0
+    for i in range(50):
+        chosen, score, n = neighbours.best_of(v[i], v, estimates[i], errors[i], 21)
+        hits, scored = hits + len(set(chosen) & set(np.argsort(-exact[i])[:21])), scored + n
+    assert hits / (50 * 21) > 0.96 and scored < 0.3 * 50 * 4000
 
 
 # -- 6 toxicity ---------------------------------------------------------------------------
