@@ -137,8 +137,8 @@ def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tup
 
         def block():
             n = np.array(lengths, np.int64)
-            arrays = [np.array(rows, np.int64), np.array(ids, np.int64), np.array(flags, np.uint8), n.astype(np.int64), np.concatenate(parts)]
-            values = [number, *[x.tobytes() for x in arrays], b"\n".join(list(known)[len(first) :]), len(n), int(n.sum()), int(np.maximum(n - window + 1, 0).sum())]
+            arrays = [np.array(rows, np.int64), np.array(ids, np.int64), np.array(flags, np.uint8), n]
+            values = [number, *[x.tobytes() for x in arrays], pack_counts(np.concatenate(parts)), b"\n".join(list(known)[len(first) :]), len(n), int(n.sum()), int(np.maximum(n - window + 1, 0).sum())]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], _BLOCK_NAMES)
 
         size = 0
@@ -168,7 +168,7 @@ def read_block(table: pa.Table | pa.RecordBatch, i: int = 0, first: tuple[bytes,
     at = lambda name, kind: np.frombuffer(table[name][i].as_py(), kind)
     blob = table["words"][i].as_py()
     words = [*first, *(blob.split(b"\n") if blob else [])]
-    return Block(table["block"][i].as_py(), at("rows", np.int64), at("ids", np.int64), at("flags", np.uint8).astype(bool), at("lengths", np.int64), at("tokens", np.int32), words)
+    return Block(table["block"][i].as_py(), at("rows", np.int64), at("ids", np.int64), at("flags", np.uint8).astype(bool), at("lengths", np.int64), unpack_counts(table["tokens"][i].as_py()).view(np.int64), words)
 
 
 # -- sorted key lists ---------------------------------------------------------------------

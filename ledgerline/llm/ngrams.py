@@ -34,12 +34,6 @@ TOKENS_A_SHARD = 1 << 21
 _MIX = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
-class Grams(NamedTuple):
-    keys: np.ndarray  # sorted distinct hashes
-    at: np.ndarray  # of each token: the place of the n-gram that ends there
-    last: np.ndarray  # of each key: a token at which it ends
-
-
 def _split(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "replace").lower().split(), _END]
 
@@ -48,58 +42,40 @@ def word_keys(words: list[bytes], seed: int) -> np.ndarray:
     return t.mix64(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)))
 
 
-def _grams(b: t.Block, n: int, seed: int) -> Grams:
-    """The n-grams that end at each token; start signs stand before the first."""
-    words = word_keys(b.words, seed)
-    before = np.arange(len(b.tokens)) - np.repeat(np.cumsum(b.lengths) - b.lengths, b.lengths)
-    hashed = words[b.tokens]
-    total = hashed.copy()
-    for k in range(1, n):
-        back = np.full(len(hashed), words[1])
-        back[k:] = hashed[:-k] if k else hashed
-        back[before < k] = words[1]
-        total += back * np.uint64(_MIX[(k - 1) % len(_MIX)] + 2 * ((k - 1) // len(_MIX)))
-    return _distinct(t.mix64(total + np.uint64(n)) if n > 1 else total)
-
-
-def _distinct(hashes: np.ndarray) -> Grams:
-    keys, at = np.unique(hashes, return_inverse=True)
-    last = np.zeros(len(keys), np.int64)
-    last[at] = np.arange(len(at))
-    return Grams(keys, at, last)
-
-
-def _contexts(b: t.Block, n: int, seed: int) -> Grams:
-    """The n-grams that end before each token: what the token stands after."""
-    if n == 0:
-        return Grams(np.zeros(1, np.uint64), np.zeros(len(b.tokens), np.int64), np.zeros(1, np.int64))
-    words = word_keys(b.words, seed)
-    before = np.arange(len(b.tokens)) - np.repeat(np.cumsum(b.lengths) - b.lengths, b.lengths)
-    hashed = words[b.tokens]
-    total = np.zeros(len(hashed), np.uint64)
-    for k in range(1, n + 1):
-        back = np.full(len(hashed), words[1])
-        back[k:] = hashed[:-k]
-        back[before < k] = words[1]
-        total += back * (np.uint64(_MIX[(k - 2) % len(_MIX)] + 2 * ((k - 2) // len(_MIX))) if k > 1 else np.uint64(1))
-    return _distinct(t.mix64(total + np.uint64(n)) if n > 1 else total)
-
-
 class Level(NamedTuple):
-    """Keys of one order in a block: those of its n-grams and of the contexts of the order above."""
+    """Keys of one order in a block: those of its n-grams, and of the start signs before a text."""
 
-    keys: np.ndarray
-    gram: np.ndarray  # of each token: its n-gram's place
+    keys: np.ndarray  # sorted distinct hashes
+    gram: np.ndarray  # of each token: the place of the n-gram that ends there
     context: np.ndarray  # of each token: the place of the n words before it
 
 
-def _level(b: t.Block, n: int, order: int, seed: int) -> Level:
-    own = _grams(b, n, seed)
-    if n == order:
-        return Level(own.keys, own.at, np.zeros(0, np.int64))
-    over = _contexts(b, n, seed)
-    keys, place = np.unique(np.concatenate([own.keys, over.keys]), return_inverse=True)
-    return Level(keys, place[: len(own.keys)][own.at], place[len(own.keys) :][over.at])
+def _factor(back: int) -> np.uint64:
+    """What the word ``back`` places before the last is multiplied by in an n-gram's hash."""
+    return np.uint64(_MIX[(back - 1) % len(_MIX)] + 2 * ((back - 1) // len(_MIX))) if back else np.uint64(1)
+
+
+def _levels(b: t.Block, wanted: tuple[int, ...], order: int, seed: int) -> dict[int, Level]:
+    """The wanted orders; start signs stand before the first word, so what stands before a later
+    word is the n-gram that ends at the word before it."""
+    words = word_keys(b.words, seed)
+    hashed, starts = words[b.tokens], np.cumsum(b.lengths) - b.lengths
+    place = np.arange(len(b.tokens)) - np.repeat(starts, b.lengths)
+    total, out = np.zeros(len(hashed), np.uint64), {}
+    start = np.zeros(1, np.uint64)  # the n-gram of start signs only
+    scramble = lambda x, n: t.mix64(x + np.uint64(n)) if n > 1 else x
+    for n in range(1, max(wanted) + 1):
+        back = hashed if n == 1 else np.concatenate([np.zeros(n - 1, np.uint64), hashed[: -(n - 1) or None]])[: len(hashed)]
+        total = total + np.where(place < n - 1, words[1], back) * _factor(n - 1)
+        start = start + words[1] * _factor(n - 1)
+        if n in wanted:
+            more = scramble(start, n) if n < order else start[:0]
+            keys, at = np.unique(np.concatenate([scramble(total, n), more]), return_inverse=True)
+            context = np.concatenate([[0], at[: len(hashed)]])[: len(hashed)]
+            if n < order:
+                context[starts] = at[-1]
+            out[n] = Level(keys, at[: len(hashed)], context)
+    return out
 
 
 def _first_tokens(at: np.ndarray, n: int) -> np.ndarray:
@@ -112,17 +88,23 @@ def _first_tokens(at: np.ndarray, n: int) -> np.ndarray:
 N_TOP, N_LOWER, N_WORDS = 1, 5, 6
 
 
+def _checks(words: list[bytes]) -> np.ndarray:
+    """A second hash of words, by which two words with one key are noticed."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(16)
+
+
 def _requests(table: pa.Table, replies: pa.Table | None, n: int, order: int, seed: int, n_shards: int) -> pa.Table:
     if not table.num_rows:
         return t.REQUEST_ARROW.empty_table()
     b = t.read_block(table, 0, FIRST)
-    level = _level(b, n, order, seed)
+    levels = _levels(b, (n,) if n == order else (n, n + 1), order, seed)
+    level = levels[n]
     count = lambda x: np.bincount(x, minlength=len(level.keys))
     train = np.repeat(b.flags, b.lengths)
     if n == order:
         sums = [count(level.gram[train])]
     else:
-        above = _level(b, n + 1, order, seed)
+        above = levels[n + 1]
         counts, own = _above(replies, above.keys, n + 1, order, n_shards)
         token = _first_tokens(above.gram, len(above.keys))[own > 0]
         c, into, after = counts[own > 0].astype(np.int64), level.gram[token], level.context[token]
@@ -130,6 +112,10 @@ def _requests(table: pa.Table, replies: pa.Table | None, n: int, order: int, see
         sums = [count(into), weight, count(after[c == 1]), count(after[c == 2]), count(after[c >= 3])]
         if n == 1:
             sums.append(count(level.gram[train]))
+    if n == 1:  # the start sign's own key stands among those of the words
+        check = np.zeros(len(level.keys), np.uint64)
+        check[np.searchsorted(level.keys, word_keys(b.words, seed)[[i for i in range(len(b.words)) if i != 1 or order > 1]])] = _checks([w for i, w in enumerate(b.words) if i != 1 or order > 1])
+        sums.append(check)
     return t.request_rows(b.number, level.keys, sums, n_shards)
 
 
@@ -142,9 +128,11 @@ def _histogram(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _merge(store: bool) -> Callable[[pa.Table], pa.Table]:
+def _merge(words: bool, store: bool) -> Callable[[pa.Table], pa.Table]:
     """Merge a shard's requests into sorted arrays and answer every block in the order of its keys.
 
+    With ``words`` the last column of a request is checks, which have to agree at equal keys.
+
     Each block gets the totals at its keys, and of each whether it is the first block in which the
     n-gram was counted, so that every n-gram has one owner.
     """
@@ -153,7 +141,12 @@ def _merge(store: bool) -> Callable[[pa.Table], pa.Table]:
         table = table.sort_by("block")
         asked = [t.unpack_sorted(x) for x in table["keys"].to_pylist()]
         keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-        n_sums = len(table["sums"][0])
+        n_sums, met = len(table["sums"][0]) - words, 0
+        if words:
+            checks = np.concatenate([t.unpack_counts(x[-1]) for x in table["sums"].to_pylist()])
+            one = np.zeros(len(keys), np.uint64)
+            one[place] = checks
+            met = int((one[place] != checks).sum())
         totals, first = [], np.full(len(keys), -1, np.int64)
         for i in range(n_sums):
             counts = np.concatenate([t.unpack_counts(x[i]) for x in table["sums"].to_pylist()])
@@ -171,7 +164,7 @@ def _merge(store: bool) -> Callable[[pa.Table], pa.Table]:
             at += len(wanted)
         raw = totals[-1] if n_sums == N_WORDS else totals[0]
         seen = totals[0][totals[0] > 0]
-        summary = np.array([len(seen), int(raw.sum()), int((raw > 0).sum()), *_histogram(seen)], np.uint64)
+        summary = np.array([len(seen), int(raw.sum()), int((raw > 0).sum()), *_histogram(seen), met], np.uint64)
         out.append((_SUMMARY, shard, [t.pack_counts(summary)]))
         if store:
             out.append((_ARRAYS, shard, [t.pack_sorted(keys), *map(t.pack_counts, totals)]))
@@ -181,31 +174,16 @@ def _merge(store: bool) -> Callable[[pa.Table], pa.Table]:
 
 
 def _summary(replies: DataFrame) -> list[int]:
-    """Over all shards: n-grams counted, the sum of raw counts, keys with one, and n-grams with counts 1 to 4."""
+    """Over all shards: n-grams counted, the sum of raw counts, keys with one, n-grams with counts 1 to 4, and keys that two words share."""
 
     def read(batches):
         for b in batches:
             rows = [t.unpack_counts(x[0]).astype(np.int64) for x in b.column(0).to_pylist()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in np.sum(rows, 0)], [f"s{i}" for i in range(7)])
-
-    got = replies.where(F.col("block") == _SUMMARY).select("sums").mapInArrow(read, ", ".join(f"s{i} long" for i in range(7)))
-    return [x or 0 for x in got.agg(*[F.sum(f"s{i}") for i in range(7)]).first()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in np.sum(rows, 0)], [f"s{i}" for i in range(8)])
 
-
-def _word_totals(blocks: DataFrame, seed: int) -> tuple[int, int, bool]:
-    """N and V of the training words, counted by the words themselves, and whether two share a hash."""
-
-    def words(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                x = t.read_block(b, i, FIRST)
-                n = np.bincount(x.tokens[np.repeat(x.flags, x.lengths)], minlength=len(x.words))
-                yield pa.RecordBatch.from_arrays([pa.array(x.words, pa.binary()), pa.array(word_keys(x.words, seed).view(np.int64)), pa.array(n)], ["word", "key", "n"])
-
-    each = blocks.mapInArrow(words, "word binary, key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("word").alias("a"), F.max("word").alias("b"))
-    n, v, met = each.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count_if(F.col("a") != F.col("b"))).first()
-    return n or 0, v or 0, met > 0
+    got = replies.where(F.col("block") == _SUMMARY).select("sums").mapInArrow(read, ", ".join(f"s{i} long" for i in range(8)))
+    return [x or 0 for x in got.agg(*[F.sum(f"s{i}") for i in range(8)]).first()]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -261,7 +239,7 @@ def _scores(table: pa.Table, replies: pa.Table, m: Numbers, owned: bool) -> pa.T
     if not table.num_rows:
         return _RESULT_ARROW.empty_table()
     b, kind = t.read_block(table, 0, FIRST), replies["n"].to_numpy()
-    levels = {n: _level(b, n, m.order, m.seed) for n in range(1, m.order + 1)}
+    levels = _levels(b, tuple(range(1, m.order + 1)), m.order, m.seed)
     sums = {n: t.read_replies(replies.filter(pa.array(kind == n)), x.keys, m.n_shards, _n_sums(n, m.order) + owned) for n, x in levels.items()}
     p, raw = _probabilities(b, sums, levels, m)
     row = np.repeat(np.arange(len(b.lengths)), b.lengths)
@@ -285,31 +263,25 @@ def _asked(blocks: DataFrame, above: DataFrame | None, n: int, order: int, seed:
     return blocks.groupBy("block").cogroup(answers).applyInArrow(lambda a, r: _requests(a, r, n, order, seed, n_shards), t.REQUEST)
 
 
-def _count(blocks: DataFrame, order: int, store: bool) -> tuple[Numbers, dict[int, DataFrame]]:
+def _count(blocks: DataFrame, order: int, store: bool, seed: int = 0) -> tuple[Numbers, dict[int, DataFrame]]:
     """The model's numbers, and per order the shards' answers to the blocks."""
-    seed = 0
-    tokens, words, met = _word_totals(blocks, seed)
-    while met:  # another seed until no two words share a hash, so that counts of words are exact
-        seed += 1
-        tokens, words, met = _word_totals(blocks, seed)
     n_shards = max(1, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // TOKENS_A_SHARD)
     replies: dict[int, DataFrame] = {}
-    discount, lowest = {}, (0.0, 1.0)
+    discount, kinds_above = {}, 0
     for n in range(order, 0, -1):
         asked = _asked(blocks, replies.get(n + 1), n, order, seed, n_shards)
-        replies[n] = t.cut(t.by_shard(asked, n_shards).applyInArrow(_merge(store), t.REPLY), f"grams-{n}")
-        kinds, raw, _, *histogram = _summary(replies[n])
+        replies[n] = t.cut(t.by_shard(asked, n_shards).applyInArrow(_merge(n == 1, store), t.REPLY), f"grams-{n}")
+        kinds, raw, words, *histogram, met = _summary(replies[n])
+        if met:  # two words share a hash: hash anew, so that the counts of words are exact
+            t.discard(*replies.values())
+            return _count(blocks, order, store, seed + 1)
         discount[n] = discounts(*histogram)
-        if n == 1:
-            total = raw if order == 1 else _summary_total(replies[2])
-            mass = float(discount[1][1] * histogram[0] + discount[1][2] * histogram[1] + discount[1][3] * (kinds - histogram[0] - histogram[1]))
-            lowest = (float(total), mass / total) if total else (0.0, 1.0)
-    return Numbers(order, seed, n_shards, tokens, words, discount, lowest), replies
-
-
-def _summary_total(replies: DataFrame) -> int:
-    """How many distinct n-grams an order has: the sum of the counts of the order below."""
-    return _summary(replies)[0]
+        if n > 1:
+            kinds_above = kinds  # the sum of the counts of the order below
+    total, d = raw if order == 1 else kinds_above, discount[1]
+    mass = float(d[1] * histogram[0] + d[2] * histogram[1] + d[3] * (kinds - histogram[0] - histogram[1]))
+    lowest = (float(total), mass / total) if total else (0.0, 1.0)
+    return Numbers(order, seed, n_shards, raw, words, discount, lowest), replies
 
 
 def train_model(docs: DataFrame, train: Column, order: int = 3, block_bytes: int = 6 << 20) -> Model:
@@ -350,9 +322,8 @@ def score_texts(docs: DataFrame, model: Model, block_bytes: int = 6 << 20) -> Da
 
     def ask(table: pa.RecordBatch) -> pa.Table:
         b, parts = t.read_block(table, 0, FIRST), []
-        for n in range(1, m.order + 1):
-            keys = _level(b, n, m.order, m.seed).keys
-            part = t.request_rows(b.number, keys, [np.zeros(len(keys))] * _n_sums(n, m.order), m.n_shards)
+        for n, level in _levels(b, tuple(range(1, m.order + 1)), m.order, m.seed).items():
+            part = t.request_rows(b.number, level.keys, [np.zeros(len(level.keys))] * _n_sums(n, m.order), m.n_shards)
             parts.append(part.append_column("n", pa.array([n] * part.num_rows, pa.int32())))
         return pa.concat_tables(parts)
 
@@ -377,8 +348,8 @@ def score_by_model(docs: DataFrame, train: Column, order: int = 3, block_bytes:
     model's log10 probability of the text, perplexity 10 ** (-score / n_tokens).  Null texts count
     as empty (one end token); a text of any length is read whole.  Without training rows every
     token has the probability 1.  Repeated rows are scored, and counted, each; an empty table gives
-    an empty table.  Counts of words are exact: words are counted by themselves, and hashed anew
-    where two share a hash.  Longer n-grams are told apart by 64-bit hashes.  The driver gets a few
+    an empty table.  Counts of words are exact: their hashes are checked by a second one, and all are
+    hashed anew where two words share one.  Longer n-grams are told apart by 64-bit hashes.  The driver gets a few
     numbers an order.
     """
     blocks = _blocks(docs, train, block_bytes)

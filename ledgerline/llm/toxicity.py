@@ -35,6 +35,8 @@ QUOTES = "\"“”„«»‘’"
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 300_000
+#: Labels up to this many rows are broadcast to the documents, more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Letters of the shortest and the longest root.
 ROOTS = (3, 12)
 #: Copies of the weights, over which the hits of a common spelling are dealt.
@@ -168,19 +170,36 @@ def toxic_hits(docs: DataFrame, lexicon: list[str], roots: list[str] = (), windo
 # -- learning roots -----------------------------------------------------------------------
 
 
-def _named_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word of each text once, with the least hash of the pairs of words around it."""
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text the least hash of its runs of three words, which most of its near copies share."""
+    for b in batches:
+        shapes = []
+        for text in b.column(0).to_pylist():
+            words = _WORD.findall((text or "").lower())
+            runs = map(" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [" ".join(words)]
+            shapes.append(min(map(xxhash.xxh3_64_intdigest, runs)) >> 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shapes, pa.int64())], ["text", "toxic", "shape"])
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each word stands, and in how many toxic ones, summed over what a task reads."""
+    counts: dict[str, list[float]] = {}
+
+    def flush():
+        t, n = zip(*counts.values(), strict=True) if counts else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(t, pa.float64()), pa.array(n, pa.float64())], ["word", "t", "n"])
+
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words, around = _WORD.findall((text or "").lower()), {}
-            for left, word, right in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for word in set(_WORD.findall((text or "").lower())):
                 if len(word) >= ROOTS[0]:
-                    pair = xxhash.xxh3_64_intdigest(f"{left} {right}") >> 1
-                    if pair < around.get(word, 1 << 63):
-                        around[word] = pair
-            n = len(around)
-            rows = [pa.array(list(around), pa.string()), pa.array(list(around.values()), pa.int64()), pa.array(np.full(n, toxic, float))]
-            yield pa.RecordBatch.from_arrays(rows, ["word", "context", "toxic"])
+                    seen = counts.setdefault(word, [0.0, 0.0])
+                    seen[0] += toxic
+                    seen[1] += 1.0
+            if len(counts) > _CACHE:
+                yield flush()
+                counts.clear()
+    yield flush()
 
 
 def _gain(t, n, share: float):
@@ -193,8 +212,8 @@ def _gain(t, n, share: float):
 def learn_roots(docs: DataFrame, marked: DataFrame, share: float = 0.7, evidence: float = 12.0, words: int = 3) -> list[str]:
     """Beginnings of words that mark toxic texts, the shortest of each family, in order.
 
-    ``marked`` has (label_id, toxic); all its rows are used.  A word counts once per text and once
-    per pair of neighbours, so that copies of a text count as one.  A beginning is taken where
+    ``marked`` has (label_id, toxic); all its rows are used.  A word counts once per text, and of
+    texts with one shape and label, near copies as a rule, only one counts.  A beginning is taken where
     ``words`` words or more have it, at least ``share`` of their counts are toxic, and their
     likelihood against the overall share is above exp(``evidence``).  Every root so needs its own
     evidence; there is no other limit on how many are found.
@@ -202,9 +221,10 @@ def learn_roots(docs: DataFrame, marked: DataFrame, share: float = 0.7, evidence
     n, t = marked.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not t or t == n:
         return []
-    sample = docs.select(F.col("doc_id").alias("label_id"), "text").join(marked, "label_id").select("text", "toxic")
-    seen = sample.mapInArrow(_named_words, "word string, context long, toxic double").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
-    each = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").cast("double").alias("n"))
+    few = F.broadcast(marked) if n <= BROADCAST_ROWS else marked
+    sample = docs.select(F.col("doc_id").alias("label_id"), "text").join(few, "label_id").select("text", "toxic").mapInArrow(_shapes, "text string, toxic double, shape long")
+    once = sample.groupBy("shape", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    each = once.mapInArrow(_counted_words, "word string, t double, n double").groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     ends = F.explode(F.sequence(F.lit(ROOTS[0]), F.least(F.length("word"), F.lit(ROOTS[1])))).alias("k")
     begun = each.select("word", "t", "n", ends).groupBy(F.substring("word", 1, F.col("k")).alias("root"))
     sums = begun.agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words"))
