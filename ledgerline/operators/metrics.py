@@ -86,14 +86,17 @@ def metrics_table(daily: DataFrame) -> DataFrame:
 
 
 def relative(pairs: DataFrame, *by: str, least: int = 100) -> DataFrame:
-    """Benchmark-relative statistics of (ret, bench, rf) rows grouped ``by``; null under ``least`` rows."""
+    """Benchmark-relative statistics of (ret, bench, rf) rows grouped ``by``; null under ``least`` rows.
+
+    ``alpha_row`` is the mean left by beta in a row; ``alpha`` compounds it over a year's rows.
+    """
     se, be, active = F.col("ret") - F.col("rf"), F.col("bench") - F.col("rf"), F.col("ret") - F.col("bench")
     beta = F.covar_samp(se, be) / F.nullif(F.var_samp(be), F.lit(0.0))
     root = math.sqrt(ANNUAL)
     capture = lambda cond: F.when(F.count(F.when(cond, 1)) > 20, F.avg(F.when(cond, F.col("ret"))) / F.nullif(F.avg(F.when(cond, F.col("bench"))), F.lit(0.0)))
     ok = F.count("*") >= least
     return pairs.groupBy(*by).agg(
-        F.count("*").alias("n"), F.when(ok, beta).alias("beta"), F.when(ok, F.pow(1 + F.avg(se) - beta * F.avg(be), ANNUAL) - 1).alias("alpha"),
+        F.count("*").alias("n"), F.when(ok, beta).alias("beta"), F.when(ok, F.avg(se) - beta * F.avg(be)).alias("alpha_row"), F.when(ok, F.pow(1 + F.avg(se) - beta * F.avg(be), ANNUAL) - 1).alias("alpha"),
         F.when(ok, F.stddev_samp(active) * root).alias("tracking_error"), F.when(ok, F.avg(active) / F.nullif(F.stddev_samp(active), F.lit(0.0)) * root).alias("information_ratio"),
         F.when(ok, F.avg(active) * ANNUAL).alias("active_return"), F.when(ok, F.corr("ret", "bench")).alias("corr"),
         F.when(ok, capture(F.col("bench") > 0)).alias("up_capture"), F.when(ok, capture(F.col("bench") < 0)).alias("down_capture"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,38 +90,68 @@ def factor_regression(run: DataFrame, factors: DataFrame, lags: int | None = Non
 # -- bootstrap ----------------------------------------------------------------------------
 
 
-def bootstrap_draws(spark, n: int, reps: int, block: int = 21, seed: int = 7) -> DataFrame:
-    """(rep, pos, idx): stationary bootstrap days, one draw for all series.
+def drawn_days(n: int, rep: int, block: int = 21, seed: int = 7) -> np.ndarray:
+    """The days of one stationary bootstrap sample: geometric blocks that wrap around, one draw for all series.
 
-    A block starts at each place with chance 1/block, so lengths are geometric, and wraps around.
-    All randomness is a hash of (seed, rep, pos): any partitioning gives the same draws.
+    A block starts at each place with chance 1/block.  The generator is keyed by (seed, rep), so
+    any partitioning and any repeated task gives the same draws.
     """
-    share = lambda tag: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "rep", "pos"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    grid = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
-    starts = grid.withColumn("start", F.when((F.col("pos") == 0) | (share("new") < 1.0 / block), F.col("pos")))
-    path = Window.partitionBy("rep").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    held = starts.withColumn("start", F.last("start", ignorenulls=True).over(path)).withColumn("first", F.pmod(F.xxhash64(F.lit(seed), F.lit("at"), "rep", "start"), F.lit(n)))
-    return held.select("rep", "pos", F.pmod(F.col("first") + F.col("pos") - F.col("start"), F.lit(n)).cast("int").alias("idx"))
+    rng = np.random.Generator(np.random.Philox(key=[seed, rep]))
+    new = rng.random(n) < 1.0 / block
+    new[0] = True
+    at, first = np.flatnonzero(new), rng.integers(0, n, n)
+    start = at[np.cumsum(new) - 1]
+    return (first[start] + np.arange(n) - start) % n
+
+
+def bootstrap_draws(spark, n: int, reps: int, block: int = 21, seed: int = 7) -> DataFrame:
+    """(rep, pos, idx): :func:`drawn_days` as rows."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rep in b["id"]:
+                yield pd.DataFrame({"rep": rep, "pos": np.arange(n), "idx": drawn_days(n, rep, block, seed)})
+
+    return spark.range(reps).mapInPandas(draw, "rep long, pos int, idx int")
+
+
+def resampled(ret: np.ndarray, rf: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(CAGR, Sharpe, drawdown) of samples, one a row of ``idx``; no Sharpe where returns do not vary."""
+    r, e = ret[idx], (ret - rf)[idx]
+    nav = np.cumprod(1 + r, axis=1)
+    peak = np.maximum(np.maximum.accumulate(nav, axis=1), 1.0)
+    sd = e.std(axis=1, ddof=1)
+    sharpe = np.where(sd > 0, e.mean(axis=1) / np.where(sd > 0, sd, 1) * math.sqrt(ANNUAL), np.nan)
+    return nav[:, -1] ** (ANNUAL / idx.shape[1]) - 1, sharpe, (1 - nav / peak).max(axis=1)
+
+
+REPS_A_TASK = 100
 
 
 def bootstrap(daily: DataFrame, baseline: str, reps: int = 2000, block: int = 21, seed: int = 7, least: int = 250) -> tuple[DataFrame, DataFrame]:
     """Confidence intervals per run, and paired Sharpe differences against ``baseline``.
 
-    ``daily(config_id, date, ret, rf)`` over the days that all runs share.
+    ``daily(config_id, date, ret, rf)`` over the days that all runs share.  A run is one row of two
+    arrays over the days; every (run, block of repetitions) is one row of work, so nothing is
+    shuffled per sampled day, and runs and repetitions spread over all tasks.
     """
-    days = daily.groupBy("date").agg(F.countDistinct("config_id").alias("k")).crossJoin(F.broadcast(daily.agg(F.countDistinct("config_id").alias("all")))).where("k = all")  # one row
-    place = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("idx"))  # days only
-    rows = daily.join(place, "date").select("config_id", "idx", "ret", "rf")
-    n = place.count()
+    days = daily.groupBy("date").agg(F.countDistinct("config_id").alias("k")).crossJoin(F.broadcast(daily.agg(F.countDistinct("config_id").alias("all")))).where("k = all").select("date")  # one row
+    n = days.count()
     if n < least:
         raise ValueError(f"{least} common days are needed, {n} found")
-    sampled = bootstrap_draws(daily.sparkSession, n, reps, block, seed).join(rows, "idx")
-    path = Window.partitionBy("rep", "config_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    walked = sampled.withColumn("nav", F.product(1 + F.col("ret")).over(path)).withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(path), F.lit(1.0)) - 1)
-    e = F.col("ret") - F.col("rf")
-    stats = walked.groupBy("rep", "config_id").agg(
-        (F.pow(F.max_by("nav", "pos"), F.lit(ANNUAL / n)) - 1).alias("cagr"), (F.avg(e) / F.nullif(F.stddev_samp(e), F.lit(0.0)) * math.sqrt(ANNUAL)).alias("sharpe"), (-F.min("dd")).alias("max_drawdown")
-    )
+    rows = F.sort_array(F.collect_list(F.struct("date", "ret", "rf")))
+    runs = daily.join(days, "date", "left_semi").groupBy("config_id").agg(rows.alias("d")).select("config_id", F.col("d.ret").alias("ret"), F.col("d.rf").alias("rf"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REPS_A_TASK))).alias("first")
+    work = runs.select("config_id", "ret", "rf", blocks).repartition("config_id", "first")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for config, ret, rf, first in zip(b["config_id"], b["ret"], b["rf"], b["first"], strict=True):
+                some = np.arange(first, min(first + REPS_A_TASK, reps))
+                cagr_, sharpe, drawdown = resampled(np.asarray(ret), np.asarray(rf), np.array([drawn_days(n, int(k), block, seed) for k in some]))
+                yield pd.DataFrame({"config_id": config, "rep": some, "cagr": cagr_, "sharpe": sharpe, "max_drawdown": drawdown})
+
+    stats = work.mapInPandas(draw, "config_id string, rep long, cagr double, sharpe double, max_drawdown double").withColumn("sharpe", F.nanvl("sharpe", F.lit(None)))
     bounds = [F.expr(f"percentile({c}, array(0.025, 0.5, 0.975))").alias(c) for c in ("cagr", "sharpe", "max_drawdown")]
     base = stats.where(F.col("config_id") == baseline).select("rep", F.col("sharpe").alias("s0"))
     paired = stats.where(F.col("config_id") != baseline).join(base, "rep").withColumn("d", F.col("sharpe") - F.col("s0"))

@@ -23,7 +23,7 @@ def money(c: str):
 
 def segment_panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """Mean order price by market segment: a fixed universe of five series."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.trunc("o_orderdate", unit).alias("date"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.date_trunc(unit, "o_orderdate").cast("date").alias("date"))
     joined = orders.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("series_id")), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("series_id", "date").agg((money("o_totalprice") / F.count("*")).alias("value"))
 
@@ -36,7 +36,7 @@ def segment_sql(unit: str = "week") -> str:
 
 def brand_panel(spark: SparkSession, sf_dir: str, least: int = 3, unit: str = "week") -> DataFrame:
     """Price per unit by brand, with members where enough lines stand behind it: a changing universe."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", F.trunc("l_shipdate", unit).alias("date"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", F.date_trunc(unit, "l_shipdate").cast("date").alias("date"))
     joined = lines.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("series_id")), F.col("l_partkey") == F.col("p_partkey"))
     return joined.groupBy("series_id", "date").agg((money("l_extendedprice") / money("l_quantity")).alias("value"), (F.count("*") >= least).alias("member"), F.count("*").alias("n_lines"))
 
@@ -87,16 +87,18 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types and sizes of the parts of odd keys, some of them declared proxies of the next size."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 1 and p_size % 5 != 0").select("p_type", "p_size").distinct()
+    """Types and sizes of the parts that were ordered, each a declared proxy of the next size."""
+    ordered = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    part = table(spark, sf_dir, "part").join(ordered, "p_partkey", "left_semi").select("p_type", "p_size").distinct()
     name = lambda size: F.concat_ws("_", "p_type", size.cast("string"))
     return part.select(
-        name(F.col("p_size")).alias("name"), F.when(F.col("p_size") % 7 == 0, "restated").otherwise("pit").alias("pit_status"), F.array(name(F.col("p_size") + 1)).alias("is_proxy_for"), F.array().cast("array<string>").alias("caveats"), F.col("p_size").alias("ord")
-    )
+        name(F.col("p_size")).alias("name"), F.when(F.col("p_size") % 7 == 0, "restated").otherwise("pit").alias("pit_status"), F.array(name(F.col("p_size") + 1)).alias("is_proxy_for"),
+        F.array(F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("caveats"), F.col("p_size").alias("ord"),
+    )
 
 
 FEASIBILITY_SQL = """req AS (SELECT DISTINCT p_brand AS card_id, p_type || '_' || p_size AS name, p_type AS kind, p_size % 3 = 0 AS mandatory FROM part),
-    reg AS (SELECT DISTINCT p_type || '_' || p_size AS name, CASE WHEN p_size % 7 = 0 THEN 'restated' ELSE 'point_in_time' END AS pit, p_type || '_' || (p_size + 1) AS stands_for FROM part WHERE p_partkey % 2 = 1 AND p_size % 5 != 0),
+    reg AS (SELECT DISTINCT p_type || '_' || p_size AS name, CASE WHEN p_size % 7 = 0 THEN 'restated' ELSE 'point_in_time' END AS pit, p_type || '_' || (p_size + 1) AS stands_for FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
     res AS (
         SELECT req.*, CASE WHEN h.name IS NOT NULL THEN CASE WHEN h.pit = 'point_in_time' THEN 'AVAILABLE' ELSE 'DEGRADED' END WHEN x.name IS NOT NULL THEN 'PROXY' ELSE 'UNAVAILABLE' END AS status,
             coalesce(h.name, x.name) AS resolved_to

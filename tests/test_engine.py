@@ -198,7 +198,7 @@ def test_evidence_on_phrases(spark):
     text = "We find results. The portfolio is rebalanced monthly with 10 bps costs.\nTable 1: Results\nReturn Volatility Sharpe\nEqual weight 10.4% 9.3% 0.91\nTilted book 11.0% (2.0%) 0.95\nSharpe ratio of 0.91 using CRSP"
     pages = spark.createDataFrame([("d", 0, text), ("d", 1, "Equal weight 10.5% 9.3% 0.91\nTilted book 11.0% 9.9% 0.95"), ("r", 0, "nruter evitalumuC 10 bps"), ("n", 0, None)], "doc_id string, page int, text string")
     hits = {(r["kind"], r["value"]) for r in evidence.scan(pages).collect()}
-    assert {("rebalance", "rebalanced"), ("cost_bps", "10"), ("sharpe", "0.91"), ("data_source", "CRSP")} <= hits
+    assert {("rebalance", "monthly"), ("cost_bps", "10"), ("sharpe", "0.91"), ("data_source", "CRSP")} <= hits
     tables = evidence.recover_tables(pages).orderBy("page").collect()
     assert len(tables) == 2 and tables[0]["caption"].startswith("Table 1") and tables[0]["header"].startswith("Return")
     assert [list(x["numbers"]) for x in tables[0]["rows"]] == [[pytest.approx(0.104), pytest.approx(0.093), 0.91], [pytest.approx(0.11), pytest.approx(-0.02), 0.95]]
