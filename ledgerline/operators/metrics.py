@@ -148,3 +148,9 @@ def replication_gap(targets: DataFrame, measured: DataFrame) -> DataFrame:
     relative_gap = gap / F.nullif(F.abs("target"), F.lit(0.0))
     passed = F.when(F.col("absolute_tolerance").isNotNull(), gap <= F.col("absolute_tolerance")).otherwise(relative_gap <= F.col("tolerance"))
     return both.withColumns({"gap": gap, "relative_gap": relative_gap, "passed": F.coalesce(passed, F.lit(False))})
+
+
+def write_metrics(table: DataFrame, path: str) -> None:
+    """The metrics table as CSV with a header; an existing folder is refused."""
+    flat = table.withColumns({c: F.concat_ws("; ", c) for c, k in table.dtypes if k.startswith("array")})
+    flat.write.mode("errorifexists").option("header", True).csv(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import in_order, so_far
-from ledgerline.sources.panels import refuse
+from ledgerline.sources.panels import calendar, refuse
 
 # -- targets ------------------------------------------------------------------------------
 
@@ -32,6 +32,22 @@ def check_weights(weights: DataFrame, universe: DataFrame) -> DataFrame:
     return weights
 
 
+def resolve_weights(spec: DataFrame, universe: DataFrame) -> DataFrame:
+    """(config_id, asset, weight) of specs (config_id, equal boolean, weights map<string,double>) over ``universe(asset)``.
+
+    An equal spec gives 1/n to every asset; a map has to name all of them and no other.
+    """
+    n = universe.agg(F.countDistinct("asset").alias("n"))
+    flat = spec.where("equal").select("config_id").crossJoin(universe.select("asset").distinct()).crossJoin(F.broadcast(n)).select("config_id", "asset", (1 / F.col("n")).alias("weight"))  # n is one row
+    stated = spec.where("not equal").select("config_id", F.explode("weights").alias("asset", "weight"))
+    return flat.unionByName(check_weights(stated, universe))
+
+
+def after_warmup(dates: DataFrame, days: DataFrame, warmup: int) -> DataFrame:
+    """The rebalances of (config_id, date) that have ``warmup`` trading days of ``days`` or more before them."""
+    return dates.join(calendar(days).where(F.col("pos") >= warmup).select("date"), "date", "left_semi")
+
+
 def fixed_weight(dates: DataFrame, weights: DataFrame) -> DataFrame:
     """Stated weights at every rebalance of (config_id, date)."""
     return dates.join(weights, "config_id").select("config_id", "date", "asset", "weight")
@@ -185,7 +201,7 @@ def position_policy(targets: DataFrame, allow_cash: bool = True) -> DataFrame:
 # -- accounting ---------------------------------------------------------------------------
 
 
-def asset_returns(panel: DataFrame, warmup: int = 0) -> DataFrame:
+def asset_returns(panel: DataFrame) -> DataFrame:
     """(asset, date, ret, eligible, stale) from (series_id, date, value[, eligible]) on the full grid of days.
 
     A missing price is a return of 0 and stale; so is the return of the day after a gap.

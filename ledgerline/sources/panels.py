@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ANNUAL, messages
 
-# Spellings of the master file's columns, and of yes and no.
+# Spellings of the master file's columns (case and separators aside), and of yes and no.
 ALIASES = {
-    "date": ("date", "trade_date", "as_of", "asof"),
-    "security_id": ("security_id", "isin", "secid", "id"),
-    "symbol": ("symbol", "ticker"),
-    "adj_close": ("adj_close", "adjusted_close", "close_adj"),
-    "close": ("close", "px_last", "price"),
-    "in_universe": ("in_universe", "member", "membership", "is_member"),
-    "free_float_mcap": ("free_float_mcap", "ff_mcap", "float_mcap"),
-    "market_cap": ("market_cap", "mcap"),
-    "adv": ("adv", "average_daily_value", "adtv"),
-    "volume": ("volume", "vol"),
-    "sector": ("sector", "industry"),
+    "date": ("date", "trade_date", "timestamp", "dt", "as_of"),
+    "security_id": ("security_id", "sec_id", "id", "isin", "permno", "entity_id"),
+    "symbol": ("symbol", "ticker", "scrip", "nse_symbol", "code"),
+    "adj_close": ("adj_close", "adjusted_close", "close_adj", "px_adj", "adjusted_price", "adj_price"),
+    "close": ("close", "close_price", "px_close", "closing_price", "price"),
+    "in_universe": ("in_universe", "in_index", "member", "membership", "is_member", "index_member", "active", "is_active"),
+    "free_float_mcap": ("free_float_mcap", "ff_mcap", "free_float_market_cap", "ffmc", "float_mcap"),
+    "market_cap": ("market_cap", "mcap", "total_mcap", "full_mcap"),
+    "adv": ("adv", "traded_value", "turnover_value", "value_traded", "traded_val", "turnover"),
+    "volume": ("volume", "qty", "shares_traded", "traded_qty"),
+    "sector": ("sector", "industry", "gics_sector", "macro_sector"),
 }
 YES = ("1", "true", "t", "y", "yes")
 NO = ("0", "false", "f", "n", "no")
@@ -297,6 +297,38 @@ def manifest_errors(entries: DataFrame, kinds: Sequence[str] = ("price", "rate",
     )
 
 
+def declaration_errors(declared: DataFrame) -> DataFrame:
+    """Declared master universes (file, pit_status, licence) with ``errors``; a status has to be a canonical one."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    known = F.col("pit_status").isin(*sorted(set(PIT_ALIASES.values())))
+    return declared.withColumn(
+        "errors",
+        messages(*[(blank(c), f"master: {c} is required") for c in ("file", "pit_status", "licence")], (~blank("pit_status") & ~known, F.concat(F.lit("master: unknown pit_status "), "pit_status"))),
+    )
+
+
+def load_declared_master(spark: SparkSession, declared: DataFrame, folder: str, **options) -> DataFrame | None:
+    """The master universe that a one-row declaration names, or None without one; a broken one is refused."""
+    row = declaration_errors(declared).first()
+    if row is None:
+        return None
+    if row["errors"]:
+        raise Refused("; ".join(row["errors"]))
+    return read_master(spark, f"{folder}/{row['file']}", **options)
+
+
+def select_registry(registry: DataFrame, name: str | None = None, kind: str | None = None, proxy_for: str | None = None) -> DataFrame:
+    """Registry entries by name, by kind, or declared to stand for a name; in order of names."""
+    out = registry
+    if name is not None:
+        out = out.where(F.col("name") == name)
+    if kind is not None:
+        out = out.where(F.col("kind") == kind)
+    if proxy_for is not None:
+        out = out.where(F.array_contains("is_proxy_for", proxy_for))
+    return out.sort("name")
+
+
 def extend_registry(registry: DataFrame, entries: DataFrame, caveat: str = "not knowable at the time") -> DataFrame:
     """The registry with supplied series; a name that it has is refused.
 
