@@ -9,8 +9,10 @@ blocks, what the keys add up to over the whole corpus.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
@@ -131,7 +133,10 @@ def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tup
         number = TaskContext.get().partitionId() << 32
 
         def fresh():
-            return {w: i for i, w in enumerate(first)}, [], [], [], [], []
+            known = defaultdict(itertools.count().__next__)  # the next number for a new word
+            for w in first:
+                known[w]
+            return known, [], [], [], [], []
 
         known, rows, ids, flags, lengths, parts = fresh()
 
@@ -145,7 +150,7 @@ def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tup
         for b in batches:
             for row, doc, text, marked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = split(text or "")
-                parts.append(np.fromiter((known[w] if w in known else known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+                parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 rows.append(row)
                 ids.append(NO_ID if doc is None else doc)
                 flags.append(bool(marked))
