@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ledgerline.functions.columns import fingerprint, messages
 
@@ -85,12 +86,76 @@ def decision_sheet(listed: DataFrame) -> DataFrame:
     return listed.where("rank < 9").sort("card_id", "rank", "ord")
 
 
-def completeness(cards: DataFrame, checks: list[tuple[str, int, Column]]) -> DataFrame:
-    """(card_id, score, gaps): weighted share of (name, weight, condition) passed; gaps of weight 3."""
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.lit(w).alias("weight"), F.coalesce(c, F.lit(False)).alias("passed")) for n, w, c in checks])
-    each = cards.select("card_id", F.explode(rows).alias("c")).select("card_id", "c.*")
-    return each.groupBy("card_id").agg(
-        (F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("score"), F.sort_array(F.collect_list(F.when(~F.col("passed") & (F.col("weight") == 3), F.col("check")))).alias("gaps")
+# What a complete card has, as (section, check, weight, kind, field, number, where it applies).
+# Kinds: text (more than so many characters), items (so many or more), least (a number of so much or more), set, flagged (an item
+# whose flag holds), each (every item has the text), equal (that text).  A check applies always, or where the section is there or
+# where the card is a replication or an adaptation.
+STANDARD = (
+    ("paper", "source file", 3, "text", "paper.source_file", 0, ""), ("paper", "digest of the source", 3, "text", "paper.source_sha256", 0, ""), ("paper", "authors", 1, "items", "paper.authors", 1, ""),
+    ("intent", "rationale", 2, "text", "intent.rationale", 80, ""), ("intent", "what transfers", 3, "text", "intent.transferred_mechanism", 60, "adaptation"), ("intent", "what breaks", 3, "items", "intent.broken_assumptions", 2, "adaptation"),
+    ("intent", "numbers to replicate", 3, "items", "replication_targets", 1, "replication"),
+    ("universe", "translation", 3, "set", "universe_translation", 0, ""), ("universe", "source universe", 2, "text", "universe_translation.source_universe", 3, "universe_translation"), ("universe", "selection rule of the source", 2, "text", "universe_translation.source_selection_rule", 0, "universe_translation"),
+    ("universe", "argument for the target", 3, "text", "universe_translation.rationale", 80, "universe_translation"), ("universe", "risks of the transfer", 3, "items", "universe_translation.transfer_risks", 2, "universe_translation"), ("universe", "needs of the mechanism", 2, "set", "universe_translation.mechanism_needs", 0, "universe_translation"),
+    ("universe", "alternatives", 2, "items", "universe_translation.alternatives_considered", 1, "universe_translation"), ("universe", "why not these", 2, "text", "universe_translation.why_not_alternatives", 0, "universe_translation"), ("universe", "page", 1, "set", "universe_translation.evidence_page", 0, "universe_translation"),
+    ("strategy", "reconstruction", 3, "set", "strategy", 0, ""), ("strategy", "signal", 3, "text", "strategy.signal_definition", 120, "strategy"), ("strategy", "inputs", 2, "items", "strategy.inputs_required", 1, "strategy"), ("strategy", "formation", 2, "text", "strategy.formation_rule", 0, "strategy"),
+    ("strategy", "weighting", 2, "text", "strategy.weighting_rule", 0, "strategy"), ("strategy", "constraints", 2, "items", "strategy.constraints", 1, "strategy"), ("strategy", "pages", 2, "items", "strategy.evidence_pages", 1, "strategy"), ("strategy", "read with confidence", 1, "equal", "strategy.confidence", "high", "strategy"),
+    ("signal", "template", 3, "text", "signal.template", 0, ""), ("signal", "lookback", 2, "set", "signal.lookback_days", 0, ""), ("signal", "lag of a day or more", 3, "least", "signal.lag_days", 1, ""), ("signal", "description", 1, "text", "signal.description", 40, ""),
+    ("portfolio", "first day", 2, "text", "portfolio.start", 0, ""), ("portfolio", "cash stance of the mandate", 2, "set", "portfolio.mandate_allow_cash", 0, ""), ("costs", "own cost", 3, "least", "costs.spread_bps", 20, ""),
+    ("data", "requirements", 3, "items", "data_requirements", 1, ""), ("data", "a purpose for each", 2, "each", "data_requirements.purpose", 0, ""),
+    ("ambiguities", "logged", 3, "items", "ambiguities", 3, ""), ("ambiguities", "all resolved", 3, "each", "ambiguities.resolution", 0, ""), ("ambiguities", "some material", 2, "flagged", "ambiguities.material", 0, ""),
+    ("benchmarks", "free alternatives", 3, "items", "benchmark_templates", 2, ""), ("honesty", "configs tried", 2, "least", "n_configs_tried", 1, ""), ("honesty", "notes", 1, "text", "notes", 60, ""),
+    ("data plan", "designed", 3, "set", "data_plan", 0, ""), ("data plan", "fields", 3, "items", "data_plan.ideal", 1, "data_plan"), ("data plan", "granularity argued", 3, "each", "data_plan.ideal.why_granularity", 0, "data_plan"), ("data plan", "history argued", 2, "each", "data_plan.ideal.why_history", 0, "data_plan"),
+    ("data plan", "adjustments", 2, "each", "data_plan.ideal.adjustments", 0, "data_plan"), ("data plan", "least set marked", 3, "flagged", "data_plan.ideal.minimum_viable", 0, "data_plan"), ("data plan", "rejected alternatives", 2, "items", "data_plan.rejected_alternatives", 1, "data_plan"), ("data plan", "argument", 3, "text", "data_plan.optimality_argument", 80, "data_plan"),
+    ("selection", "rule", 3, "text", "selection.rule", 0, ""), ("backtest plan", "plan", 3, "set", "backtest_plan", 0, ""), ("backtest plan", "window argued", 3, "text", "backtest_plan.why_this_window", 0, "backtest_plan"), ("backtest plan", "warm-up", 2, "set", "backtest_plan.warmup_days", 0, "backtest_plan"),
+    ("backtest plan", "weights", 3, "text", "backtest_plan.weights_rule", 0, "backtest_plan"), ("backtest plan", "reasons for benchmarks", 3, "each", "backtest_plan.benchmarks.why_this", 0, "backtest_plan"), ("backtest plan", "what to beat", 2, "items", "backtest_plan.must_beat", 1, "backtest_plan"), ("backtest plan", "failure defined", 3, "text", "backtest_plan.failure_looks_like", 0, "backtest_plan"),
+    ("asks", "open questions", 1, "items", "open_questions", 1, ""), ("convertibility", "verdict", 3, "set", "convertibility", 0, ""), ("convertibility", "chain", 2, "items", "convertibility.what_must_be_true", 3, "convertibility"), ("convertibility", "weakest link", 3, "text", "convertibility.weakest_link", 0, "convertibility"),
+    ("convertibility", "decisive evidence", 3, "text", "convertibility.decisive_evidence", 0, "convertibility"), ("convertibility", "worth of a null result", 2, "text", "convertibility.if_it_fails", 0, "convertibility"), ("convertibility", "capacity", 1, "text", "convertibility.capacity_note", 0, "convertibility"),
+)
+# Gate A, in the same terms, with whether a failure blocks.
+GATE_A = (
+    ("universe", "the universe is translated", True, "set", "universe_translation", 0, ""), ("data plan", "the data set is designed", True, "items", "data_plan.ideal", 1, ""), ("data plan", "alternatives were weighed", False, "items", "data_plan.rejected_alternatives", 1, "data_plan"),
+    ("selection", "the selection is a rule", True, "text", "selection.rule", 0, ""), ("backtest plan", "the test is planned", True, "set", "backtest_plan", 0, ""), ("strategy", "the strategy can be built", True, "text", "strategy.signal_definition", 0, ""),
+    ("strategy", "read with confidence", False, "equal", "strategy.confidence", "high", "strategy"), ("ambiguities", "ambiguities are resolved", True, "each", "ambiguities.resolution", 0, "ambiguities"), ("convertibility", "convertibility is assessed", False, "set", "convertibility", 0, ""),
+    ("intent", "there are numbers to replicate", True, "items", "replication_targets", 1, "replication"), ("intent", "what breaks is named", False, "items", "intent.broken_assumptions", 1, "adaptation"),
+)
+
+
+def _holds(cards: DataFrame, kind: str, path: str, number) -> Column:
+    """The condition of one check; a field that the table lacks fails it."""
+    at = cards.schema
+    for part in path.split("."):
+        at = at.elementType if isinstance(at, ArrayType) else at
+        if not isinstance(at, StructType) or part not in at.names:
+            return F.lit(False)
+        at = at[part].dataType
+    x = F.col(path)
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    conditions = {
+        "text": lambda: F.length(clean(x)) > number, "items": lambda: F.size(F.coalesce(x, F.array())) >= number, "least": lambda: x >= number, "set": lambda: x.isNotNull(), "equal": lambda: x == number,
+        "flagged": lambda: F.exists(x, lambda v: F.coalesce(v, F.lit(False))), "each": lambda: (F.size(x) > 0) & F.forall(x, lambda v: F.length(clean(v)) > 0),
+    }
+    return F.coalesce(conditions[kind](), F.lit(False))
+
+
+def _applies(cards: DataFrame, where: str) -> Column:
+    if not where:
+        return F.lit(True)
+    if where in MODES:
+        return F.coalesce(F.col("intent.mode") == where, F.lit(False))
+    return F.col(where).isNotNull() if where in cards.columns else F.lit(False)
+
+
+def checked(cards: DataFrame, table=STANDARD, mark: str = "weight") -> DataFrame:
+    """(card_id, section, check, ``mark``, passed): the checks of ``table`` that apply to each card, as rows."""
+    rows = [F.when(_applies(cards, w), F.struct(F.lit(s).alias("section"), F.lit(n).alias("check"), F.lit(m).alias(mark), _holds(cards, k, f, x).alias("passed"))) for s, n, m, k, f, x, w in table]
+    return cards.select("card_id", F.explode(F.array_compact(F.array(*rows))).alias("c")).select("card_id", "c.*")
+
+
+def completeness(cards: DataFrame, table=STANDARD) -> DataFrame:
+    """(card_id, score, gaps): the weighted share of checks passed, and the failed ones of weight 3."""
+    return checked(cards, table).groupBy("card_id").agg(
+        (F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("score"),
+        F.sort_array(F.collect_list(F.when(~F.col("passed") & (F.col("weight") == 3), F.concat_ws(": ", "section", "check")))).alias("gaps"),
     )
 
 
@@ -126,15 +191,17 @@ def review_queue(*parts: DataFrame) -> DataFrame:
 # -- gates --------------------------------------------------------------------------------
 
 
-def gate_a(facts_: DataFrame, checks: list[tuple[str, str, bool]]) -> DataFrame:
-    """Criteria of the interpretation sheet from (card_id, key, value double) evidence.
+def gate_a(cards: DataFrame, verdicts: DataFrame | None = None, table=GATE_A) -> DataFrame:
+    """Criteria of the interpretation sheet: (card_id, gate, name, passed, value, blocking).
 
-    ``checks``: (key, name, blocking); a value of 1 passes; missing evidence is a visible failure.
+    ``verdicts(card_id, blocking array<string>)`` of data feasibility adds that no gap blocks; cards
+    that it does not have fail visibly.
     """
-    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(b).alias("blocking")) for k, n, b in checks])
-    asked = facts_.select("card_id").distinct().select("card_id", F.explode(table).alias("c")).select("card_id", "c.*")
-    both = asked.join(facts_, ["card_id", "key"], "left")
-    return both.select("card_id", F.lit("A").alias("gate"), "name", F.coalesce(F.col("value") == 1, F.lit(False)).alias("passed"), F.coalesce(F.col("value").cast("string"), F.lit("MISSING")).alias("value"), "blocking")
+    rows = checked(cards, table, "blocking").select("card_id", F.lit("A").alias("gate"), F.col("check").alias("name"), "passed", F.when(F.col("passed"), "present").otherwise("MISSING").alias("value"), "blocking")
+    if verdicts is None:
+        return rows
+    gaps = cards.select("card_id").join(verdicts.select("card_id", F.size("blocking").alias("n")), "card_id", "left")
+    return rows.unionByName(gaps.select("card_id", F.lit("A").alias("gate"), F.lit("no gap in the data blocks").alias("name"), F.coalesce(F.col("n") == 0, F.lit(False)).alias("passed"), F.coalesce(F.col("n").cast("string"), F.lit("MISSING")).alias("value"), F.lit(True).alias("blocking")))
 
 
 def gate_b(evidence: DataFrame, cards: DataFrame) -> DataFrame:

@@ -481,6 +481,69 @@ def top_similar_fingerprints(spark, sf_dir):
     return r6(lib.top_similar(found).select("query_id", "entry_id", "cosine", F.col("place").cast("long").alias("place")))
 
 
+_CARDS = """cards AS (SELECT s_suppkey::VARCHAR AS card_id, s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'adaptation' ELSE 'replication' END AS mode, s_suppkey % 3 > 0 AS has_plan FROM supplier),
+    ck(card_id, section, name, weight, passed) AS (
+        SELECT card_id, 'paper', 'source file', 3, true FROM cards UNION ALL SELECT card_id, 'paper', 'digest of the source', 3, k % 5 > 0 FROM cards UNION ALL SELECT card_id, 'intent', 'rationale', 2, 60 + k % 40 > 80 FROM cards
+        UNION ALL SELECT card_id, 'intent', 'what breaks', 3, k % 4 >= 2 FROM cards WHERE mode = 'adaptation' UNION ALL SELECT card_id, 'intent', 'numbers to replicate', 3, k % 7 > 0 FROM cards WHERE mode = 'replication'
+        UNION ALL SELECT card_id, 'signal', 'template', 3, true FROM cards UNION ALL SELECT card_id, 'signal', 'lag of a day or more', 3, k % 3 >= 1 FROM cards UNION ALL SELECT card_id, 'costs', 'own cost', 3, k % 60 >= 20 FROM cards
+        UNION ALL SELECT card_id, 'ambiguities', 'logged', 3, k % 6 >= 3 FROM cards UNION ALL SELECT card_id, 'ambiguities', 'all resolved', 3, k % 6 > 0 AND k % 2 = 0 FROM cards UNION ALL SELECT card_id, 'ambiguities', 'some material', 2, k % 6 > 1 FROM cards
+        UNION ALL SELECT card_id, 'data plan', 'designed', 3, has_plan FROM cards UNION ALL SELECT card_id, 'data plan', 'fields', 3, k % 4 > 0 FROM cards WHERE has_plan UNION ALL SELECT card_id, 'data plan', 'least set marked', 3, k % 4 > 1 FROM cards WHERE has_plan)"""
+#: Sections of the standard table that these cards fill; a table of checks is a parameter.
+_SOME = [c for c in rules.STANDARD if (c[0], c[1]) in {("paper", "source file"), ("paper", "digest of the source"), ("intent", "rationale"), ("intent", "what breaks"), ("intent", "numbers to replicate"), ("signal", "template"), ("signal", "lag of a day or more"), ("costs", "own cost"), ("ambiguities", "logged"), ("ambiguities", "all resolved"), ("ambiguities", "some material"), ("data plan", "designed"), ("data plan", "fields"), ("data plan", "least set marked")}]
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cards, their sections filled by their keys."""
+    k = F.col("s_suppkey")
+    items = lambda n, *fields: F.transform(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(*[f(i) for f in fields]))
+    return t.table(spark, sf_dir, "supplier").select(
+        k.cast("string").alias("card_id"), F.struct(F.lit("a.pdf").alias("source_file"), F.when(k % 5 > 0, F.col("s_name")).alias("source_sha256")).alias("paper"),
+        F.struct(F.when(k % 2 == 0, "adaptation").otherwise("replication").alias("mode"), F.repeat(F.lit("r"), (60 + k % 40).cast("int")).alias("rationale"), F.when(k % 4 > 0, F.array_repeat(F.lit("b"), (k % 4).cast("int"))).alias("broken_assumptions")).alias("intent"),
+        F.when(k % 7 > 0, F.array_repeat(F.lit("cagr"), (k % 7).cast("int"))).alias("replication_targets"), F.struct(F.lit("equal_weight").alias("template"), (k % 3).cast("int").alias("lag_days")).alias("signal"), F.struct((k % 60).cast("double").alias("spread_bps")).alias("costs"),
+        items(k % 6, lambda i: F.when((k % 2 == 0) | (i > 1), "settled").otherwise(" ").alias("resolution"), lambda i: (i == 2).alias("material")).alias("ambiguities"),
+        F.when(k % 3 > 0, F.struct(items(k % 4, lambda i: (i == 2).alias("minimum_viable")).alias("ideal"))).alias("data_plan"),
+    )
+
+
+@query(f"WITH {_CARDS} SELECT card_id, section, name, weight, passed FROM ck")
+def card_checks(spark, sf_dir):
+    return rules.checked(cards(spark, sf_dir), _SOME).withColumnRenamed("check", "name")
+
+
+@query(f"""WITH {_CARDS} SELECT card_id, round(sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight), 6) AS score, coalesce(list_aggregate(list_sort(list(section || ': ' || name) FILTER (NOT passed AND weight = 3)), 'string_agg', '; '), '') AS gaps FROM ck GROUP BY 1""")
+def card_completeness(spark, sf_dir):
+    return r6(rules.completeness(cards(spark, sf_dir), _SOME).withColumn("gaps", F.concat_ws("; ", "gaps")))
+
+
+@query(f"""WITH {_CARDS}, g(card_id, name, passed, blocking) AS (SELECT card_id, 'the universe is translated', false, true FROM cards UNION ALL SELECT card_id, 'the data set is designed', has_plan AND k % 4 > 0, true FROM cards UNION ALL SELECT card_id, 'alternatives were weighed', false, false FROM cards WHERE has_plan
+        UNION ALL SELECT card_id, 'the selection is a rule', false, true FROM cards UNION ALL SELECT card_id, 'the test is planned', false, true FROM cards UNION ALL SELECT card_id, 'the strategy can be built', false, true FROM cards
+        UNION ALL SELECT card_id, 'ambiguities are resolved', k % 6 > 0 AND k % 2 = 0, true FROM cards UNION ALL SELECT card_id, 'convertibility is assessed', false, false FROM cards UNION ALL SELECT card_id, 'there are numbers to replicate', k % 7 > 0, true FROM cards WHERE mode = 'replication'
+        UNION ALL SELECT card_id, 'what breaks is named', k % 4 > 0, false FROM cards WHERE mode = 'adaptation' UNION ALL SELECT card_id, 'no gap in the data blocks', k % 9 > 0, true FROM cards WHERE k % 2 = 0 UNION ALL SELECT card_id, 'no gap in the data blocks', false, true FROM cards WHERE k % 2 > 0)
+    SELECT card_id, name, passed, blocking FROM g""")
+def gate_a_criteria(spark, sf_dir):
+    """Gate A of all cards; half of them have feasibility verdicts."""
+    found = cards(spark, sf_dir)
+    k = F.col("card_id").cast("long")
+    verdicts = found.where(k % 2 == 0).select("card_id", F.when(k % 9 == 0, F.array(F.lit("gap"))).otherwise(F.array().cast("array<string>")).alias("blocking"))
+    return rules.gate_a(found, verdicts).select("card_id", "name", "passed", "blocking")
+
+
+@query(f"""WITH {_CARDS} SELECT card_id, 'missing' AS reason, section || ': ' || name AS item, 'author' AS owner FROM ck WHERE NOT passed UNION SELECT card_id, 'unresolved', 'ambiguities', 'owner' FROM ck WHERE name = 'all resolved' AND NOT passed""")
+def review_queue(spark, sf_dir):
+    failed = rules.checked(cards(spark, sf_dir), _SOME).where("not passed")
+    missing = failed.select("card_id", F.lit("missing").alias("reason"), F.concat_ws(": ", "section", "check").alias("item"), F.lit("author").alias("owner"))
+    return rules.review_queue(missing, failed.where("check = 'all resolved'").select("card_id", F.lit("unresolved").alias("reason"), F.lit("ambiguities").alias("item"), F.lit("owner").alias("owner")), missing)
+
+
+@query("""WITH c AS (SELECT s_suppkey::VARCHAR AS card_id, s_suppkey % 60 AS bps, s_suppkey % 3 AS lag FROM supplier)
+    SELECT card_id, 'Costs' AS "group", 'spread' AS label, bps || '.0' AS value, 'DECIDE' AS flag FROM c UNION ALL SELECT card_id, 'Signal', 'lag', lag::VARCHAR, 'GUESS' FROM c""")
+def decision_sheets(spark, sf_dir):
+    """The flagged facts of every card; plain and blank ones stay off the sheet."""
+    flat = cards(spark, sf_dir).select("card_id", F.col("costs.spread_bps").alias("bps"), F.col("signal.lag_days").alias("lag"), F.col("signal.template").alias("template"), F.lit("").alias("nothing"))
+    listed = rules.facts(flat, [("Costs", "spread", "bps", "DECIDE"), ("Signal", "lag", "lag", "GUESS"), ("Signal", "template", "template", ""), ("Signal", "empty", "nothing", "BLOCK")])
+    return rules.decision_sheet(listed).select("card_id", "group", "label", "value", "flag")
+
+
 # -- evidence -----------------------------------------------------------------------------
 
 #: Reports of suppliers: three pages with a results table printed twice, and a page that was read backwards.

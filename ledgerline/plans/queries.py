@@ -545,9 +545,9 @@ def trial_budgets(spark, sf_dir):
     return lib.trial_budget(_queries(library), library)
 
 
-@query(f"WITH {t.LIBRARY_SQL} SELECT card_fingerprint, count(*) AS n FROM lib GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {t.LIBRARY_SQL} SELECT card_fingerprint, count(*) AS n, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM lib GROUP BY 1 HAVING count(*) > 1")
 def duplicate_experiments(spark, sf_dir):
-    return lib.duplicates(t.library(spark, sf_dir)).drop("entries")
+    return lib.duplicates(t.library(spark, sf_dir))
 
 
 # -- rules --------------------------------------------------------------------------------
