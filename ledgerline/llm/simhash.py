@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerline.llm._tools import ROW, cut, with_row_keys
+from ledgerline.llm._tools import ROW, cut, discard, with_row_keys
 
 #: Two of the four 16-bit blocks, as masks over signed 64-bit fingerprints.
 _MASKS = [(0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i, j in combinations(range(4), 2)]
@@ -118,12 +118,14 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(nearest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        state = cut(small, "stars")
+        before, state = state, cut(small, "stars")
+        discard(before)
         now = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if now == seen:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            heads = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            roots = cut(state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(heads), "roots")
+            discard(state)
+            return roots
         seen = now
 
 
@@ -148,7 +150,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = (
     ids = owner.groupBy("root").agg(F.min("least_id").alias("component_id"))
     more = ("root",) if carry else ()
     named = cut(owner.join(ids, "root").select("fp", "component_id", *more), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *more, *carry)
+    out = cut(prints.join(named, "fp").select("doc_id", "fp", "component_id", *more, *carry), "near-duplicates")
+    discard(prints, named, roots)
+    return out
 
 
 def fingerprint_hex(fp: str | Column) -> Column:

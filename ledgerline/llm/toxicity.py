@@ -286,7 +286,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows that are not predicted toxic, each judged by its own text whatever its doc_id."""
+    """The rows that are not predicted toxic, each judged by its own text whatever its doc_id.
+
+    Nulls, repeated rows and empty tables as in :func:`score_toxicity`.
+    """
     keyed = with_row_keys(docs)
     bad = score_toxicity(keyed, labels, threshold=threshold).where("predicted = 1").select(F.col("row_id").alias(ROW))
     return keyed.join(bad, ROW, "left_anti").select(docs.columns)
