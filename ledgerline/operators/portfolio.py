@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import in_order, so_far
-from ledgerline.sources.panels import calendar, refuse
+from ledgerline.sources.panels import calendar, on_days, refuse
 
 # -- targets ------------------------------------------------------------------------------
 
@@ -27,7 +27,7 @@ from ledgerline.sources.panels import calendar, refuse
 def check_weights(weights: DataFrame, universe: DataFrame) -> DataFrame:
     """Weights (config_id, asset, weight) for known assets; unknown and missing names are refused."""
     refuse(weights.join(universe, "asset", "left_anti"), "weights for unknown assets")
-    grid = weights.select("config_id").distinct().join(F.broadcast(universe.select("asset").distinct()))  # as large as the weights have to be
+    grid = weights.select("config_id").distinct().crossJoin(universe.select("asset").distinct())  # as large as the weights have to be
     refuse(grid.join(weights, ["config_id", "asset"], "left_anti"), "assets without a weight")
     return weights
 
@@ -206,8 +206,7 @@ def asset_returns(panel: DataFrame) -> DataFrame:
 
     A missing price is a return of 0 and stale; so is the return of the day after a gap.
     """
-    days = panel.select("date").distinct()
-    grid = panel.select("series_id").distinct().crossJoin(F.broadcast(days))  # the panel completed: series times trading days
+    grid = on_days(panel.select("series_id").distinct(), panel)  # the panel completed: series times trading days
     whole = grid.join(panel, ["series_id", "date"], "left")
     ret = F.col("value") / F.lag("value").over(in_order("series_id")) - 1
     eligible = F.coalesce("eligible", F.lit(False)) if "eligible" in panel.columns else F.col("value").isNotNull()
@@ -217,7 +216,7 @@ def asset_returns(panel: DataFrame) -> DataFrame:
 def _segments(days: DataFrame, targets: DataFrame) -> DataFrame:
     """(config_id, date, seg, reb): the rebalance strictly before each day, and whether it is one itself."""
     rebalances = targets.select("config_id", "date").distinct().withColumn("is_reb", F.lit(True))
-    grid = targets.select("config_id").distinct().crossJoin(F.broadcast(days.select("date").distinct()))  # configs times trading days: the size of the result
+    grid = on_days(targets.select("config_id").distinct(), days)  # configs times trading days: the size of the result
     marked = grid.join(rebalances, ["config_id", "date"], "left").withColumn("reb", F.coalesce("is_reb", F.lit(False)))
     before = Window.partitionBy("config_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return marked.select("config_id", "date", "reb", F.last(F.when(F.col("reb"), F.col("date")), ignorenulls=True).over(before).alias("seg"))

@@ -44,49 +44,64 @@ def deflated_sharpe(returns: DataFrame, trials: DataFrame, sharpe_sd: float = 0.
 # -- factor regression --------------------------------------------------------------------
 
 
-def factor_regression(run: DataFrame, factors: DataFrame, lags: int | None = None, least: int = 200) -> dict | None:
-    """OLS of excess returns on factor excess returns, with Bartlett standard errors.
-
-    ``run(date, ret, rf)``; ``factors(series_id, date, ret)``, days with every factor.  Sums of
-    products are aggregated over days; (k+1)**2 numbers a lag reach the driver, where one small
-    system is solved.  Returns alpha (annual, t, p), loadings, r2, residual vol and the loadings
-    at unit length, or None under ``least`` days.
-    """
-    names = sorted(r[0] for r in factors.select("series_id").distinct().collect())  # the factors of one model
-    wide = factors.groupBy("date").pivot("series_id", names).agg(F.first("ret")).na.drop()
-    day = run.select("date", "rf", (F.col("ret") - F.col("rf")).alias("y")).join(wide, "date").na.drop()
-    x = [F.lit(1.0), *[F.col(f"`{c}`") - F.col("rf") for c in names]]
-    rows = day.select("date", "y", F.array(*x).alias("x"))
-    k = len(x)
-    item = lambda i: F.element_at("x", i + 1)
-    sums = rows.agg(F.count("*"), F.sum(F.col("y") * F.col("y")), F.sum("y"), *[F.sum(item(i) * F.col("y")) for i in range(k)], *[F.sum(item(i) * item(j)) for i in range(k) for j in range(k)]).first()
-    n = sums[0]
-    if n < least:
-        return None
-    xy, xx = np.array(sums[3 : 3 + k]), np.array(sums[3 + k :]).reshape(k, k)
-    inverse = np.linalg.inv(xx)
-    b = inverse @ xy
+FIT = (
+    "config_id string, n long, lags int, alpha double, alpha_daily double, alpha_t double, alpha_p double, r2 double, residual_vol double, "
+    "loadings map<string,double>, t map<string,double>, unit map<string,double>"
+)
+
+
+def fit_factors(y: np.ndarray, x: np.ndarray, names: list[str], lags: int | None = None) -> dict:
+    """OLS of y on a constant and the columns of x, with Bartlett standard errors over ``lags`` rows."""
+    n, k = len(y), x.shape[1] + 1
+    full = np.column_stack([np.ones(n), x])
+    inverse = np.linalg.inv(full.T @ full)
+    b = inverse @ (full.T @ y)
+    u = y - full @ b
     lags = math.ceil(4 * (n / 100) ** (2 / 9)) if lags is None else lags
-    fitted = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in b]), lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    order = Window.orderBy("date")  # days of one run
-    score = rows.select("date", F.transform("x", lambda v: v * (F.col("y") - fitted)).alias("s"), (F.col("y") - fitted).alias("u"))
-    behind = score.select("s", "u", *[F.lag("s", m).over(order).alias(f"s{m}") for m in range(1, lags + 1)])
-    at = lambda c, i: F.element_at(c, i + 1)
-    cross = behind.agg(F.sum(F.col("u") * F.col("u")), *[F.sum(at("s", i) * at("s" if m == 0 else f"s{m}", j)) for m in range(lags + 1) for i in range(k) for j in range(k)]).first()
-    s = np.array([0.0 if v is None else v for v in cross[1:]]).reshape(lags + 1, k, k)
-    meat = s[0] + sum((1 - m / (lags + 1)) * (s[m] + s[m].T) for m in range(1, lags + 1))
-    se = np.sqrt(np.diag(inverse @ meat @ inverse))
-    total = sums[1] - sums[2] ** 2 / n
-    t = b / se
-    p = math.erfc(abs(t[0]) / math.sqrt(2))
-    loadings = dict(zip(names, map(float, b[1:]), strict=True))
-    length = math.sqrt(sum(v * v for v in loadings.values())) or 1.0
+    score = full * u[:, None]
+    meat = score.T @ score
+    for m in range(1, lags + 1):
+        cross = score[m:].T @ score[:-m]
+        meat += (1 - m / (lags + 1)) * (cross + cross.T)
+    t = b / np.sqrt(np.diag(inverse @ meat @ inverse))
+    length = float(np.linalg.norm(b[1:])) or 1.0
+    named = lambda values: dict(zip(names, map(float, values), strict=True))
     return {
-        "n": n, "lags": lags, "alpha": float((1 + b[0]) ** ANNUAL - 1), "alpha_daily": float(b[0]), "alpha_t": float(t[0]), "alpha_p": p, "loadings": loadings,
-        "t": dict(zip(names, map(float, t[1:]), strict=True)), "r2": float(1 - cross[0] / total), "residual_vol": float(math.sqrt(cross[0] / (n - k) * ANNUAL)), "unit": {a: v / length for a, v in loadings.items()},
+        "n": n, "lags": lags, "alpha": float((1 + b[0]) ** ANNUAL - 1), "alpha_daily": float(b[0]), "alpha_t": float(t[0]), "alpha_p": math.erfc(abs(t[0]) / math.sqrt(2)),
+        "r2": float(1 - u @ u / ((y - y.mean()) @ (y - y.mean()))), "residual_vol": float(math.sqrt(u @ u / (n - k) * ANNUAL)), "loadings": named(b[1:]), "t": named(t[1:]), "unit": named(b[1:] / length),
     }
 
 
+def factor_regressions(runs: DataFrame, factors: DataFrame, lags: int | None = None, least: int = 200) -> DataFrame:
+    """Per run of (config_id, date, ret, rf): OLS of excess returns on factor excess returns, with Bartlett errors.
+
+    ``factors(series_id, date, ret)`` count on days that have every one of them.  A run's days are
+    one group, so thousands of runs are fitted side by side; runs with fewer than ``least`` days
+    give no row.  Returns alpha (annual, t, p), loadings, their t-values and unit-length form, r2
+    and residual vol.
+    """
+    n_factors = factors.agg(F.countDistinct("series_id").alias("n"))
+    day = factors.where("ret is not null").groupBy("date").agg(F.sort_array(F.collect_list(F.struct("series_id", "ret"))).alias("f"))
+    whole = day.crossJoin(F.broadcast(n_factors)).where(F.size("f") == F.col("n")).select("date", F.col("f.series_id").alias("names"), F.col("f.ret").alias("f"))  # n_factors is one row
+    rows = runs.where("ret is not null and rf is not null").join(whole, "date").select("config_id", "date", "ret", "rf", "names", "f")
+
+    def fit(df: pd.DataFrame) -> pd.DataFrame:
+        if len(df) < least:
+            return pd.DataFrame(columns=[c.split()[0] for c in FIT.split(", ")])
+        df = df.sort_values("date")
+        rf = df["rf"].to_numpy()
+        found = fit_factors(df["ret"].to_numpy() - rf, np.stack(df["f"].to_list()) - rf[:, None], list(df["names"].iloc[0]), lags)
+        return pd.DataFrame([{"config_id": df["config_id"].iloc[0], **found}])
+
+    return rows.groupBy("config_id").applyInPandas(fit, FIT)
+
+
+def factor_regression(run: DataFrame, factors: DataFrame, lags: int | None = None, least: int = 200) -> dict | None:
+    """:func:`factor_regressions` of one run, as a dictionary, or None under ``least`` days."""
+    row = factor_regressions(run.withColumn("config_id", F.lit("run")), factors, lags, least).first()
+    return None if row is None else row.asDict()
+
+
 # -- bootstrap ----------------------------------------------------------------------------
 
 

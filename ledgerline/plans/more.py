@@ -573,6 +573,12 @@ def report_hits(spark, sf_dir):
     return evidence.first_hits(evidence.scan(report_pages(spark, sf_dir))).select("doc_id", "kind", "value", F.col("page").cast("int").alias("page"))
 
 
+@query(f"""WITH {_REPORT} SELECT doc_id, 3::BIGINT AS n_pages, 1::BIGINT AS empty_pages, 1::BIGINT AS reversed_pages FROM rep""")
+def report_quality(spark, sf_dir):
+    """Reports have one page that was read backwards, which is also nearly empty."""
+    return evidence.extraction_report(report_pages(spark, sf_dir)).select("doc_id", "n_pages", "empty_pages", "reversed_pages")
+
+
 @query(f"""WITH {_REPORT} SELECT doc_id, CASE WHEN bps BETWEEN 10 AND 30 THEN bps::DOUBLE ELSE 25 END AS value FROM rep""")
 def report_costs(spark, sf_dir):
     """The first cost between 10 and 30 basis points, else 25."""

@@ -463,11 +463,12 @@ def bootstrap_intervals(spark, sf_dir):
 
 @query()
 def factor_fingerprint(spark, sf_dir):
-    """Loadings of the portfolio on its own segments with robust t-values."""
+    """Loadings of the portfolio and of every segment on the segments, with robust t-values (tested against numpy)."""
     panel, _, daily = _equal_run(spark, sf_dir)
-    fit = research.factor_regression(daily.select("date", "ret", "rf"), _segment_returns(panel))
-    rows = [(k, v, fit["t"][k], fit["r2"]) for k, v in fit["loadings"].items()] if fit else []
-    return spark.createDataFrame(rows, "factor string, loading double, t double, r2 double")
+    segments = _segment_returns(panel)
+    runs = daily.select("config_id", "date", "ret", "rf").unionByName(segments.select(F.col("series_id").alias("config_id"), "date", "ret").join(t.cash(panel), "date"))
+    fits = research.factor_regressions(runs, segments)
+    return fits.select("config_id", "n", "lags", "alpha_t", "r2", F.explode("loadings").alias("factor", "loading"), "t").select("config_id", "n", "lags", "alpha_t", "r2", "factor", "loading", F.col("t")[F.col("factor")].alias("t"))
 
 
 def _swept(*ids: str) -> str:

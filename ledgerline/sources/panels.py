@@ -126,6 +126,12 @@ def calendar(panel: DataFrame) -> DataFrame:
     return days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
 
 
+def on_days(keys: DataFrame, days: DataFrame) -> DataFrame:
+    """Every row of ``keys`` on every day of ``days``; the calendar travels as one array, which has 366 entries a year at most."""
+    calendar_ = days.agg(F.sort_array(F.collect_set("date")).alias("_days"))
+    return keys.crossJoin(F.broadcast(calendar_)).select(*keys.columns, F.explode("_days").alias("date"))  # one row
+
+
 def provenance(panel: DataFrame) -> DataFrame:
     """Per series: first and last valid day, observations, gaps inside, first value."""
     held = panel.where("value is not null").groupBy("series_id").agg(
@@ -186,7 +192,7 @@ def cash_accrual(days: DataFrame, annual_rate: float) -> DataFrame:
 
 def fixed_universe(panel: DataFrame) -> DataFrame:
     """The panel itself; refused if a value is missing on a day or series of the grid."""
-    grid = panel.select("series_id").distinct().crossJoin(F.broadcast(panel.select("date").distinct()))  # the complete grid is the panel's own size
+    grid = on_days(panel.select("series_id").distinct(), panel)
     refuse(grid.join(panel.where("value is not null"), ["series_id", "date"], "left_anti"), "missing prices in a fixed universe")
     return panel
 
@@ -249,9 +255,13 @@ def verify(spark: SparkSession, path: str) -> bool:
 
 
 def lineage(steps: Sequence[tuple[str, DataFrame]]) -> list[dict]:
-    """Row counts before and after each named step."""
-    counts = [df.count() for _, df in steps]
-    return [{"step": name, "rows_before": before, "rows_after": after} for (name, _), before, after in zip(steps[1:], counts, counts[1:], strict=False)]
+    """Row counts before and after each named step, all counted by one job."""
+    counted = [df.agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, (_, df) in enumerate(steps)]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    n = {r["i"]: r["n"] for r in out.collect()}
+    return [{"step": name, "rows_before": n[i], "rows_after": n[i + 1]} for i, (name, _) in enumerate(steps[1:])]
 
 
 def catalogue(spark: SparkSession, folders: Sequence[str], pattern: str = "*.pdf", least: int = 1024) -> DataFrame:

@@ -156,6 +156,65 @@ def test_factor_regression_matches_numpy(spark):
     assert research.factor_regression(run.limit(150), factors) is None
 
 
+def test_bootstrap_matches_numpy(spark):
+    n, rng, d = 60, np.random.default_rng(3), days(60)
+    data = {c: rng.normal(m, 0.01, n) for c, m in (("a", 0.0), ("b", 0.001))}
+    runs = spark.createDataFrame([(c, d[i], float(x[i]), 0.0001) for c, x in data.items() for i in range(n)], "config_id string, date date, ret double, rf double")
+    intervals, differences = research.bootstrap(runs, "a", reps=130, least=50)
+    idx = np.array([research.drawn_days(n, k) for k in range(130)])
+    sharpe = {}
+    for r in intervals.collect():
+        got = data[r["config_id"]][idx]
+        e = got - 0.0001
+        sharpe[r["config_id"]] = e.mean(1) / e.std(1, ddof=1) * math.sqrt(252)
+        assert r["reps"] == 130 and np.allclose(r["sharpe"], np.quantile(sharpe[r["config_id"]], [0.025, 0.5, 0.975]))
+        assert np.allclose(r["cagr"], np.quantile(np.prod(1 + got, 1) ** (252 / n) - 1, [0.025, 0.5, 0.975]))
+    gap = sharpe["b"] - sharpe["a"]
+    row = differences.first()
+    assert row["mean_difference"] == pytest.approx(gap.mean()) and row["p_not_better"] == pytest.approx((gap <= 0).mean())
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    entries = spark.createDataFrame([("1", "c", "f", None, "PASS", "ROBUST", {"m": 1.0, "q": float("nan")}, {"cagr": float("inf")})], library.SCHEMA)
+    library.append(entries, f"{path}/lib")
+    library.append(entries, f"{path}/lib")
+    got = library.read(spark, f"{path}/lib").collect()
+    assert len(got) == 2 and got[0]["factor_fingerprint"] == {"m": 1.0, "q": None} and got[0]["headline_metrics"] == {"cagr": None}
+    records = spark.createDataFrame([("ingest", "tool", "ana", "2020-01-02"), ("audit", "tool", "ben", "2020-01-01")], "stage string, produced_by string, operator string, created_utc string")
+    panels.append_records(records, f"{path}/log")
+    assert [r["stage"] for r in panels.history(spark, f"{path}/log", "stage string, produced_by string, operator string, created_utc string").collect()] == ["audit", "ingest"]
+    with pytest.raises(panels.Refused):
+        panels.append_records(records.withColumn("operator", F.lit(" ")), f"{path}/log")
+    metrics.write_metrics(spark.createDataFrame([("a", 0.5, ["x", "y"])], "config_id string, cagr double, violations array<string>"), f"{path}/metrics")
+    assert spark.read.csv(f"{path}/metrics", header=True).first().asDict() == {"config_id": "a", "cagr": "0.5", "violations": "x; y"}
+    (tmp_path / "s.csv").write_text("day,px\n2020-01-02,2.5\nsoon,1\n2020-01-01,oops\n")
+    assert [(str(r["date"]), r["value"]) for r in panels.read_series(spark, f"{path}/s.csv", "day", "px", "S").collect()] == [("2020-01-01", None), ("2020-01-02", 2.5)]
+    (tmp_path / "master.csv").write_text("Trade Date,PERMNO,adj price,is active\n2020-01-01,a,1.5,yes\n")
+    declared = spark.createDataFrame([("master.csv", "restated", "own")], "file string, pit_status string, licence string")
+    assert panels.load_declared_master(spark, declared, path).first()["price"] == 1.5 and panels.load_declared_master(spark, declared.limit(0), path) is None
+    with pytest.raises(panels.Refused):
+        panels.load_declared_master(spark, declared.withColumn("licence", F.lit("")), path)
+    for name, size in (("big one.pdf", 2000), ("small.pdf", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    assert {(r["slug"], r["accepted"]) for r in panels.catalogue(spark, [path]).collect()} == {("big_one", True), ("small", False)}
+    assert panels.lineage([("all", records), ("audits", records.where("stage = 'audit'"))]) == [{"step": "audits", "rows_before": 2, "rows_after": 1}]
+
+
+def test_refusals(spark):
+    p = panel(spark, prices(20, 2))
+    hole = panel(spark, prices(20, 2), np.arange(40).reshape(20, 2) != 7)
+    assert panels.fixed_universe(p).count() == 40
+    for bad in (lambda: panels.fixed_universe(hole), lambda: panels.require_series(p, spark.createDataFrame([("B",)], "series_id string")), lambda: panels.add_source(p, p)):
+        with pytest.raises(panels.Refused):
+            bad()
+    weights = spark.createDataFrame([("c", "A0", 1.0)], "config_id string, asset string, weight double")
+    universe = spark.createDataFrame([("A0",), ("A1",)], "asset string")
+    for bad in (weights, weights.withColumn("asset", F.lit("B"))):
+        with pytest.raises(panels.Refused):
+            portfolio.check_weights(bad, universe)
+
+
 def test_bootstrap_draws_are_blocks_and_repeatable(spark):
     a = research.bootstrap_draws(spark, 200, 40).orderBy("rep", "pos").collect()
     b = research.bootstrap_draws(spark, 200, 40).repartition(7).orderBy("rep", "pos").collect()
