@@ -222,7 +222,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
 
     base_failed: under 10 words, or more than a fifth of the words in repeated 5-word windows.
     kept: false where base_failed, else the learned list's verdict.  Null and empty texts fail
-    the base; repeated rows are judged alike; an empty table gives an empty table.
+    the base; texts of any length are read whole; repeated rows are judged alike; labels repeated
+    for a document count once each, null labels and labels of no document not at all; an empty
+    table gives an empty table.
     """
     stats = cut(text_statistics(docs), "text-statistics")
     rules = fit_rules(stats, labels, max_rows)

@@ -182,6 +182,15 @@ def test_archive_round_trip(spark, least):
         assert body[:-4] == (bytes(r["payload"]) if b"WARC-Type: response" in head else b"") and length == len(body) - 4
 
 
+def test_records_have_ids_of_their_own_and_hot_payloads_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HEADERS_A_TASK", 3)
+    archive = warc.write_archive(pages(spark).unionByName(pages(spark)))
+    heads = [r["header"] for r in warc.read_records(archive).collect()]
+    ids = [h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads]
+    assert len(set(ids)) == len(ids) == 22
+    assert {h.split("WARC-Refers-To: ")[1].split("\r\n")[0] for h in heads if "WARC-Refers-To" in h} <= set(ids)
+
+
 def test_archive_refuses_damage_and_takes_nothing(spark):
     archive = warc.write_archive(pages(spark))
     bad = archive._replace(payloads=archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
@@ -236,6 +245,26 @@ def test_quality_learns_ordered_rules(spark):
     assert quality.quality_rules(empty(spark), labels.limit(0)).count() == 0
 
 
+def test_quality_verdict_equals_the_rules_applied_by_hand(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "beta.", "c1", "##", "it"]) + str(rng.randrange(40) or "") for _ in range(rng.randrange(4, 80))) for _ in range(260)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, "one two " * 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(x.count("##") * 4 < len(x.split()))) for i, x in enumerate(texts)] + [(3, 0), (4, None), (None, 1), (7777, 0)], "doc_id long, quality int")
+    rules = quality.fit_rules(quality.text_statistics(docs), labels)
+    assert rules
+    names = quality._COUNTS
+    for r in quality.quality_rules(docs, labels).collect():
+        x = dict(zip(names, quality.text_counts(texts[r["doc_id"]] if r["doc_id"] < 260 else {900: None, 901: "", 902: "one two " * 40}[r["doc_id"]]), strict=True))
+        w, lines, chars = max(x["n_words"], 1), max(x["n_lines"], 1), max(x["word_chars"], 1)
+        ratio = {
+            "n_words": x["n_words"], "chars_per_word": x["word_chars"] / w, "symbols_per_word": x["n_symbols"] / w, "dup_lines": x["n_dup_lines"] / lines, "repeated": x["n_repeat_words"] / w, "words_per_line": x["n_words"] / lines,
+            "distinct": x["n_distinct"] / w, "short": x["n_short"] / w, "marks": x["n_marks"] / w, "digits": x["n_digits"] / chars,
+        }
+        failed = x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"]
+        hit = any(all(ratio[c.feature] <= c.threshold if c.below else ratio[c.feature] > c.threshold for c in rule) for rule in rules)
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not hit)
+
+
 # -- 5 nearest neighbours -----------------------------------------------------------------
 
 
