@@ -35,10 +35,12 @@ def deflated_sharpe(returns: DataFrame, trials: DataFrame, sharpe_sd: float = 0.
     skew = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3
     m = m.where(F.col("n") >= least).withColumns({"skew": skew, "kurt": kurt, "sr": F.col("mean") / F.col("sd")}).join(trials, "config_id")
-    sr0 = expected_max_sharpe(F.col("n_trials")) * sharpe_sd / math.sqrt(ANNUAL)
+    # one column after the other, so that long expressions are evaluated once
+    m = m.withColumn("sr0", expected_max_sharpe(F.col("n_trials")) * sharpe_sd / math.sqrt(ANNUAL))
     spread = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr")))
-    z = (F.col("sr") - sr0) * F.sqrt(n - 1) / spread
-    return m.select("config_id", "n", "n_trials", "sr", "skew", "kurt", sr0.alias("sr0"), z.alias("z"), normal_cdf(z).alias("dsr"), (normal_cdf(z) >= 0.95).alias("passes"))
+    m = m.withColumn("z", (F.col("sr") - F.col("sr0")) * F.sqrt(n - 1) / spread)
+    m = m.withColumn("dsr", normal_cdf(F.col("z")))
+    return m.select("config_id", "n", "n_trials", "sr", "skew", "kurt", "sr0", "z", "dsr", (F.col("dsr") >= 0.95).alias("passes"))
 
 
 # -- factor regression --------------------------------------------------------------------
