@@ -98,6 +98,16 @@ def with_row_keys(docs: DataFrame) -> DataFrame:
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
 
 
+#: Rows up to this many are broadcast to the documents, more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """``keyed`` without the rows whose keys ``gone`` has; few keys are broadcast, so that texts are not shuffled."""
+    few = gone.count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(gone) if few else gone, ROW, "left_anti")
+
+
 def crc_remainder(doc_id, modulus: int):
     """``crc32(doc_id as text) mod modulus``; null ids count as remainder 0 of the empty text."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(0)) % modulus

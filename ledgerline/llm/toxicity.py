@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._tools import ROW, crc_remainder, cut, discard, with_row_keys
+from ledgerline.llm._tools import BROADCAST_ROWS, ROW, crc_remainder, cut, discard, with_row_keys, without_rows
 
 # Common terms of abuse, and words and marks that introduce a quotation.
 LEXICON = (
@@ -35,8 +35,6 @@ QUOTES = "\"“”„«»‘’"
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 300_000
-#: Labels up to this many rows are broadcast to the documents, more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Letters of the shortest and the longest root.
 ROOTS = (3, 12)
 #: Copies of the weights, over which the hits of a common spelling are dealt.
@@ -292,4 +290,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     """
     keyed = with_row_keys(docs)
     bad = score_toxicity(keyed, labels, threshold=threshold).where("predicted = 1").select(F.col("row_id").alias(ROW))
-    return keyed.join(bad, ROW, "left_anti").select(docs.columns)
+    return without_rows(keyed, bad).select(docs.columns)
