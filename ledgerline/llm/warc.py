@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._tools import cut, discard
+from ledgerline.llm._tools import BROADCAST_ROWS, cut, discard
 
 # The WARC/1.1 profile of revisits, and the alphabets of Java's base 32 and of RFC 4648.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,10 +120,11 @@ def read_records(archive: Archive) -> DataFrame:
     Headers and payloads meet by address.  The headers of a common payload are dealt over salts, and
     the payload repeated once for each, so that no task gets all of them.
     """
-    sizes = archive.headers.groupBy("address").agg(F.count("*").alias("n"))
-    salts = F.ceil(F.col("n") / HEADERS_A_TASK).cast("long")
-    named = archive.headers.join(sizes, "address").withColumn("salt", F.pmod(F.xxhash64("header"), salts))
-    held = _verified(archive.payloads, F.col("payload")).join(sizes, "address").select("address", "payload", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    common = archive.headers.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > HEADERS_A_TASK)
+    common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
+    salts = F.coalesce(F.ceil(F.col("n") / HEADERS_A_TASK), F.lit(1)).cast("long")
+    named = archive.headers.join(common, "address", "left").withColumn("salt", F.pmod(F.xxhash64("header"), salts))
+    held = _verified(archive.payloads, F.col("payload")).join(common, "address", "left").select("address", "payload", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
     block = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
     return named.join(held, ["address", "salt"]).select("page_id", "header", F.concat(F.encode("header", "UTF-8"), block, end).alias("record"), "payload")
