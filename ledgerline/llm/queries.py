@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import languages, mixing, neighbours, ngrams, pieces, quality, simhash, substrings, toxicity, warc
+from ledgerline.llm import collocations, languages, mixing, neighbours, ngrams, pieces, quality, simhash, substrings, toxicity, warc
 from ledgerline.llm._tools import crc_remainder
 
 #: Target shares of the mixture, in bytes of text: the heavy source is cut down, four are raised.
@@ -79,6 +79,10 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), threshold=10, most_words=3, share=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substrings,
         op9_pieces,
         op10_perplexity,
+        op11_collocations,
     )
 }
 
@@ -131,4 +136,23 @@ ORACLES = {
             CASE WHEN page_id < largest THEN largest END AS refers_to
         FROM b
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+        sizes(m) AS (VALUES (1), (2), (3)),
+        grams AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM lists, sizes WHERE len(w) >= m),
+        counts AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM grams GROUP BY ALL),
+        found AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 10),
+        cuts AS (SELECT lang, m, phrase, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM found)),
+        scored AS (
+            SELECT c.lang, c.m, c.phrase, c.f, k, h.f AS l, s.f AS r, ((1000000::HUGEINT * c.f * c.f) // (h.f::HUGEINT * s.f))::BIGINT AS score
+            FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts s ON s.lang = c.lang AND s.phrase = c.tail),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_ AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(f) AS around FROM (SELECT *, unnest([1, 2]) AS i FROM found WHERE m = 3) GROUP BY ALL),
+        kept AS (SELECT x.* FROM lowest x LEFT JOIN inner_ y ON y.lang = x.lang AND y.phrase = x.phrase WHERE y.around IS NULL OR 100 * y.around < 50 * x.f),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, f AS a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
