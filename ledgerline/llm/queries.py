@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import collocations, languages, mixing, neighbours, ngrams, pieces, quality, simhash, substrings, toxicity, warc
+from ledgerline.llm import collocations, jaccard, languages, mixing, negatives, neighbours, ngrams, pieces, quality, simhash, substrings, toxicity, warc
 from ledgerline.llm._tools import crc_remainder
 
 #: Target shares of the mixture, in bytes of text: the heavy source is cut down, four are raised.
@@ -83,6 +83,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), threshold=10, most_words=3, share=50, top=2000)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 100 == 0, label=label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pieces,
         op10_perplexity,
         op11_collocations,
+        op12_hard_negatives,
+        op13_jaccard,
     )
 }
 
@@ -155,4 +167,31 @@ ORACLES = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM kept)
         SELECT lang, rank, phrase, f AS a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (
+            SELECT a.row, a.vec_id AS anchor_id, b.row AS other_row, b.vec_id AS other_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, other_id) <= 5),
+        n AS (
+            SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                row_number() OVER (PARTITION BY p.row, p.other_row ORDER BY n.score DESC, n.other_id)::INT AS rank
+            FROM p JOIN s n ON n.row = p.row AND NOT n.alike AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+    "op13_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+        items AS (SELECT row, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT a.row AS u, b.row AS v FROM items a JOIN items b ON a.g = b.g AND a.row <> b.row AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach(row, other) AS (SELECT row, row FROM words UNION SELECT r.row, l.v FROM reach r JOIN links l ON l.u = r.other)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s JOIN (
+            SELECT r.row, min(w.doc_id) AS component_id FROM reach r JOIN words w ON w.row = r.other GROUP BY r.row) c ON c.row = s.row
+    """,
 }
