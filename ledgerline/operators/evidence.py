@@ -57,8 +57,8 @@ MECHANISMS = {
     "inverse_vol": ("inverse of volatility", "one over volatility", "volatility weighted"),
 }
 METRIC_ALIASES = {
-    "annualized return": "cagr", "return": "cagr", "cagr": "cagr", "volatility": "vol", "vol": "vol", "std": "vol", "sharpe ratio": "sharpe", "sharpe": "sharpe",
-    "max drawdown": "max_drawdown", "drawdown": "max_drawdown", "turnover": "turnover",
+    "annualized return": "cagr", "return": "cagr", "cagr": "cagr", "volatility": "vol", "vol": "vol", "std": "vol", "risk": "vol", "sharpe ratio": "sharpe", "sharpe": "sharpe",
+    "max drawdown": "max_drawdown", "max dd": "max_drawdown", "drawdown": "max_drawdown", "mean drawdown": "mean_drawdown", "mean dd": "mean_drawdown", "turnover": "turnover",
 }
 
 
@@ -81,22 +81,24 @@ def math_density(text: Column) -> Column:
 
 
 def scan(pages: DataFrame, scanners: dict[str, str] = SCANNERS, around: int = 70) -> DataFrame:
-    """(doc_id, page, kind, n, value, context) of every hit; pages read backwards are skipped."""
-    fine = pages.where(F.col("text").isNotNull() & ~is_reversed(F.col("text")))
-    found = []
-    for kind, pattern in scanners.items():
+    """(doc_id, page, kind, n, value, context) of every hit, in one pass; pages read backwards are skipped."""
+    text = F.col("text")
+
+    def hits(kind: str, pattern: str) -> Column:
         p = "(?i)" + pattern
-        whole = F.regexp_extract_all("text", F.lit(p), F.lit(0))
-        hits = fine.where(F.col("text").rlike(p)).select("doc_id", "page", "text", F.lit(kind).alias("kind"), F.posexplode(whole).alias("n", "match"))
-        groups = [F.nullif(F.regexp_extract("match", p, g), F.lit("")) for g in range(1, GROUPS.get(kind, 1) + 1)]
-        place = F.expr("locate(match, text)")
-        start = F.greatest(place - around, F.lit(1))
-        context = F.substr("text", start, place - start + F.length("match") + around)
-        found.append(hits.select("doc_id", "page", "kind", "n", F.coalesce(*groups, F.col("match")).alias("value"), context.alias("context")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+
+        def hit(match: Column, n: Column) -> Column:
+            groups = [F.nullif(F.regexp_extract(match, p, g), F.lit("")) for g in range(1, GROUPS.get(kind, 1) + 1)]
+            place = F.position(match, text)
+            start = F.greatest(place - around, F.lit(1))
+            context = F.substr(text, start, place - start + F.length(match) + around)
+            return F.struct(F.lit(kind).alias("kind"), n.alias("n"), F.coalesce(*groups, match).alias("value"), context.alias("context"))
+
+        return F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), hit)
+
+    found = F.flatten(F.array(*[hits(kind, pattern) for kind, pattern in scanners.items()]))
+    fine = pages.where(text.isNotNull() & ~is_reversed(text))
+    return fine.select("doc_id", "page", F.explode(found).alias("h")).select("doc_id", "page", "h.*")
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Between two rebalances a portfolio is a buy-and-hold: an asset's value is its weight times the
 product of its returns, until the day it loses eligibility; then it is sold and accrues cash.  So
-daily paths are windows over (config, segment, asset), and costs need only the drifted weights at
-the end of the segment before: nothing is recursive, and all configs run in one plan.
+daily paths are cumulative products within segments, costs need only the drifted weights at the end
+of the segment before, and all configs run in one plan, a group each.
 
 Tables: ``targets(config_id, date, asset, weight)``, ``returns(asset, date, ret, eligible)``,
 ``cash(date, rf)``, ``configs(config_id, spread_bps, ...)``.
@@ -11,14 +11,12 @@ Tables: ``targets(config_id, date, asset, weight)``, ``returns(asset, date, ret,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import in_order, so_far
+from ledgerline.functions.columns import ANNUAL, in_order, so_far
 from ledgerline.sources.panels import calendar, on_days, refuse
 
 # -- targets ------------------------------------------------------------------------------
@@ -119,11 +117,6 @@ def cross_sectional(dates: DataFrame, scores: DataFrame) -> DataFrame:
     return held.withColumn("weight", F.col("w") / F.sum("w").over(day)).select("config_id", "date", "asset", "weight")
 
 
-def _packed(cov: DataFrame) -> DataFrame:
-    """One row a (config, day): assets in order and the upper triangle of their covariance."""
-    return cov.groupBy("config_id", "date").agg(F.sort_array(F.collect_list(F.struct("asset_i", "asset_j", "cov"))).alias("m"))
-
-
 def solve_min_variance(c: np.ndarray, rounds: int = 500) -> np.ndarray:
     """Long-only weights of least variance, by an active set over the least binding asset."""
     n = len(c)
@@ -159,33 +152,32 @@ def solve_equal_risk(c: np.ndarray, rounds: int = 500) -> np.ndarray:
     return w / w.sum()
 
 
-def solved_weights(cov: DataFrame, method: str) -> DataFrame:
-    """Targets ``min_variance`` or ``equal_risk`` from (config_id, date, asset_i, asset_j, cov), i <= j.
+_WEIGHTS_ARROW = pa.schema([("config_id", pa.string()), ("date", pa.date32()), ("asset", pa.string()), ("weight", pa.float64())])
+
 
-    One small matrix per (config, day), solved in Arrow batches; days whose matrix cannot be
-    solved keep their holdings.
+def solved_weights(tiles: DataFrame, method: str) -> DataFrame:
+    """Targets ``min_variance`` or ``equal_risk`` from covariance tiles (config_id, date, i, j, names_i, names_j, tile), i <= j.
+
+    A matrix per (config, day) is put together from its tiles and solved; days whose matrix cannot
+    be solved keep their holdings.
     """
     solve = {"min_variance": solve_min_variance, "equal_risk": solve_equal_risk}[method]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for config, date, m in zip(b["config_id"], b["date"], b["m"], strict=True):
-                names = sorted({x["asset_i"] for x in m})
-                at = {a: i for i, a in enumerate(names)}
-                c = np.zeros((len(names), len(names)))
-                for x in m:
-                    i, j = at[x["asset_i"]], at[x["asset_j"]]
-                    c[i, j] = c[j, i] = x["cov"]
-                try:
-                    w = solve(c)
-                except (np.linalg.LinAlgError, ZeroDivisionError):
-                    continue
-                if np.isfinite(w).all():
-                    rows += [(config, date, a, float(x)) for a, x in zip(names, w, strict=True)]
-            yield pd.DataFrame(rows, columns=["config_id", "date", "asset", "weight"])
-
-    return _packed(cov).mapInPandas(work, "config_id string, date date, asset string, weight double")
+    def work(table: pa.Table) -> pa.Table:
+        parts = {(i, j): (a, b, np.array(x).reshape(len(a), len(b))) for i, j, a, b, x in zip(*(table[c].to_pylist() for c in ("i", "j", "names_i", "names_j", "tile")), strict=True)}
+        names = {i: a for (i, _), (a, _, _) in parts.items()}
+        order = sorted(names)
+        try:
+            w = solve(np.block([[parts[i, j][2] if i <= j else parts[j, i][2].T for j in order] for i in order]))
+        except (np.linalg.LinAlgError, ZeroDivisionError):
+            return _WEIGHTS_ARROW.empty_table()
+        if not np.isfinite(w).all():
+            return _WEIGHTS_ARROW.empty_table()
+        assets = [a for i in order for a in names[i]]
+        same = lambda c, kind: pa.array([table[c][0].as_py()] * len(w), kind)
+        return pa.Table.from_arrays([same("config_id", pa.string()), same("date", pa.date32()), pa.array(assets), pa.array(w)], schema=_WEIGHTS_ARROW)
+
+    return tiles.groupBy("config_id", "date").applyInArrow(work, "config_id string, date date, asset string, weight double")
 
 
 def position_policy(targets: DataFrame, allow_cash: bool = True) -> DataFrame:
@@ -222,32 +214,73 @@ def _segments(days: DataFrame, targets: DataFrame) -> DataFrame:
     return marked.select("config_id", "date", "reb", F.last(F.when(F.col("reb"), F.col("date")), ignorenulls=True).over(before).alias("seg"))
 
 
-def positions(targets: DataFrame, returns: DataFrame, cash: DataFrame, seg: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Daily values within segments, relative to the segment's start.
+def run_path(weights: np.ndarray, at: np.ndarray, ret: np.ndarray, eligible: np.ndarray, stale: np.ndarray, rf: np.ndarray, half: float) -> dict[str, np.ndarray]:
+    """The days of one run: ``weights`` (rebalances, assets) are set on the days ``at``; the other tables are (days, assets).
 
-    Returns ``values(config_id, seg, date, reb, asset, v, exited, exits)`` and
-    ``totals(config_id, date, reb, seg, s)``: s is the portfolio's value, cash included.
+    Between two rebalances values are cumulative products; a sold asset's value accrues cash.
     """
-    held = targets.where("weight != 0").select("config_id", F.col("date").alias("seg"), "asset", F.col("weight").alias("w0"))
-    rows = seg.where("seg is not null").join(held, ["config_id", "seg"]).join(returns, ["asset", "date"]).join(cash, "date", "left")
-    rows = rows.withColumn("rf", F.coalesce("rf", F.lit(0.0)))
-    each = Window.partitionBy("config_id", "seg", "asset")
-    lost = F.min(F.when(~F.col("eligible"), F.col("date"))).over(each)
-    path = each.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("lost", lost)
-    step = F.when(F.col("lost").isNull() | (F.col("date") <= F.col("lost")), 1 + F.col("ret")).otherwise(1 + F.col("rf"))
-    values = rows.withColumn("v", F.col("w0") * F.product(step).over(path)).select(
-        "config_id", "seg", "date", "reb", "asset", "v", F.coalesce(F.col("date") >= F.col("lost"), F.lit(False)).alias("exited"), F.coalesce(F.col("date") == F.col("lost"), F.lit(False)).alias("exits"), "stale"
-    )
-    free = targets.groupBy("config_id", F.col("date").alias("seg")).agg((1 - F.sum("weight")).alias("c0"))
-    idle = Window.partitionBy("config_id", "seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    kept = seg.where("seg is not null").join(free, ["config_id", "seg"]).join(cash, "date", "left")
-    kept = kept.withColumn("c", F.col("c0") * F.product(1 + F.coalesce("rf", F.lit(0.0))).over(idle))
-    invested = values.groupBy("config_id", "date").agg(F.sum("v").alias("i"), F.sum(F.when(~F.col("exited"), F.col("v")).otherwise(0.0)).alias("live"))
-    totals = kept.join(invested, ["config_id", "date"], "left").select(
-        "config_id", "date", "reb", "seg", (F.col("c") + F.coalesce("i", F.lit(0.0))).alias("s"), F.coalesce("live", F.lit(0.0)).alias("live")
-    )
-    return values, totals
+    n = len(rf)
+    out = {"growth": np.ones(n), "turnover": np.zeros(n), "cost": np.zeros(n), "cash_weight": np.ones(n), "forced_exits": np.zeros(n, np.int64), "stale_marks": np.zeros(n, np.int64)}
+    old = np.zeros(weights.shape[1])
+    for k, (start, w) in enumerate(zip(at, weights, strict=True)):
+        traded = np.abs(w - old).sum()
+        out["growth"][start] *= 1 - half * traded
+        out["cost"][start] += half * traded
+        out["turnover"][start] += traded / 2
+        out["cash_weight"][start] = 1 - w.sum()
+        days = slice(start + 1, (at[k + 1] if k + 1 < len(at) else n - 1) + 1)
+        if days.stop <= days.start:
+            break
+        held, bank = np.flatnonzero(w), 1 + rf[days]
+        gone = np.logical_or.accumulate(~eligible[days][:, held], axis=0)
+        after = np.vstack([np.zeros((1, len(held)), bool), gone[:-1]])
+        v = w[held] * np.cumprod(np.where(after, bank[:, None], 1 + ret[days][:, held]), axis=0)
+        s = (1 - w.sum()) * np.cumprod(bank) + v.sum(1)
+        sold = np.where(gone & ~after, v, 0).sum(1) / s
+        out["growth"][days] *= s / np.append(1.0, s[:-1]) * (1 - half * sold)
+        out["cost"][days] += half * sold
+        out["turnover"][days] += sold / 2
+        out["cash_weight"][days] = 1 - np.where(gone, 0, v).sum(1) / s
+        out["forced_exits"][days] = (gone & ~after).sum(1)
+        out["stale_marks"][days] = (stale[days][:, held] & ~gone).sum(1)
+        old = np.zeros(len(w))
+        old[held] = np.where(gone[-1], 0, v[-1] / s[-1])
+    return out
+
+
+_RUN = "config_id string, date date, nav double, ret double, turnover double, cost double, cash_weight double, forced_exits long, stale_marks long"
+_RUN_ARROW = pa.schema(
+    [("config_id", pa.string()), ("date", pa.date32()), *[(c, pa.float64()) for c in ("nav", "ret", "turnover", "cost", "cash_weight")], ("forced_exits", pa.int64()), ("stale_marks", pa.int64())]
+)
+
+
+def _run_of(assets: pa.Table, config: pa.Table) -> pa.Table:
+    """One config's assets, with their targets and paths, and its row of trading days, cash rates and spread."""
+    if not assets.num_rows or not config.num_rows:
+        return _RUN_ARROW.empty_table()
+    days = config["days"].combine_chunks().flatten()
+    dates, rf, half = days.field("date").cast(pa.int32()).to_numpy(), days.field("rf").to_numpy(), config["half"][0].as_py()
+    if (rate := config["cash_rate"][0].as_py()) is not None:
+        rf = np.full(len(rf), (1 + rate) ** (1 / ANNUAL) - 1)
+    n, k = len(dates), assets.num_rows
+    ret, eligible, stale = np.zeros((n, k)), np.zeros((n, k), bool), np.ones((n, k), bool)
+    asked = []
+    for j, (path, targets) in enumerate(zip(assets["path"], assets["targets"], strict=True)):
+        if path.values is not None and len(path.values):
+            on = np.searchsorted(dates, path.values.field("date").cast(pa.int32()).to_numpy())
+            ret[on, j] = path.values.field("ret").fill_null(0.0).to_numpy()
+            eligible[on, j], stale[on, j] = (path.values.field(c).fill_null(c == "stale").to_numpy(zero_copy_only=False) for c in ("eligible", "stale"))
+        day, weight = targets.values.field("date").cast(pa.int32()).to_numpy(), targets.values.field("weight").fill_null(0.0).to_numpy()
+        on = np.minimum(np.searchsorted(dates, day), n - 1)
+        asked.append((on[dates[on] == day], np.full((dates[on] == day).sum(), j), weight[dates[on] == day]))
+    on, j, weight = (np.concatenate(x) for x in zip(*asked, strict=True))
+    at, place = np.unique(on, return_inverse=True)
+    weights = np.zeros((len(at), k))
+    np.add.at(weights, (place, j), weight)
+    path = run_path(weights, at, ret, eligible, stale, rf, half)
+    growth = path.pop("growth")
+    columns = {"config_id": pa.array([config["run"][0].as_py()] * n), "date": pa.array(dates, pa.int32()).cast(pa.date32()), "nav": np.cumprod(growth), "ret": growth - 1, **path}
+    return pa.Table.from_arrays([pa.array(columns[c]) for c in _RUN_ARROW.names], schema=_RUN_ARROW)
 
 
 def account(targets: DataFrame, returns: DataFrame, cash: DataFrame, configs: DataFrame) -> DataFrame:
@@ -255,40 +288,19 @@ def account(targets: DataFrame, returns: DataFrame, cash: DataFrame, configs: Da
 
     NAV is 1 until the first rebalance.  Each day drifts first, then sells what lost eligibility at
     half the spread, then trades to the day's target: cost is half the spread times the sum of
-    absolute weight changes, turnover half that sum; a day with both records the sum of both.
+    absolute weight changes, turnover half that sum; a day with both records the sum of both.  A day
+    without a row of an asset is a day on which it is not eligible; targets on days without any
+    return are not traded.  ``configs`` may carry ``cash_rate``, a yearly rate that replaces ``cash``.
+
+    One grouped pass: an asset's path and a config's targets become arrays, and a config meets the
+    paths of its assets in one group, whose size is its assets times trading days.
     """
-    targets, returns = targets.persist(), returns.persist()  # each is read several times below
-    seg = _segments(returns, targets).persist()
-    values, totals = (df.persist() for df in positions(targets, returns, cash, seg))
-    half = configs.select("config_id", (F.col("spread_bps") / 1e4 / 2).alias("half"))
-    share = values.join(totals.select("config_id", "date", "s"), ["config_id", "date"]).withColumn("w", F.col("v") / F.col("s"))
-    exits = share.groupBy("config_id", "date").agg(
-        F.sum(F.when(F.col("exits"), F.col("w")).otherwise(0.0)).alias("sold"), F.sum(F.col("exits").cast("int")).alias("forced_exits"), F.sum((F.col("stale") & ~F.col("exited")).cast("int")).alias("stale_marks")
-    )
-    drifted = share.where("reb and not exited").select("config_id", "date", "asset", F.col("w").alias("old"))
-    trades = (
-        targets.select("config_id", "date", "asset", F.col("weight").alias("new"))
-        .join(drifted, ["config_id", "date", "asset"], "full")
-        .groupBy("config_id", "date")
-        .agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("traded"), F.sum(F.coalesce("new", F.lit(0.0))).alias("new_gross"))
-    )
-    days = seg.join(totals.select("config_id", "date", "s", "live"), ["config_id", "date"], "left").join(exits, ["config_id", "date"], "left").join(trades, ["config_id", "date"], "left").join(half, "config_id")
-    path = in_order("config_id")
-    zero = F.lit(0.0)
-    previous = F.when(F.lag("reb").over(path), F.lit(1.0)).otherwise(F.lag("s").over(path))
-    growth = F.when(F.col("seg").isNull(), 1.0).otherwise(F.col("s") / F.coalesce(previous, F.lit(1.0)))
-    exit_cost, trade_cost = F.col("half") * F.coalesce("sold", zero), F.col("half") * F.coalesce("traded", zero)
-    days = days.withColumn("growth", growth * (1 - exit_cost) * (1 - trade_cost)).withColumns(
-        {
-            "cost": exit_cost + trade_cost,
-            "turnover": (F.coalesce("traded", zero) + F.coalesce("sold", zero)) / 2,
-            "cash_weight": F.when(F.col("reb"), 1 - F.col("new_gross")).when(F.col("seg").isNull(), 1.0).otherwise(1 - F.col("live") / F.col("s")),
-        }
-    )
-    return days.select(
-        "config_id", "date", F.product("growth").over(so_far("config_id")).alias("nav"), (F.col("growth") - 1).alias("ret"), "turnover", "cost", "cash_weight",
-        F.coalesce("forced_exits", F.lit(0)).alias("forced_exits"), F.coalesce("stale_marks", F.lit(0)).alias("stale_marks"),
-    )
+    days = returns.select("date").distinct().join(cash.select("date", "rf"), "date", "left").agg(F.sort_array(F.collect_list(F.struct("date", F.coalesce("rf", F.lit(0.0)).alias("rf")))).alias("days"))
+    paths = returns.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("date", "ret", "eligible", "stale"))).alias("path"))
+    held = targets.groupBy("config_id", "asset").agg(F.sort_array(F.collect_list(F.struct("date", "weight"))).alias("targets"))
+    rate = F.col("cash_rate").cast("double") if "cash_rate" in configs.columns else F.lit(None).cast("double")
+    each = configs.select(F.col("config_id").alias("run"), (F.col("spread_bps") / 1e4 / 2).alias("half"), rate.alias("cash_rate")).crossJoin(F.broadcast(days))  # one row: the calendar
+    return held.join(paths, "asset", "left").groupBy("config_id").cogroup(each.groupBy("run")).applyInArrow(_run_of, _RUN)
 
 
 def units_nav(targets: DataFrame, panel: DataFrame, cash: DataFrame, configs: DataFrame) -> DataFrame:

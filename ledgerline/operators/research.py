@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ANNUAL, EULER_GAMMA, normal_cdf, normal_quantile, so_far
-from ledgerline.operators.metrics import annual_vol, cagr, cash_cagr
+from ledgerline.operators import portfolio, signals
+from ledgerline.operators.metrics import annual_vol, cagr, cash_cagr, metrics_table
+from ledgerline.sources.panels import calendar, cash_accrual, settled
 
 # -- deflated Sharpe ----------------------------------------------------------------------
 
@@ -52,50 +55,120 @@ FIT = (
 )
 
 
-def fit_factors(y: np.ndarray, x: np.ndarray, names: list[str], lags: int | None = None) -> dict:
-    """OLS of y on a constant and the columns of x, with Bartlett standard errors over ``lags`` rows."""
-    n, k = len(y), x.shape[1] + 1
-    full = np.column_stack([np.ones(n), x])
-    inverse = np.linalg.inv(full.T @ full)
-    b = inverse @ (full.T @ y)
-    u = y - full @ b
-    lags = math.ceil(4 * (n / 100) ** (2 / 9)) if lags is None else lags
+#: Days of a run that one task works on at once.
+DAYS_A_BLOCK = 2048
+
+
+def bartlett_lags(n: int) -> int:
+    """The number of lags by the rule of thumb for ``n`` rows."""
+    return math.ceil(4 * (n / 100) ** (2 / 9))
+
+
+def moments(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cross products of (1, x, y), packed row by row: they add up over the parts of a run."""
+    z = np.column_stack([np.ones(len(y)), x, y])
+    return (z.T @ z).ravel()
+
+
+def lagged_scores(y: np.ndarray, x: np.ndarray, beta: np.ndarray, mean: float, lags: int, halo: int) -> np.ndarray:
+    """Bartlett sums of score products, squared residuals and squared deviations of the rows after the first ``halo``, packed.
+
+    The rows before are the ``lags`` ones before this part of a run (fewer at its start), so that
+    every product of a row with an earlier one is counted in the later row's part; the sums add up.
+    """
+    full = np.column_stack([np.ones(len(y)), x])
+    u = y - full @ beta
     score = full * u[:, None]
-    meat = score.T @ score
+    own = score[halo:]
+    meat = own.T @ own
     for m in range(1, lags + 1):
-        cross = score[m:].T @ score[:-m]
+        first = max(halo, m)
+        cross = score[first:].T @ score[first - m : len(score) - m]
         meat += (1 - m / (lags + 1)) * (cross + cross.T)
+    return np.concatenate([meat.ravel(), [u[halo:] @ u[halo:], (y[halo:] - mean) @ (y[halo:] - mean)]])
+
+
+def fitted(total: np.ndarray, sums: np.ndarray, names: list[str], lags: int) -> dict:
+    """The regression that the added :func:`moments` and :func:`lagged_scores` of a run give."""
+    k = len(names) + 1
+    z = total.reshape(k + 1, k + 1)
+    inverse = np.linalg.inv(z[:k, :k])
+    b, n = inverse @ z[:k, k], round(z[0, 0])
+    meat, rss, tss = sums[: k * k].reshape(k, k), sums[-2], sums[-1]
     t = b / np.sqrt(np.diag(inverse @ meat @ inverse))
     length = float(np.linalg.norm(b[1:])) or 1.0
     named = lambda values: dict(zip(names, map(float, values), strict=True))
     return {
         "n": n, "lags": lags, "alpha": float((1 + b[0]) ** ANNUAL - 1), "alpha_daily": float(b[0]), "alpha_t": float(t[0]), "alpha_p": math.erfc(abs(t[0]) / math.sqrt(2)),
-        "r2": float(1 - u @ u / ((y - y.mean()) @ (y - y.mean()))), "residual_vol": float(math.sqrt(u @ u / (n - k) * ANNUAL)), "loadings": named(b[1:]), "t": named(t[1:]), "unit": named(b[1:] / length),
+        "r2": float(1 - rss / tss), "residual_vol": float(math.sqrt(rss / (n - k) * ANNUAL)), "loadings": named(b[1:]), "t": named(t[1:]), "unit": named(b[1:] / length),
     }
 
 
-def factor_regressions(runs: DataFrame, factors: DataFrame, lags: int | None = None, least: int = 200) -> DataFrame:
+def _added(parts: DataFrame, column: str, *keys: str) -> DataFrame:
+    """Packed arrays of doubles added place by place."""
+    each = parts.select(*keys, F.posexplode(column).alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).select(*keys, F.col("s.x").alias(column))
+
+
+def factor_regressions(runs: DataFrame, factors: DataFrame, lags: int | None = None, least: int = 200, days: int | None = None) -> DataFrame:
     """Per run of (config_id, date, ret, rf): OLS of excess returns on factor excess returns, with Bartlett errors.
 
-    ``factors(series_id, date, ret)`` count on days that have every one of them.  A run's days are
-    one group, so thousands of runs are fitted side by side; runs with fewer than ``least`` days
-    give no row.  Returns alpha (annual, t, p), loadings, their t-values and unit-length form, r2
-    and residual vol.
+    ``factors(series_id, date, ret)`` count on days that have every one of them.  Runs with fewer
+    than ``least`` days give no row.  A run is cut into parts of ``days`` days: the parts' cross
+    products add up to its coefficients, and with these the parts' lagged score products, each part
+    with the days before it that its lags reach, add up to its errors.  Returns alpha (annual, t,
+    p), loadings, their t-values and unit-length form, r2 and residual vol.
     """
+    days = days or DAYS_A_BLOCK
     n_factors = factors.agg(F.countDistinct("series_id").alias("n"))
     day = factors.where("ret is not null").groupBy("date").agg(F.sort_array(F.collect_list(F.struct("series_id", "ret"))).alias("f"))
     whole = day.crossJoin(F.broadcast(n_factors)).where(F.size("f") == F.col("n")).select("date", F.col("f.series_id").alias("names"), F.col("f.ret").alias("f"))  # n_factors is one row
-    rows = runs.where("ret is not null and rf is not null").join(whole, "date").select("config_id", "date", "ret", "rf", "names", "f")
+    joined = runs.where("ret is not null and rf is not null").join(whole, "date")
+    excess = joined.select("config_id", "date", (F.col("ret") - F.col("rf")).alias("y"), F.transform("f", lambda x: x - F.col("rf")).alias("x"), "names")
+    placed = excess.withColumn("pos", F.row_number().over(Window.partitionBy("config_id").orderBy("date")) - 1)
+    rows = settled(placed.withColumn("part", (F.col("pos") / days).cast("int")))
 
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
-        if len(df) < least:
-            return pd.DataFrame(columns=[c.split()[0] for c in FIT.split(", ")])
-        df = df.sort_values("date")
-        rf = df["rf"].to_numpy()
-        found = fit_factors(df["ret"].to_numpy() - rf, np.stack(df["f"].to_list()) - rf[:, None], list(df["names"].iloc[0]), lags)
-        return pd.DataFrame([{"config_id": df["config_id"].iloc[0], **found}])
+    def pair(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table["y"].to_numpy(), table["x"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
 
-    return rows.groupBy("config_id").applyInPandas(fit, FIT)
+    def sums_of(table: pa.Table) -> pa.Table:
+        return pa.table({"config_id": [table["config_id"][0].as_py()], "names": [table["names"][0].as_py()], "total": [moments(*pair(table))]})
+
+    totals = rows.groupBy("config_id", "part").applyInArrow(sums_of, "config_id string, names array<string>, total array<double>")
+    merged = _added(totals, "total", "config_id", "names").where(F.col("total")[0] >= least)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            beta, mean, reach = [], [], []
+            for names, total in zip(b["names"].to_pylist(), b["total"].to_pylist(), strict=True):
+                k = len(names) + 1
+                z = np.array(total).reshape(k + 1, k + 1)
+                beta.append(np.linalg.solve(z[:k, :k], z[:k, k]))
+                mean.append(z[0, k] / z[0, 0])
+                reach.append(bartlett_lags(round(z[0, 0])) if lags is None else lags)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(beta, pa.list_(pa.float64())), pa.array(mean, pa.float64()), pa.array(reach, pa.int32())], [*b.schema.names, "beta", "mean", "lags"])
+
+    solved = settled(merged.mapInArrow(solve, "config_id string, names array<string>, total array<double>, beta array<double>, mean double, lags int"))
+    held = rows.select("config_id", "pos", "y", "x", "part").join(solved.select("config_id", "beta", "mean", "lags"), "config_id")
+    # a row stands in its own part and in the later ones whose first rows its lags reach
+    last = ((F.col("pos") + F.col("lags")) / days).cast("int")
+    held = held.withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence("own", last)))
+
+    def errors_of(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        halo = int((table["own"].to_numpy() != table["part"].to_numpy()).sum())
+        y, x = pair(table)
+        got = lagged_scores(y, x, np.array(table["beta"][0].as_py()), table["mean"][0].as_py(), table["lags"][0].as_py(), halo)
+        return pa.table({"config_id": [table["config_id"][0].as_py()], "sums": [got]})
+
+    sums = _added(held.groupBy("config_id", "part").applyInArrow(errors_of, "config_id string, sums array<double>"), "sums", "config_id")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [{"config_id": c, **fitted(np.array(total), np.array(s), list(names), reach)} for c, total, s, names, reach in zip(b["config_id"], b["total"], b["sums"], b["names"], b["lags"], strict=True)]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in FIT.split(", ")])
+
+    return solved.join(sums, "config_id").select("config_id", "total", "sums", "names", "lags").mapInPandas(finish, FIT)
 
 
 def factor_regression(run: DataFrame, factors: DataFrame, lags: int | None = None, least: int = 200) -> dict | None:
@@ -148,10 +221,12 @@ REPS_A_TASK = 100
 def bootstrap(daily: DataFrame, baseline: str, reps: int = 2000, block: int = 21, seed: int = 7, least: int = 250) -> tuple[DataFrame, DataFrame]:
     """Confidence intervals per run, and paired Sharpe differences against ``baseline``.
 
-    ``daily(config_id, date, ret, rf)`` over the days that all runs share.  A run is one row of two
-    arrays over the days; every (run, block of repetitions) is one row of work, so nothing is
-    shuffled per sampled day, and runs and repetitions spread over all tasks.
+    ``daily(config_id, date, ret, rf)`` over the days that all runs share; it is computed once and
+    written, and so is the small table of results.  A run is one row of two arrays over the days;
+    every (run, block of repetitions) is one row of work, so nothing is shuffled per sampled day,
+    and runs and repetitions spread over all tasks.
     """
+    daily = settled(daily.select("config_id", "date", "ret", "rf"))
     days = daily.groupBy("date").agg(F.countDistinct("config_id").alias("k")).crossJoin(F.broadcast(daily.agg(F.countDistinct("config_id").alias("all")))).where("k = all").select("date")  # one row
     n = days.count()
     if n < least:
@@ -169,11 +244,11 @@ def bootstrap(daily: DataFrame, baseline: str, reps: int = 2000, block: int = 21
                 yield pd.DataFrame({"config_id": config, "rep": some, "cagr": cagr_, "sharpe": sharpe, "max_drawdown": drawdown})
 
     stats = work.mapInPandas(draw, "config_id string, rep long, cagr double, sharpe double, max_drawdown double").withColumn("sharpe", F.nanvl("sharpe", F.lit(None)))
+    base = F.max(F.when(F.col("config_id") == baseline, F.col("sharpe"))).over(Window.partitionBy("rep"))
     bounds = [F.expr(f"percentile({c}, array(0.025, 0.5, 0.975))").alias(c) for c in ("cagr", "sharpe", "max_drawdown")]
-    base = stats.where(F.col("config_id") == baseline).select("rep", F.col("sharpe").alias("s0"))
-    paired = stats.where(F.col("config_id") != baseline).join(base, "rep").withColumn("d", F.col("sharpe") - F.col("s0"))
-    differences = paired.groupBy("config_id").agg(F.avg("d").alias("mean_difference"), F.avg((F.col("d") <= 0).cast("double")).alias("p_not_better"))
-    return stats.groupBy("config_id").agg(F.count("*").alias("reps"), *bounds), differences
+    paired = [F.avg("d").alias("mean_difference"), F.avg((F.col("d") <= 0).cast("double")).alias("p_not_better")]
+    table = settled(stats.withColumn("d", F.col("sharpe") - base).groupBy("config_id").agg(F.count("*").alias("reps"), *bounds, *paired))
+    return table.select("config_id", "reps", "cagr", "sharpe", "max_drawdown"), table.where((F.col("config_id") != baseline) & F.col("mean_difference").isNotNull()).select("config_id", "mean_difference", "p_not_better")
 
 
 # -- windows and sweeps -------------------------------------------------------------------
@@ -220,3 +295,61 @@ def sweep(configs: DataFrame, name: str, values: list[float]) -> DataFrame:
     """Every config at every value of one parameter; config ids carry the value."""
     points = F.explode(F.array(*[F.lit(float(v)) for v in values]))
     return configs.withColumn("_v", points).withColumns({"base_id": F.col("config_id"), "config_id": F.concat_ws("@", "config_id", F.col("_v").cast("string")), name: F.col("_v")}).drop("_v")
+
+
+def sweep_grid(configs: DataFrame, axes: dict[str, list[float]]) -> DataFrame:
+    """One point a value of each axis, the others as in the config: a base row and its variations."""
+    parts = [configs.withColumns({"axis": F.lit("base"), "at": F.lit(None).cast("double")})]
+    for name, values in axes.items():
+        kind = configs.schema[name].dataType
+        points = configs.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("at")).withColumns({"axis": F.lit(name), name: F.col("at").cast(kind)})
+        parts.append(points.withColumn("config_id", F.concat_ws("@", "config_id", F.concat_ws("=", F.lit(name), F.col("at").cast("string")))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def swept_targets(panel: DataFrame, configs: DataFrame, window: int = 26, frequency: str = "monthly", base_lag: int = 1) -> DataFrame:
+    """Targets (config_id, date, asset, weight) of every config at once, by what each knows on a rebalance.
+
+    ``configs(config_id, template, lag, target_vol)``: a signal is known ``base_lag`` + lag trading
+    days late, so a config's rebalance meets the signals of an earlier place in the calendar by a
+    join on places.  Templates are equal, inverse_vol and ts_momentum; where target_vol is stated,
+    weights are scaled down to it by the covariance known then.  Days on which something needed is
+    missing keep their holdings.
+    """
+    returns = signals.simple_returns(panel)
+    made = signals.momentum(signals.trailing_vol(returns, window), window)
+    place = calendar(panel)
+    known = made.join(place, "date").select(F.col("pos").alias("known"), F.col("series_id").alias("asset"), "vol", "mom")
+    dates = signals.rebalance_dates(panel.select("date").distinct(), frequency).join(place, "date")
+    asked = configs.select("config_id", "template", "lag", "target_vol").crossJoin(dates).withColumn("known", (F.col("pos") - base_lag - F.col("lag")).cast("int"))  # configs times rebalances: the size of the result
+    day = Window.partitionBy("config_id", "date")
+    rows = asked.join(known, "known")
+    vol_ok, mom_ok = F.coalesce(F.col("vol") > 0, F.lit(False)), F.col("mom").isNotNull()
+    raw = F.when(F.col("template") == "equal", 1.0).when(F.col("template") == "inverse_vol", 1 / F.col("vol")).when(F.col("mom") > 0, 1 / F.col("vol")).otherwise(0.0)
+    fine = F.when(F.col("template") == "equal", F.col("vol").isNotNull()).when(F.col("template") == "inverse_vol", vol_ok).otherwise(vol_ok & mom_ok)
+    rows = rows.withColumns({"fine": F.min(fine.cast("int")).over(day)}).where("fine = 1").withColumn("raw", raw)
+    rows = rows.withColumn("weight", F.coalesce(F.col("raw") / F.nullif(F.sum("raw").over(day), F.lit(0.0)), F.lit(0.0)))
+    cov = signals.rolling_cov(returns, window).join(place, "date").select(F.col("pos").alias("known"), "asset_i", "asset_j", "cov")
+    both = cov.unionByName(cov.where("asset_i != asset_j").select("known", F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"), "cov"))
+    scaled = rows.where("target_vol is not null")
+    other = scaled.select("config_id", "date", F.col("asset").alias("asset_j"), F.col("weight").alias("w_j"))
+    vols = scaled.select("config_id", "date", "known", F.col("asset").alias("asset_i"), "weight").join(both, ["known", "asset_i"]).join(other, ["config_id", "date", "asset_j"])
+    vols = vols.groupBy("config_id", "date").agg(F.sqrt(F.sum(F.col("weight") * F.col("w_j") * F.col("cov"))).alias("mix"))
+    out = rows.join(vols, ["config_id", "date"], "left").where("target_vol is null or mix is not null")
+    factor = F.when(F.col("target_vol").isNull() | ~(F.col("mix") > 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("target_vol") / F.col("mix")))
+    return out.select("config_id", "date", "asset", (F.col("weight") * factor).alias("weight"))
+
+
+def sweep_metrics(panel: DataFrame, configs: DataFrame, window: int = 26) -> DataFrame:
+    """The metrics of every point of a grid, as one job: signals, targets, accounting and statistics.
+
+    ``configs(config_id, template, spread_bps, lag, target_vol, cash_rate)``; see :func:`sweep_grid`.
+    """
+    targets = swept_targets(panel, configs, window)
+    cash = cash_accrual(panel.select("date").distinct(), 0.0)
+    daily = portfolio.account(targets, portfolio.asset_returns(panel), cash, configs)
+    rate = configs.select("config_id", (F.pow(1 + F.col("cash_rate"), F.lit(1 / ANNUAL)) - 1).alias("rf"))
+    return metrics_table(settled(daily.join(rate, "config_id")))  # read by five statistics

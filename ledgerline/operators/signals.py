@@ -7,8 +7,11 @@ share one on ``date``.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,23 +65,78 @@ def ewma_return(df: DataFrame, halflife: int, column: str = "ret", scale: float
     return both.withColumn(out, F.when(F.col("_k") >= halflife, mean * scale)).select(*df.columns, out)
 
 
+#: Assets of a block of the covariance matrix, and days of one piece of the calendar.
+BLOCK_ASSETS, PIECE_DAYS = 64, 1024
+_TILE = "date date, i int, j int, names_i array<string>, names_j array<string>, tile array<double>"
+_TILE_ARROW = pa.schema([("date", pa.date32()), ("i", pa.int32()), ("j", pa.int32()), ("names_i", pa.list_(pa.string())), ("names_j", pa.list_(pa.string())), ("tile", pa.list_(pa.float64()))])
+
+
+def window_covariances(x: np.ndarray, y: np.ndarray, window: int, ends: np.ndarray) -> np.ndarray:
+    """Sample covariances of the columns of x and y over the ``window`` rows up to each of ``ends``: differences of prefix sums."""
+    fill = lambda v: np.nan_to_num(v - np.nan_to_num(np.nanmean(v, axis=0)))  # noqa: E731  (centred, so that the sums stay small)
+    with np.errstate(invalid="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # a column without any value
+        x, y = fill(x), fill(y)
+    before = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0)])
+    over = lambda p: p[ends + 1] - p[ends + 1 - window]
+    outer = over(before(x[:, :, None] * y[:, None, :]))
+    return (outer - over(before(x))[:, :, None] * over(before(y))[:, None, :] / window) / (window - 1)
+
+
+def covariance_tiles(returns: DataFrame, window: int, annual: int = ANNUAL, dates: DataFrame | None = None, block: int = BLOCK_ASSETS, piece: int = PIECE_DAYS) -> DataFrame:
+    """(date, i, j, names_i, names_j, tile): the covariance of asset blocks i <= j, row by row, on days whose window has every return of every asset.
+
+    Assets are dealt into blocks by name and days into pieces, each with the ``window`` - 1 days
+    before it; a group holds two blocks over a piece.  ``dates`` keeps only some days.
+    """
+    piece = max(piece, window)
+    names = returns.select(KEY).distinct().withColumn("block", ((F.row_number().over(Window.orderBy(KEY)) - 1) / block).cast("int"))  # one row an asset
+    whole = returns.groupBy("date").agg(F.count("ret").alias("k")).crossJoin(F.broadcast(names.agg(F.count("*").alias("n_assets"), F.max("block").alias("last"))))  # one row
+    in_days = Window.orderBy("date")  # one row a day
+    days = whole.withColumns({"pos": F.row_number().over(in_days) - 1, "ok": F.sum((F.col("k") == F.col("n_assets")).cast("int")).over(in_days.rowsBetween(-(window - 1), 0)) == window})
+    if dates is not None:
+        days = days.join(dates.select("date").distinct().withColumn("asked", F.lit(True)), "date", "left").withColumn("ok", F.col("ok") & F.col("asked").isNotNull())
+    own = (F.col("pos") / piece).cast("int")
+    ahead = F.when(F.col("pos") % piece >= piece - (window - 1), own + 1).otherwise(own)
+    days = days.select("date", "pos", "last", "ok", F.explode(F.array_distinct(F.array(own, ahead))).alias("piece"), own.alias("own"))
+    rows = returns.select("date", KEY, "ret").join(F.broadcast(names), KEY).join(days, "date")  # names: a row an asset
+    pairs = lambda first, second: F.struct(first.cast("int").alias("i"), second.cast("int").alias("j"))
+    meets = F.concat(F.transform(F.sequence(F.col("block"), F.col("last")), lambda j: pairs(F.col("block"), j)), F.when(F.col("block") > 0, F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: pairs(i, F.col("block")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")))
+    dealt = rows.select("date", "pos", KEY, "ret", "block", "piece", (F.col("ok") & (F.col("own") == F.col("piece"))).alias("ok"), F.explode(meets).alias("m"))
+    dealt = dealt.select("m.i", "m.j", "piece", "block", KEY, "date", "pos", "ret", "ok")
+
+    def tile(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        blocks, pos = table["block"].to_numpy(), table["pos"].to_numpy()
+        first = pos.min()
+        names_of, sides = {}, {}
+        for b in {i, j}:
+            part = table.filter(pa.array(blocks == b))
+            names_of[b], at = np.unique(part[KEY].to_numpy(), return_inverse=True)
+            sides[b] = np.full((pos.max() - first + 1, len(names_of[b])), np.nan)
+            sides[b][part["pos"].to_numpy() - first, at] = part["ret"].to_numpy()
+        ok = table["ok"].to_numpy()
+        ends, lead = np.unique(pos[ok], return_index=True)
+        ends = ends - first
+        if not len(ends):
+            return _TILE_ARROW.empty_table()
+        date = table["date"].combine_chunks().filter(pa.array(ok)).take(pa.array(lead))
+        made = window_covariances(sides[i], sides[j], window, ends) * annual
+        columns = [date, pa.array([i] * len(ends), pa.int32()), pa.array([j] * len(ends), pa.int32()), [names_of[i].tolist()] * len(ends), [names_of[j].tolist()] * len(ends), list(made.reshape(len(ends), -1))]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _TILE_ARROW.types, strict=True)], schema=_TILE_ARROW)
+
+    return dealt.groupBy("i", "j", "piece").applyInArrow(tile, _TILE)
+
+
 def rolling_cov(returns: DataFrame, window: int, annual: int = ANNUAL, dates: DataFrame | None = None) -> DataFrame:
-    """(date, asset_i, asset_j, cov) for i <= j over windows in which every asset has every return.
+    """(date, asset_i, asset_j, cov) for i <= j over windows in which every asset has every return: :func:`covariance_tiles`, one row a pair.
 
-    ``dates`` keeps only some days, after the windows are made.
+    ``dates`` keeps only some days.
     """
-    n = returns.agg(F.countDistinct(KEY).alias("n_assets"))
-    whole = returns.groupBy("date").agg(F.count("ret").alias("k")).crossJoin(F.broadcast(n))  # one row
-    days = whole.select("date", (F.col("k") == F.col("n_assets")).cast("int").alias("whole"))
-    day_window = Window.orderBy("date").rowsBetween(-(window - 1), 0)  # over days, one row each
-    ready = days.withColumn("ok", F.sum("whole").over(day_window) == window).where("ok").select("date")
-    a = returns.select("date", F.col(KEY).alias("asset_i"), F.col("ret").alias("r_i"))
-    b = returns.select("date", F.col(KEY).alias("asset_j"), F.col("ret").alias("r_j"))
-    pairs = a.join(b, "date").where("asset_i <= asset_j")
-    w = trailing(window, "asset_i", "asset_j")
-    out = pairs.withColumn("cov", F.covar_samp("r_i", "r_j").over(w) * annual).join(ready, "date", "left_semi")
-    out = out if dates is None else out.join(dates.select("date"), "date", "left_semi")
-    return out.select("date", "asset_i", "asset_j", "cov")
+    tiles = covariance_tiles(returns, window, annual, dates).select("date", "names_i", "names_j", F.posexplode("tile").alias("at", "cov"))
+    width = F.size("names_j")
+    pairs = tiles.select("date", F.element_at("names_i", F.floor(F.col("at") / width).cast("int") + 1).alias("asset_i"), F.element_at("names_j", F.col("at") % width + 1).alias("asset_j"), "cov")
+    return pairs.where("asset_i <= asset_j")
 
 
 def momentum(df: DataFrame, window: int, skip: int = 0, out: str = "mom") -> DataFrame:

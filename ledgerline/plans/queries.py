@@ -202,10 +202,10 @@ def lookahead_tripwire(spark, sf_dir):
 # -- accounting ---------------------------------------------------------------------------
 
 
-def account_sql(targets: str, panel: str, spread_bps: float | str) -> str:
+def account_sql(targets: str, panel: str, spread_bps: float | str, cash: str = "cash c ON c.date = s.date") -> str:
     """CTEs that end in ``daily``: the closed form of the accounting, over ``targets`` and a panel.
 
-    ``spread_bps`` is a number, or SQL over g.config_id.
+    ``spread_bps`` is a number, or SQL over g.config_id; ``cash`` is the join of rates c to days s.
     """
     half = f"{spread_bps / 1e4 / 2}::DOUBLE" if isinstance(spread_bps, float) else f"(({spread_bps}) / 10000.0::DOUBLE / 2)"
     return f"""{targets},
@@ -214,10 +214,10 @@ def account_sql(targets: str, panel: str, spread_bps: float | str) -> str:
     rebs AS (SELECT DISTINCT config_id, date FROM targets),
     grid AS (SELECT c.config_id, d.date, r.date IS NOT NULL AS reb FROM (SELECT DISTINCT config_id FROM targets) c CROSS JOIN (SELECT DISTINCT date FROM rets) d LEFT JOIN rebs r ON r.config_id = c.config_id AND r.date = d.date),
     sg AS (SELECT *, max(CASE WHEN reb THEN date END) OVER (PARTITION BY config_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sg FROM grid),
-    held AS (SELECT s.*, x.asset, x.weight, r.ret, r.eligible, c.rf FROM sg s JOIN targets x ON x.config_id = s.config_id AND x.date = s.sg AND x.weight <> 0 JOIN rets r ON r.asset = x.asset AND r.date = s.date JOIN cash c ON c.date = s.date),
+    held AS (SELECT s.*, x.asset, x.weight, r.ret, r.eligible, c.rf FROM sg s JOIN targets x ON x.config_id = s.config_id AND x.date = s.sg AND x.weight <> 0 JOIN rets r ON r.asset = x.asset AND r.date = s.date JOIN {cash}),
     lost AS (SELECT *, min(CASE WHEN NOT eligible THEN date END) OVER (PARTITION BY config_id, sg, asset) AS lost FROM held),
     vals AS (SELECT *, weight * product(CASE WHEN lost IS NULL OR date <= lost THEN 1 + ret ELSE 1 + rf END) OVER (PARTITION BY config_id, sg, asset ORDER BY date) AS v FROM lost),
-    idle AS (SELECT s.config_id, s.date, f.c0 * product(1 + rf) OVER (PARTITION BY s.config_id, s.sg ORDER BY s.date) AS c FROM sg s JOIN (SELECT config_id, date, 1 - sum(weight) AS c0 FROM targets GROUP BY ALL) f ON f.config_id = s.config_id AND f.date = s.sg JOIN cash c ON c.date = s.date),
+    idle AS (SELECT s.config_id, s.date, f.c0 * product(1 + rf) OVER (PARTITION BY s.config_id, s.sg ORDER BY s.date) AS c FROM sg s JOIN (SELECT config_id, date, 1 - sum(weight) AS c0 FROM targets GROUP BY ALL) f ON f.config_id = s.config_id AND f.date = s.sg JOIN {cash}),
     tot AS (SELECT i.config_id, i.date, any_value(i.c) + coalesce(sum(v.v), 0) AS s FROM idle i LEFT JOIN vals v ON v.config_id = i.config_id AND v.date = i.date GROUP BY ALL),
     sold AS (SELECT v.config_id, v.date, sum(CASE WHEN v.date = lost THEN v / s ELSE 0 END) AS sold, sum(CASE WHEN v.date = lost THEN 1 ELSE 0 END) AS exits FROM vals v JOIN tot USING (config_id, date) GROUP BY ALL),
     old AS (SELECT v.config_id, v.date, asset, v / s AS old FROM vals v JOIN tot USING (config_id, date) WHERE reb AND (lost IS NULL OR v.date < lost)),
@@ -305,8 +305,9 @@ def run_solved_weights(spark, sf_dir):
     """Least variance and equal risk targets at rebalances (checked by their optimality conditions in the tests)."""
     panel = t.segment_panel(spark, sf_dir)
     dates = _rebalances(panel, "solved")
-    cov = signals.rolling_cov(signals.simple_returns(panel), 26, dates=dates).withColumn("config_id", F.lit("min_variance"))
-    both = portfolio.solved_weights(cov, "min_variance").unionByName(portfolio.solved_weights(cov.withColumn("config_id", F.lit("equal_risk")), "equal_risk"))
+    tiles = signals.covariance_tiles(signals.simple_returns(panel), 26, dates=dates)
+    solved = [portfolio.solved_weights(tiles.withColumn("config_id", F.lit(m)), m) for m in ("min_variance", "equal_risk")]
+    both = solved[0].unionByName(solved[1])
     return r6(portfolio.position_policy(both))
 
 

@@ -126,6 +126,20 @@ def calendar(panel: DataFrame) -> DataFrame:
     return days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written, in the folder that spark.checkpoint.dir names; what follows starts from the written rows.
+
+    Only where driver and executors are one process is a folder chosen here.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+        context.setCheckpointDir(named or "file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 def on_days(keys: DataFrame, days: DataFrame) -> DataFrame:
     """Every row of ``keys`` on every day of ``days``; the calendar travels as one array, which has 366 entries a year at most."""
     calendar_ = days.agg(F.sort_array(F.collect_set("date")).alias("_days"))
@@ -238,12 +252,16 @@ def panel_hash(panel: DataFrame) -> str:
     return whole[0] or ""
 
 
-def freeze(panel: DataFrame, path: str, **manifest) -> dict:
-    """Write the panel and a one-row manifest with its hash; an existing folder is refused."""
-    digest = panel_hash(panel)
+def freeze(panel: DataFrame, path: str, lineage=None, **manifest) -> dict:
+    """Write the panel and a one-row manifest with its hash; an existing folder is refused.
+
+    The panel is computed once, by the write; its hash and extent come from what was written, and
+    ``lineage`` (:class:`ledgerline.sources.files.Lineage`) gives the rows of the steps that led to it.
+    """
     panel.write.mode("errorifexists").parquet(f"{path}/panel")
-    seen = panel.agg(F.count("*").alias("rows"), F.countDistinct("series_id").alias("series"), F.min("date").cast("string").alias("first"), F.max("date").cast("string").alias("last")).first().asDict()
-    record = {**seen, "hash": digest, **manifest}
+    frozen = panel.sparkSession.read.parquet(f"{path}/panel")
+    seen = frozen.agg(F.count("*").alias("rows"), F.countDistinct("series_id").alias("series"), F.min("date").cast("string").alias("first"), F.max("date").cast("string").alias("last")).first().asDict()
+    record = {**seen, "hash": panel_hash(frozen), **({"transformations": lineage.record()} if lineage is not None else {}), **manifest}
     panel.sparkSession.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return record
 
