@@ -8,7 +8,7 @@ and few others, however common a passage is.
 
 In a tile every set is compared with the tile's least first; what hangs together then needs no
 further comparison, and only where a tile holds several components its sets are compared across
-these, large tiles split into pairs of smaller ones.  A comparison first bounds the overlap from
+these, nearest ones first, large tiles split into pairs of smaller ones.  A comparison first bounds the overlap from
 above: bitmaps hold the parity of a set's n-grams by hash, so where they differ in b bits the sets
 differ in b n-grams or more.  What passes has its sorted arrays intersected.  No pair of a tile is
 left out that could add a link between components, so none is lost.
@@ -16,7 +16,7 @@ left out that could add a link between components, so none is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,10 +30,10 @@ from pyspark.sql.types import BooleanType, LongType
 from ledgerline.llm import _tools as t
 from ledgerline.llm.simhash import components
 
-#: Part keys of the corpus for each range of keys; sets of a tile up to which pairs are named at once, and of a half of a split tile.
-KEYS_A_SHARD, PAIRS_UP_TO, TILE = 1 << 21, 32, 1024
-#: Sizes of the least and largest bitmap, in bits; a set has about as many bits as n-grams.
-LEAST_BITS, MOST_BITS = 64, 1 << 16
+#: Part keys of the corpus for each range of keys; sets of a half of a split tile, and rows of tiles that one group works on.
+KEYS_A_SHARD, TILE, ROWS_A_GROUP = 1 << 21, 1024, 1 << 14
+#: Sizes of the least and largest bitmap, in bits; a set has about four times as many bits as n-grams.
+LEAST_BITS, MOST_BITS = 64, 1 << 18
 #: How often a set with many empty parts is dealt anew.
 DEALS = 4
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
@@ -122,8 +122,8 @@ def part_keys(s: np.ndarray, rule: Rule, bands: list[int]) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """The parity of the set's n-grams by hash, as bytes: as many bits as n-grams, a power of two."""
-    bits = min(max(LEAST_BITS, 1 << max(len(s) - 1, 1).bit_length()), MOST_BITS)
+    """The parity of the set's n-grams by hash, as bytes: about four times as many bits as n-grams, a power of two."""
+    bits = min(max(LEAST_BITS, 4 << max(len(s) - 1, 1).bit_length()), MOST_BITS)
     at = (t.mix64(s ^ _ODD[1]) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little")
 
@@ -266,9 +266,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SET = "node long, n long, bits binary, items binary"
 
 
-def _sets(docs: DataFrame, members: DataFrame, met: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """(node, n, bits, items) of the sets in ``met``, from the texts of one document each."""
-    nodes = met.select("node").distinct()
+def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
+    """(node, n, bits, items) of the sets named by ``nodes``, from the texts of one document each."""
+    nodes = t.cut(nodes.distinct(), "wanted-sets")
     wanted = members.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     known = F.coalesce(F.col(doc_id).cast("long"), F.lit(t.NO_ID))
     ids = t.cut(wanted.select(F.coalesce("id", F.lit(t.NO_ID)).alias("id")).distinct(), "wanted-documents")
@@ -286,7 +286,7 @@ def _sets(docs: DataFrame, members: DataFrame, met: DataFrame, doc_id: str, text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "bits", "items"])
 
     out = t.cut(texts.mapInArrow(scan, _SET).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    t.discard(ids)
+    t.discard(ids, nodes)
     return out
 
 
@@ -322,112 +322,165 @@ def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return close.join(side("v", "items"), "v").join(side("u", "items"), "u").where(enough("items_u", "items_v")).select("u", "v")
 
 
-_PAIR = "u long, v long, root_u long, root_v long"
+_PAIR = "u long, v long, root_u long, root_v long, unfinished long"
 
 
-def _tile_pairs(table: pa.Table, rule: Rule) -> pa.Table:
-    """Pairs of one split tile that lie in different components and that the bitmaps allow."""
-    order = np.argsort(table["n"].to_numpy(), kind="stable")
-    node, n, root, half = (table[c].to_numpy()[order] for c in ("node", "n", "root", "half"))
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    held = table["bits"].to_pylist()
-    bits = [np.frombuffer(held[k], np.uint8) for k in order]
-    size = min(map(len, bits))
-    bits, found = np.stack([folded(b, size) for b in bits]), [np.zeros((4, 0), np.int64)]
-    for x in np.flatnonzero(half == i).tolist():
-        begin, end = np.searchsorted(n, [n[x], rule.most_partner(int(n[x])) + 1]) if i == j else np.searchsorted(n, [-(-rule.percent * int(n[x]) // 100), rule.most_partner(int(n[x])) + 1])
-        at = np.arange(begin, end)
-        at = at[(half[at] == j) & (root[at] != root[x]) & ((n[at] > n[x]) | (node[at] > node[x]) if i == j else True)]
-        differ = np.bitwise_count(bits[at] ^ bits[x]).sum(1)
-        at = at[can_be_alike(n[at], n[x], differ, rule.percent)]
-        found.append(np.stack([np.minimum(node[x], node[at]), np.maximum(node[x], node[at]), np.where(node[x] < node[at], root[x], root[at]), np.where(node[x] < node[at], root[at], root[x])]))
-    return pa.Table.from_arrays([pa.array(c) for c in np.concatenate(found, 1)], ["u", "v", "root_u", "root_v"])
+def _allowed(bits: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (first, second) of a tile the sizes and bitmaps allow, and in how many bits they differ."""
+    low, high = np.minimum(n[first], n[second]), np.maximum(n[first], n[second])
+    near = np.flatnonzero(100 * low >= rule.percent * high)
+    first, second = first[near], second[near]
+    differ = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(bits[first[k : k + 4096]] ^ bits[second[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(first), 4096)]])
+    fine = can_be_alike(n[first], n[second], differ, rule.percent)
+    return near[fine], differ[fine]
 
 
-def _across(tiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs (u, v, root_u, root_v), u < v, that share a tile and lie in different components; ``tiles(key, node, root)``."""
-    sizes = tiles.groupBy("key").agg(F.count("*").alias("g"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key", "g")
-    sized = t.cut(tiles.join(sizes, "key"), "open-tiles")
-    few = sized.where(F.col("g") <= PAIRS_UP_TO)
-    other = few.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    pairs = few.select("key", F.col("node").alias("u"), F.col("root").alias("root_u")).join(other, "key").where("u < v and root_u != root_v").select("u", "v", "root_u", "root_v")
-    halves = F.ceil(F.col("g") / TILE).cast("int")
-    many = sized.where(F.col("g") > PAIRS_UP_TO).withColumn("half", F.pmod(F.xxhash64("node"), halves).cast("int"))
-    many = many.select("key", "node", "root", "half", F.explode(F.sequence(F.lit(0), halves - 1)).alias("to")).withColumns({"i": F.least("half", "to"), "j": F.greatest("half", "to")})
-    many = many.join(sets.select("node", "n", "bits"), "node")
-    split = many.groupBy("key", "i", "j").applyInArrow(lambda x: _tile_pairs(x, rule), _PAIR)
-    out = t.cut(pairs.unionByName(split).distinct(), "pairs-across")
-    t.discard(sized)
-    return out
-
-
-def links(met: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (u, v) that connect all alike sets of the tiles ``met(key, node, leader)``.
+def _tile_pairs(table: pa.Table, rule: Rule, best: bool) -> pa.Table:
+    """Pairs of tiles that lie in different components and that the bitmaps allow.
 
-    First every set with the least of its tile; then, across the components that this gives, for
-    each two components one pair; then all pairs that still lie across.
+    With ``best``, a tile with many such pairs gives only the pair of the fewest differing bits of
+    each set and other component, and its key as ``unfinished``.
+    """
+    columns = {c: table[c].to_numpy() for c in ("key", "i", "j", "n", "node", "root", "half")}
+    order = np.lexsort([columns[c] for c in ("half", "j", "i", "key")])
+    key, i, j, n, node, root, half = (columns[c][order] for c in ("key", "i", "j", "n", "node", "root", "half"))
+    held, found, open_keys = table["bits"].to_pylist(), [np.zeros((4, 0), np.int64)], []
+    edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+        roots, halves = root[begin:end], half[begin:end]
+        if (roots == roots[0]).all():
+            continue
+        bits = [np.frombuffer(held[k], np.uint8) for k in order[begin:end]]
+        size = min(map(len, bits))
+        bits = np.stack([folded(b, size) for b in bits])
+        sizes, nodes, made = n[begin:end], node[begin:end], []
+        split = int(np.searchsorted(halves, j[begin])) if i[begin] != j[begin] else 0  # the first half's rows stand first
+        step = max(1, (1 << 16) // len(nodes))
+        for x in range(0, split or len(nodes), step):
+            rows = np.arange(x, min(x + step, split or len(nodes)))
+            first, second = np.nonzero((roots[rows][:, None] != roots[None, split:]) & (True if split else rows[:, None] < np.arange(len(nodes))[None, :]))
+            first, second = rows[first], second + split
+            at, differ = _allowed(bits, sizes, first, second, rule)
+            made.append(np.stack([first[at], second[at], differ]))
+        first, second, differ = np.concatenate(made, 1)
+        if best and len(first) > 4 * len(nodes):
+            open_keys.append(key[begin])
+            both = np.stack([np.append(first, second), np.append(roots[second], roots[first]), np.tile(differ, 2), np.tile(np.arange(len(first)), 2)])
+            both = both[:, np.lexsort(both[[2, 1, 0]])]
+            lead = np.flatnonzero((np.diff(both[0], prepend=-1) != 0) | (np.diff(both[1], prepend=both[1, 0] - 1) != 0))
+            at = np.unique(both[3, lead])
+            first, second = first[at], second[at]
+        ends = np.stack([nodes[first], nodes[second], roots[first], roots[second]])
+        found.append(np.where(ends[1] < ends[0], ends[[1, 0, 3, 2]], ends))
+    out = np.concatenate(found, 1)
+    mark = pa.array([None] * out.shape[1] + open_keys, pa.int64())
+    none = pa.nulls(len(open_keys), pa.int64())
+    return pa.Table.from_arrays([*[pa.chunked_array([pa.array(c), none]).combine_chunks() for c in out], mark], [x.split()[0] for x in _PAIR.split(", ")])
+
+
+def _across(met: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, rule: Rule, best: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs, keys): the distinct pairs (u, v), u < v, that share a tile, lie in different components, are allowed by the bitmaps and not tested; and the tiles that have more.
+
+    Of tiles with the same sets one counts.  Tiles of more sets than ``TILE`` are dealt into halves,
+    and each two halves, and each half with itself, are a tile; many small tiles are one group of work.
     """
-    led = t.cut(met.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "leader-pairs")
-    edges = t.cut(_alike(led, sets, rule), "alike-pairs")
-    roots = components(edges)
-    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"new_{name}"))
     tiles = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    pairs = _across(tiles, sets, rule)
-    left = t.cut(pairs.join(led, ["u", "v"], "left_anti"), "untested-pairs")
-    t.discard(pairs, led)
-    if left.isEmpty():
-        t.discard(left, roots)
-        return edges
-    both = [F.least("root_u", "root_v").alias("a"), F.greatest("root_u", "root_v").alias("b")]
-    near = left.groupBy(*both).agg(F.min_by(F.struct("u", "v"), F.xxhash64("u", "v")).alias("p")).select("p.u", "p.v")
-    more = t.cut(edges.unionByName(_alike(near, sets, rule)), "alike-pairs")
-    t.discard(roots)
-    roots = components(more)
-    apart = F.coalesce("new_u", "u") != F.coalesce("new_v", "v")
-    rest = left.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").where(apart).select("u", "v")
-    last = t.cut(more.unionByName(_alike(rest, sets, rule)), "alike-pairs")
-    t.discard(edges, more, left, roots)
-    return last
+    alike = [F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s")]
+    sizes = tiles.groupBy("key").agg(F.count("*").alias("g"), F.min("root").alias("a"), F.max("root").alias("b"), *alike).where("a != b")
+    sizes = sizes.groupBy("g", "x", "s").agg(F.min("key").alias("key")).select("key", "g")
+    sized = t.cut(tiles.join(sizes, "key"), "open-tiles")
+    n_groups = max(1, sized.count() // ROWS_A_GROUP)
+    halves = F.ceil(F.col("g") / TILE).cast("int")
+    split = sized.withColumn("half", F.pmod(F.xxhash64("node"), halves).cast("int"))
+    split = split.select("key", "node", "root", "half", F.explode(F.sequence(F.lit(0), halves - 1)).alias("to")).select("key", "node", "root", "half", F.least("half", "to").alias("i"), F.greatest("half", "to").alias("j"))
+    split = split.join(sets.select("node", "n", "bits"), "node").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_groups)))
+    made = t.cut(split.groupBy("group").applyInArrow(lambda x: _tile_pairs(x, rule, best), _PAIR), "tile-pairs")
+    pairs = t.cut(made.where("unfinished is null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs-across")
+    keys = t.cut(made.where("unfinished is not null").select(F.col("unfinished").alias("key")).distinct(), "unfinished-tiles")
+    t.discard(sized, made)
+    return pairs, keys
+
+
+def linked(met: DataFrame, sets: DataFrame, rule: Rule, more: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components that the alike sets of the tiles ``met(key, node, leader)`` form.
+
+    First every set with the least of its tile, and the candidate pairs ``more(u, v)``; then all pairs
+    of tiles that lie across components and that the bitmaps allow, where a tile has very many only
+    the nearest of each set and other component; last, in these tiles, all that still lie across.
+    """
+    led = met.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    tested = t.cut((led if more is None else led.unionByName(more)).distinct(), "tested-pairs")
+    edges = t.cut(_alike(tested, sets, rule), "alike-pairs")
+    roots, keys = components(edges), None
+    for best in (True, False):
+        tiles = met if keys is None else met.join(keys, "key", "left_semi")
+        pairs, more_keys = _across(tiles, roots, tested, sets, rule, best)
+        if not pairs.isEmpty():
+            grown = t.cut(edges.unionByName(_alike(pairs, sets, rule)), "alike-pairs")
+            both = t.cut(tested.unionByName(pairs), "tested-pairs")
+            t.discard(edges, tested, roots)
+            edges, tested, roots = grown, both, components(grown)
+        t.discard(pairs, *([keys] if keys is not None else []))
+        keys = more_keys
+        if keys.isEmpty():
+            break
+    t.discard(keys)
+    t.discard(tested, edges)
+    return roots
 
 
-def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int = 6 << 20, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, roots) of ``docs``: (block, doc_id, n, node, check) of every row, and (node, root) of the sets that link.
 
-    Rows link where 100 * intersection >= ``percent`` * union of their sets of ``size``-word n-grams;
-    a text of fewer words is one n-gram.  component_id is the least doc_id that links reach, the
-    row's own included and null ids aside; it is null where a component has no id.  Null, empty and
-    wordless texts have no n-gram, link with nothing and keep their own id.  Repeated rows, and rows
-    with equal sets, share their component; rows that share an id do not by that alone.  A text of
-    any length is read whole; an empty table gives an empty table; other columns are not read.
-    N-grams are told apart by 64-bit hashes within a pair.
+    ``more`` makes further candidate pairs (u, v) of sets from the members.
     """
-    seed = 0
     while True:
-        rule = Rule(size, percent, seed)
         blocks = t.cut(_blocks(docs, doc_id, text, rule, block_bytes), "set-blocks", bucket="block")
         members = t.cut(blocks.mapInArrow(_members, _MEMBER), "set-members")
         clash = members.where("n > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
         if clash.isEmpty():
             break
         t.discard(blocks, members)  # two sets share a number: hash anew
-        seed += 1
+        rule = rule._replace(seed=rule.seed + 1)
     n_keys = blocks.agg(F.sum("n_keys")).first()[0] or 0  # one number, from which the number of ranges follows
     n_shards = max(1, n_keys // KEYS_A_SHARD)
     named = blocks.mapInArrow(t.as_batches(lambda b: _name_keys(b, n_shards)), t.REQUEST)
     replies = t.cut(t.by_shard(named, n_shards).applyInArrow(_meet, t.REPLY), "shared-keys")
     met = t.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _met(a, b, n_shards), _MET), "tiles")
     t.discard(blocks, replies)
-    sets = _sets(docs, members, met, doc_id, text, rule)
-    edges = links(met, sets, rule)
-    roots = components(edges)
+    pairs = more(members) if more else None
+    nodes = met.select("node")
+    if pairs is not None:
+        nodes = nodes.unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node")))
+    sets = _sets(docs, members, nodes, doc_id, text, rule)
+    roots = linked(met, sets, rule, pairs)
+    t.discard(met, sets, *([pairs] if pairs is not None else []))
+    return members, roots
+
+
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n, node, root) of every row; a set of very many copies meets its root once a block, and the copies meet it there."""
+    here = members.where("n > 0").select("block", "node").distinct().join(roots, "node")
+    return members.join(here, ["block", "node"], "left").select("doc_id", "n", "node", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    Rows link where 100 * intersection >= ``percent`` * union of their sets of ``size``-word n-grams;
+    a text of fewer words is one n-gram.  component_id is the least doc_id that links reach, the
+    row's own included and null ids aside; it is null where a component has no id.  Null, empty and
+    wordless texts have no n-gram, link with nothing and keep their own id.  Repeated rows, and rows
+    with equal sets, share their component; rows that share an id do not by that alone.  A text of
+    any length is read whole; an empty table gives an empty table; other columns are not read.
+    N-grams are told apart by 64-bit hashes within a pair.
+    """
+    members, roots = rooted(docs, Rule(size, percent), doc_id, text, block_bytes)
     distinct = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     owned = distinct.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = owned.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named_nodes = t.cut(owned.join(ids, "root").select("node", "component_id"), "set-components")
-    # a set of very many copies meets its component once a block, and the copies meet it there
-    here = members.where("n > 0").select("block", "node").distinct().join(named_nodes, "node")
-    joined = members.join(here, ["block", "node"], "left")
-    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = t.cut(out, "similar-documents")
-    t.discard(members, met, sets, edges, roots, named_nodes)
+    named = t.cut(owned.join(ids, "root").select("node", F.col("component_id").alias("root")), "set-components")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
+    out = t.cut(with_roots(members, named).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "similar-documents")
+    t.discard(members, roots, named)
     return out

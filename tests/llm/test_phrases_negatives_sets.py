@@ -210,7 +210,7 @@ def near_copies(seed, n_texts, n_copies):
 @pytest.mark.parametrize(("size", "percent", "tile"), [(4, 85, 1024), (4, 85, 4), (2, 70, 4), (5, 95, 1024), (1, 50, 8)])
 def test_similar_documents_equal_brute_force(spark, size, percent, tile, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "PAIRS_UP_TO", min(tile, 32))
+    monkeypatch.setattr(jaccard, "ROWS_A_GROUP", 40)
     monkeypatch.setattr(jaccard, "KEYS_A_SHARD", 500)
     data = near_copies(size + percent + tile, 24, 8)
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
