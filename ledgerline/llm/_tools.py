@@ -89,13 +89,44 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
-#: The column that tells rows apart, whatever their doc_id.
-ROW = "_row_key"
+#: Tables that lazy results still read; the next stage deletes those that its own input does not.
+_HELD: list[DataFrame] = []
+
+
+def hold(*tables: DataFrame) -> None:
+    """Keep tables made by :func:`cut` for a result that is still to be computed; see :func:`release`."""
+    _HELD.extend(tables)
+
+
+def release(docs: DataFrame) -> None:
+    """Delete held tables that ``docs`` does not read: what was made of them has been written by now."""
+    if _HELD:
+        read = docs.inputFiles()
+        gone = [x for x in _HELD if not any(x._scratch[0].split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") in f for f in read)]
+        discard(*gone)
+        _HELD[:] = [x for x in _HELD if not any(x is y for y in gone)]
+
+
+#: The column that tells rows apart, whatever their doc_id, and the one that holds the row as it was.
+ROW, WHOLE = "_row_key", "_row"
 
 
 def with_row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with a distinct number in ``ROW``, written first, so that every read has the same."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+    """(ROW, WHOLE): the rows as structs, each with a distinct number, written first, so that every read has the same.
+
+    Columns of ``docs`` stay inside the struct, so that none can clash with a working column.
+    """
+    return cut(docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE)), "keyed-rows")
+
+
+def keyed_texts(keyed: DataFrame) -> DataFrame:
+    """(ROW, doc_id, text) of keyed rows; the scan reads no other column."""
+    return keyed.select(ROW, F.col(f"{WHOLE}.doc_id").alias("doc_id"), F.col(f"{WHOLE}.text").alias("text"))
+
+
+def whole_rows(keyed: DataFrame) -> DataFrame:
+    """The rows as they were."""
+    return keyed.select(*[F.col(WHOLE)[c].alias(c) for c in keyed.schema[WHOLE].dataType.names])
 
 
 #: Rows up to this many are broadcast to the documents, more are joined by a shuffle.
@@ -103,9 +134,9 @@ BROADCAST_ROWS = 500_000
 
 
 def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """``keyed`` without the rows whose keys ``gone`` has; few keys are broadcast, so that texts are not shuffled."""
+    """The rows of ``keyed`` whose keys ``gone`` does not have; few keys are broadcast, so that texts are not shuffled."""
     few = gone.count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(gone) if few else gone, ROW, "left_anti")
+    return whole_rows(keyed.join(F.broadcast(gone) if few else gone, ROW, "left_anti"))
 
 
 def crc_remainder(doc_id, modulus: int):
@@ -132,11 +163,12 @@ class Block(NamedTuple):
     words: list[bytes]
 
 
-def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tuple[bytes, ...] = (), flag: Column | None = None, window: int = 1, block_bytes: int = 6 << 20) -> DataFrame:
+def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tuple[bytes, ...] = (), flag: Column | None = None, window: int = 1, block_bytes: int = 6 << 20, key: str | None = None) -> DataFrame:
     """Texts as blocks of about ``block_bytes``, each task packing the rows it reads: one row a block.
 
     ``split`` makes the words of a text; ``first`` are words that every block numbers 0, 1, ...
-    A text longer than a block is a block of its own.  ``window`` sets what n_windows counts.
+    A text longer than a block is a block of its own.  ``window`` sets what n_windows counts;
+    ``key`` names the column of row numbers, if there is one.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +205,7 @@ def pack_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], first: tup
         if rows:
             yield block()
 
-    row = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long")
+    row = F.col(key) if key else F.lit(0).cast("long")
     marked = F.coalesce(flag, F.lit(False)) if flag is not None else F.lit(False)
     return docs.select(row, F.col("doc_id").cast("long"), "text", marked.alias("flag")).mapInArrow(pack, BLOCK)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerline.llm._tools import ROW, cut, discard, with_row_keys
+from ledgerline.llm._tools import ROW, cut, discard, hold, keyed_texts, release, whole_rows, with_row_keys
 
 #: Two of the four 16-bit blocks, as masks over signed 64-bit fingerprints.
 _MASKS = [(0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i, j in combinations(range(4), 2)]
@@ -162,7 +162,10 @@ def fingerprint_hex(fp: str | Column) -> Column:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of each component: of the least doc_id, null ones last, the first of the table."""
+    release(docs)
     keyed = with_row_keys(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("head")
-    heads = _grouped(keyed, "doc_id", "text", (ROW,)).groupBy("root").agg(first)
-    return keyed.join(heads.select(F.col(f"head.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
+    grouped = _grouped(keyed_texts(keyed), "doc_id", "text", (ROW,))
+    hold(keyed, grouped)
+    heads = grouped.groupBy("root").agg(first)
+    return whole_rows(keyed.join(heads.select(F.col(f"head.{ROW}").alias(ROW)), ROW, "left_semi"))

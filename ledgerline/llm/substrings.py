@@ -204,8 +204,8 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").split()
 
 
-def _removed(docs: DataFrame, size: int, block_bytes: int, texts: bool) -> DataFrame:
-    blocks = t.cut(t.pack_blocks(docs, _words, window=size, block_bytes=block_bytes), "word-blocks", bucket="block")
+def _removed(docs: DataFrame, size: int, block_bytes: int, texts: bool, key: str | None = None) -> DataFrame:
+    blocks = t.cut(t.pack_blocks(docs, _words, window=size, block_bytes=block_bytes, key=key), "word-blocks", bucket="block")
     n_windows = blocks.agg(F.sum("n_windows")).first()[0] or 0  # one number, from which the sketch's width follows
     bits = max(12, (WIDTH * n_windows - 1).bit_length())
     plan = Plan(size, bits, max(1, (ROWS << bits) // CELLS_A_TASK), max(1, n_windows // WINDOWS_A_TASK))
@@ -241,11 +241,13 @@ def drop_repeated_text(docs: DataFrame, size: int = 20) -> DataFrame:
     doc_id; of rows equal in doc_id and text the windows start at the same place, so both stay.
     ``n_chars``, if there, is counted anew where words go.
     """
+    t.release(docs)
     keyed = t.with_row_keys(docs)
-    done = _removed(keyed, size, 6 << 20, True).select(t.ROW, "n_words", "n_removed", F.col("kept_text").alias("_kept"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    both = keyed.select(t.ROW, row).join(done, t.ROW).where("n_words = 0 or n_removed < n_words")
-    at = {c: F.col("row")[c] for c in docs.columns}
+    removed = _removed(t.keyed_texts(keyed), size, 6 << 20, True, t.ROW)
+    t.hold(keyed, removed)
+    done = removed.select(t.ROW, "n_words", "n_removed", F.col("kept_text").alias("_kept"))
+    both = keyed.join(done, t.ROW).where("n_words = 0 or n_removed < n_words")
+    at = {c: F.col(t.WHOLE)[c] for c in docs.columns}
     at["text"] = F.coalesce("_kept", at["text"])
     if "n_chars" in at:
         at["n_chars"] = F.when(F.col("n_removed") == 0, at["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._tools import BROADCAST_ROWS, ROW, crc_remainder, cut, discard, with_row_keys, without_rows
+from ledgerline.llm._tools import BROADCAST_ROWS, ROW, crc_remainder, cut, discard, hold, keyed_texts, release, with_row_keys, without_rows
 
 # Common terms of abuse, and words and marks that introduce a quotation.
 LEXICON = (
@@ -151,8 +151,8 @@ _HITS = "row_id long, doc_id long, hits array<struct<spelling: string, term: str
 _HIT = pa.list_(pa.struct([("spelling", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("root", pa.bool_()), ("quoted", pa.bool_())]))
 
 
-def toxic_hits(docs: DataFrame, lexicon: list[str], roots: list[str] = (), window: int = 5) -> DataFrame:
-    """(row_id, doc_id, hits) for every row; row_id tells repeated rows apart and is ``ROW`` where there."""
+def toxic_hits(docs: DataFrame, lexicon: list[str], roots: list[str] = (), window: int = 5, key: str | None = None) -> DataFrame:
+    """(row_id, doc_id, hits) for every row; row_id tells repeated rows apart and is the column ``key``, if named."""
     names = [f.name for f in _HIT.value_type]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def toxic_hits(docs: DataFrame, lexicon: list[str], roots: list[str] = (), windo
             found = [[dict(zip(names, hit, strict=True)) for hit in hits_in(x, automaton, window)] for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _HIT)], ["row_id", "doc_id", "hits"])
 
-    row_id = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    row_id = F.col(key) if key else F.monotonically_increasing_id()
     return docs.select(row_id.alias("row_id"), F.col("doc_id").cast("long"), "text").mapInArrow(scan, _HITS)
 
 
@@ -238,7 +238,7 @@ def learn_roots(docs: DataFrame, marked: DataFrame, share: float = 0.7, evidence
 # -- scores -------------------------------------------------------------------------------
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None = None, window: int = 5, threshold: float = 0.7, roots: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None = None, window: int = 5, threshold: float = 0.7, roots: list[str] | None = None, key: str | None = None) -> DataFrame:
     """row_id, doc_id, held_out, score and predicted for every document.
 
     Roots (unless given) and weights are learned from labelled documents whose crc32(doc_id) mod 3
@@ -253,7 +253,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None
     marked = labels.where("toxic is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("double").alias("toxic"))
     marked = marked.where(crc_remainder(F.col("label_id"), 3) != 1)
     roots = learn_roots(docs, marked) if roots is None else roots
-    hit = cut(toxic_hits(docs, list(LEXICON if lexicon is None else lexicon), roots, window), "toxic-hits")
+    hit = cut(toxic_hits(docs, list(LEXICON if lexicon is None else lexicon), roots, window, key), "toxic-hits")
     found = hit.withColumn("held_out", crc_remainder(F.col("doc_id"), 3) == 1)
     train = found.join(marked, F.col("doc_id") == F.col("label_id")).select("row_id", "hits", "toxic")
     base = train.where(F.size("hits") == 0).agg(F.sum("toxic"), F.count("*")).first()
@@ -288,6 +288,8 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
     Nulls, repeated rows and empty tables as in :func:`score_toxicity`.
     """
+    release(docs)
     keyed = with_row_keys(docs)
-    bad = score_toxicity(keyed, labels, threshold=threshold).where("predicted = 1").select(F.col("row_id").alias(ROW))
-    return without_rows(keyed, bad).select(docs.columns)
+    scores = score_toxicity(keyed_texts(keyed), labels, threshold=threshold, key=ROW)
+    hold(keyed, scores)
+    return without_rows(keyed, scores.where("predicted = 1").select(F.col("row_id").alias(ROW)))

@@ -4,8 +4,11 @@ import hashlib
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from ledgerline.llm import pieces
+from ledgerline.llm import _tools, ngrams, pieces, substrings, toxicity
+from ledgerline.llm._tools import cut, discard
 from ledgerline.llm.queries import MIXTURE, MIXTURE_REST, MIXTURE_SEED, vocabulary_file
 from tests.llm.fixtures import documents, empty, rows
 
@@ -30,6 +33,31 @@ def test_stages_take_awkward_and_empty_tables(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows())
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    named = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("_row_key", "_row", "copy", "copy_", "root", "group", "_kept", "n_words", "row_id")}
+    docs = documents(spark).withColumns(named)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        for r in out.collect():
+            assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for c in named), name
+    assert substrings.remove_repeats(docs).count() == toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).count() == len(rows())
+    assert ngrams.score_by_model(docs, F.lit(True)).count() == len(rows())
+
+
+def test_stages_as_a_chain_delete_what_they_no_longer_read(spark):
+    docs = documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, SF), f"chain-{name}")
+        held = [x._scratch[0] for x in _tools._HELD]
+        assert len(held) <= 2, held  # those of this stage only
+        if hasattr(before, "_scratch"):
+            discard(before)
+    assert counts(docs).total() > 0
+    corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert not _tools._HELD
+
+
 def test_clean_rows_pass_the_toxicity_stage(spark):
     kept = corpus_pipeline.drop_toxic(spark, documents(spark), SF)
     assert counts(kept) == counts(documents(spark))
