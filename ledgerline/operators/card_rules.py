@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Sequence
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
@@ -343,6 +343,103 @@ def unread_inputs(cards: DataFrame) -> DataFrame:
     return out.select("card_id", "input", F.coalesce(named, F.lit(False)).alias("addressed"))
 
 
+# -- facts --------------------------------------------------------------------------------
+
+# The groups of a card in the order of reading, and flags in the order of a decision sheet.
+GROUPS = ("PAPER", "UNIVERSE", "SIGNAL", "PORTFOLIO", "COSTS", "DATA", "SECURITIES", "THE RUN", "THE BAR", "RISKS", "VERDICT", "DECIDE", "ASKS")
+FLAGS = ("BLOCK", "DECIDE", "GUESS")
+
+
+class Fact(NamedTuple):
+    """One line a card shows: ``value`` of ``path`` (each item, where that is an array), the argument behind it, who owns it.
+
+    ``flags`` are (flag, field, kind, bound), conditions as in :class:`Rule`; the first that holds
+    counts.  ``owner`` is a role, or "." and the field that names one.
+    """
+
+    group: str
+    label: str
+    path: str
+    value: str
+    detail: str = ""
+    owner: str = ""
+    flags: tuple[tuple[str, str, str, Any], ...] = ()
+    page: str = "evidence_page"
+
+
+FACTS = (
+    Fact("UNIVERSE", "target", "universe_translation", "target_universe", "rationale", "pm", (("DECIDE", "grade", "among", ("loose", "close")), ("BLOCK", "grade", "equal", "none"))),
+    Fact("SIGNAL", "definition", "strategy", "signal_definition", "formation_rule", "researcher", (("GUESS", "confidence", "equal", "low"),)),
+    Fact("PORTFOLIO", "weights", "strategy", "weighting_rule", "", "pm", (("DECIDE", "is_long_short", "true", None),)),
+    Fact("DATA", "field", "data_plan.ideal", "field", "why", "data_owner", (("DECIDE", "minimum_viable", "true", None),)),
+    Fact("SECURITIES", "rule", "selection", "rule", "why_these", "researcher", (("GUESS", "verified_against", "equal", "UNVERIFIED"),)),
+    Fact("THE RUN", "first day", "backtest_plan", "sample_start", "why_this_window", "researcher"),
+    Fact("THE BAR", "failure", "backtest_plan", "failure_looks_like", "", "pm"),
+    Fact("RISKS", "reading", "ambiguities", "field", "resolution", "researcher", (("DECIDE", "material", "true", None), ("GUESS", "confidence", "equal", "low"))),
+    Fact("VERDICT", "convertible", "convertibility", "verdict", "weakest_link", "pm", (("DECIDE", "verdict", "other than", "convertible"),)),
+    Fact("ASKS", "question", "open_questions", "question", "what_i_assumed", ".ask_of", (("BLOCK", "blocks_run", "true", None), ("DECIDE", "question", "text", None))),
+    Fact("ASKS", "request", "data_requests", "item", "without_it", "data_owner", (("BLOCK", "priority", "equal", "blocking"), ("DECIDE", "item", "text", None))),
+)
+_FACT = "struct<group:string,label:string,value:string,detail:string,owner:string,flag:string,page:int,ref:string>"
+
+
+def _counted(cards: DataFrame) -> list[Column]:
+    """Facts that no field states: how many of a card's items are of a kind."""
+    out = []
+
+    def share(group: str, label: str, path: str, keep: Callable[[Column], Column]) -> None:
+        if isinstance(_find(cards.schema, path), ArrayType):
+            items = F.col(path)
+            value = F.concat(F.size(F.filter(items, keep)).cast("string"), F.lit(" of "), F.size(items).cast("string"))
+            row = F.struct(F.lit(group).alias("group"), F.lit(label).alias("label"), value.alias("value"), F.lit("").alias("detail"), F.lit("").alias("owner"), F.lit("").alias("flag"), F.lit(None).cast("int").alias("page"), F.lit(path).alias("ref"))
+            out.append(F.when(F.size(items) > 0, F.array(row.cast(_FACT))).otherwise(F.array().cast(f"array<{_FACT}>")))
+
+    share("DATA", "smallest honest set", "data_plan.ideal", lambda d: F.coalesce(d["minimum_viable"], F.lit(False)))
+    share("RISKS", "material readings", "ambiguities", lambda a: F.coalesce(a["material"], F.lit(False)))
+    share("ASKS", "blocking requests", "data_requests", lambda r: F.coalesce(r["priority"] == "blocking", F.lit(False)))
+    return out
+
+
+def card_facts(cards: DataFrame, layout: Sequence[Fact] = FACTS) -> DataFrame:
+    """(card_id, group, label, value, detail, owner, flag, page, ref): every card as displayable lines; blank values have none.
+
+    Runs of blanks in values and details become one; ``ref`` names the field that the line is from.
+    """
+    empty, found = F.array().cast(f"array<{_FACT}>"), []
+    for fact in layout:
+        kind = _find(cards.schema, fact.path)
+        struct = kind.elementType if isinstance(kind, ArrayType) else kind
+        if not isinstance(struct, StructType) or fact.value not in struct.names:
+            continue
+
+        def line(item: Column, ref: Column, fact=fact, struct=struct) -> Column:
+            at = lambda field: (item[field], struct[field].dataType) if field in struct.names else (F.lit(None).cast("string"), None)
+            flag = F.coalesce(*[F.when(_condition(at, *rest), F.lit(name)) for name, *rest in fact.flags], F.lit(""))
+            owner = _clean(at(fact.owner[1:])[0]) if fact.owner.startswith(".") else F.lit(fact.owner)
+            return F.struct(
+                F.lit(fact.group).alias("group"), F.lit(fact.label).alias("label"), _clean(at(fact.value)[0]).alias("value"), _clean(at(fact.detail)[0]).alias("detail"), owner.alias("owner"), flag.alias("flag"),
+                at(fact.page)[0].cast("int").alias("page"), ref.alias("ref"),
+            ).cast(_FACT)
+
+        if isinstance(kind, ArrayType):
+            found.append(F.coalesce(F.transform(F.col(fact.path), _placed(fact, line)), empty))
+        else:
+            found.append(F.when(F.col(fact.path).isNotNull(), F.array(line(F.col(fact.path), F.lit(f"{fact.path}.{fact.value}")))).otherwise(empty))
+    lines = F.concat(*found, *_counted(cards)) if found else empty
+    return cards.select("card_id", F.explode(lines).alias("f")).select("card_id", "f.*").where("value != ''")
+
+
+def _placed(fact: Fact, line: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda x, i: line(x, F.concat(F.lit(f"{fact.path}["), i.cast("string"), F.lit(f"].{fact.value}")))
+
+
+def flagged_facts(facts: DataFrame) -> DataFrame:
+    """A decision sheet: flagged lines with their ``place`` on the card's sheet, what blocks first, then by group."""
+    rank = lambda c, names: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c))
+    order = Window.partitionBy("card_id").orderBy(rank("flag", FLAGS), rank("group", GROUPS), "ref")
+    return facts.where("flag != ''").withColumn("place", F.row_number().over(order))
+
+
 # -- review queue -------------------------------------------------------------------------
 
 

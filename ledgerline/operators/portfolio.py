@@ -335,24 +335,47 @@ def buy_and_hold(panel: DataFrame) -> DataFrame:
     return panel.withColumn("nav", F.col("value") / first)
 
 
-def run_metadata(daily: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per config: rebalances, days with cash, forced exits, stale marks, mean names held."""
+def run_metadata(daily: DataFrame, targets: DataFrame, dates: DataFrame | None = None, eligible: DataFrame | None = None) -> DataFrame:
+    """Per config: rebalances, mean names held, days with cash, forced exits, stale marks.
+
+    With the scheduled ``dates(config_id, date)``: ``skipped``, those without targets; with
+    ``eligible(date, asset)`` too: ``mean_eligible``, how many could be held on a scheduled day.
+    """
     n = targets.groupBy("config_id").agg(F.countDistinct("date").alias("n_rebalances"), (F.sum((F.col("weight") > 0).cast("int")) / F.countDistinct("date")).alias("mean_names"))
     paths = daily.groupBy("config_id").agg(F.sum((F.col("cash_weight") > 1e-9).cast("int")).alias("days_with_cash"), F.sum("forced_exits").alias("forced_exits"), F.sum("stale_marks").alias("stale_marks"))
-    return n.join(paths, "config_id")
+    out = n.join(paths, "config_id")
+    if dates is None:
+        return out
+    held = targets.select("config_id", "date").distinct().withColumn("held", F.lit(1))
+    asked = dates.select("config_id", "date").join(held, ["config_id", "date"], "left")
+    more = [(F.count("*") - F.count("held")).alias("skipped")]
+    if eligible is not None:
+        asked = asked.join(eligible.groupBy("date").agg(F.countDistinct("asset").alias("n_eligible")), "date", "left")
+        more.append(F.avg(F.coalesce("n_eligible", F.lit(0))).alias("mean_eligible"))
+    return out.join(asked.groupBy("config_id").agg(*more), "config_id")
 
 
 def fan_out(cards: DataFrame) -> DataFrame:
     """configs(config_id, role, template, spread_bps, allow_cash) of each card.
 
-    A card runs as primary; as mandate where its mandate's cash stance differs; and with each of
-    its ``benchmarks array<struct<name, template>>``.
+    A card runs as primary; as mandate where its mandate's cash stance differs; with each of its
+    ``benchmarks array<struct<name, template>>``; and with each of its ``references``, if it has such.
     """
     cols = lambda role, template, cash: [F.concat_ws(":", "card_id", role).alias("config_id"), "card_id", role.alias("role"), template.alias("template"), "spread_bps", cash.alias("allow_cash")]
     primary = cards.select(*cols(F.lit("primary"), F.col("template"), F.col("allow_cash")))
     mandate = cards.where("mandate_allow_cash is not null and mandate_allow_cash != allow_cash").select(*cols(F.lit("mandate"), F.col("template"), F.col("mandate_allow_cash")))
-    rivals = cards.select("*", F.explode("benchmarks").alias("b")).select(*cols(F.concat(F.lit("benchmark_"), F.col("b.name")), F.col("b.template"), F.col("allow_cash")))
-    return primary.unionByName(mandate).unionByName(rivals)
+    out = primary.unionByName(mandate)
+    for kind in ("benchmark", "reference"):
+        if f"{kind}s" in cards.columns:
+            rivals = cards.select("*", F.explode(f"{kind}s").alias("b")).select(*cols(F.concat(F.lit(f"{kind}_"), F.col("b.name")), F.col("b.template"), F.col("allow_cash")))
+            out = out.unionByName(rivals)
+    return out
+
+
+def configs_run(configs: DataFrame) -> DataFrame:
+    """(card_id, n_configs, own, rivals): how many configs a card ran as, its own (primary and mandate) and others."""
+    own = F.col("role").isin("primary", "mandate").cast("int")
+    return configs.groupBy("card_id").agg(F.countDistinct("config_id").alias("n_configs"), F.sum(own).alias("own"), F.sum(1 - own).alias("rivals"))
 
 
 def align_runs(daily: DataFrame, targets: DataFrame) -> DataFrame:

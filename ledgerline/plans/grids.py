@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.operators import research
+from ledgerline.operators import portfolio, research, signals
 from ledgerline.plans import tables as t
-from ledgerline.plans.queries import _COV, _RET, ROOT, _win, account_sql, query, r6
+from ledgerline.plans.queries import _BRAND_E, _COV, _XS, ROOT, SPREAD, _configs, _rebalances, _win, account_sql, query, r6
 
 #: Two base configs and the values that each axis takes.
 BASES = (("inverse", "inverse_vol"), ("momentum", "ts_momentum"))
@@ -52,3 +53,35 @@ def sweep_metrics(spark, sf_dir):
     """Cost, lag, target volatility and cash rate of two templates, every point re-run and measured."""
     out = research.sweep_metrics(t.segment_panel(spark, sf_dir), grid(spark))
     return r6(out.select("config_id", "n", "cagr", "vol", "cash_cagr", "sharpe_arithmetic", "max_drawdown", "mean_drawdown", "turnover", "sharpe"))
+
+
+@query(f"""WITH {_BRAND_E}, {account_sql(_XS, "be", SPREAD)}, n AS (SELECT config_id, count(DISTINCT date) AS n_rebalances, count(CASE WHEN weight > 0 THEN 1 END) / count(DISTINCT date) AS mean_names FROM targets GROUP BY 1),
+    p AS (SELECT config_id, count(CASE WHEN cash_weight > 1e-9 THEN 1 END) AS days_with_cash, sum(forced_exits)::BIGINT AS forced_exits FROM daily GROUP BY 1),
+    st AS (SELECT count(*) AS stale_marks FROM vals v JOIN grid0 g ON g.asset = v.asset AND g.date = v.date WHERE g.value IS NULL AND (lost IS NULL OR v.date < lost)),
+    el AS (SELECT avg(c) AS mean_eligible, count(*) AS asked FROM (SELECT r.date, count(b.series_id) AS c FROM reb r LEFT JOIN be b ON b.date = r.date AND b.eligible GROUP BY 1))
+    SELECT n.config_id, n_rebalances, round(mean_names, 6) AS mean_names, days_with_cash, forced_exits, stale_marks, asked - n_rebalances AS skipped, round(mean_eligible, 6) AS mean_eligible FROM n JOIN p USING (config_id), st, el""")
+def run_record(spark, sf_dir):
+    """What a cross-sectional run did: trades, holdings, cash, exits, stale marks, and the rebalances that it skipped for want of names."""
+    panel = signals.lagged_eligibility(t.brand_panel(spark, sf_dir, 2)).persist()
+    scored = signals.momentum(panel, 13, 2, out="score").select("date", F.col("series_id").alias("asset"), "score", F.lit(None).cast("double").alias("vol"), "eligible")
+    dates = _rebalances(panel, "top")
+    asked = dates.select("*", F.lit(6).alias("n_hold"), F.lit(None).cast("double").alias("quantile"), F.lit(8).alias("min_names"), F.lit(False).alias("ascending"), F.lit("equal").alias("weighting"), F.lit(None).cast("double").alias("max_weight"))
+    targets = portfolio.cross_sectional(asked, scored).persist()
+    daily = portfolio.account(targets, portfolio.asset_returns(panel), t.cash(panel), _configs(spark, "top"))
+    eligible = panel.where("eligible").select("date", F.col("series_id").alias("asset"))
+    out = portfolio.run_metadata(daily, targets, dates, eligible)
+    return r6(out.withColumns({c: F.col(c).cast("long") for c in ("n_rebalances", "days_with_cash", "forced_exits", "stale_marks", "skipped")}))
+
+
+@query("""WITH c AS (SELECT c_custkey::VARCHAR AS card_id, c_nationkey % 2 = 0 AS allow_cash, CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey % 3 = 1 END AS m, c_nationkey % 4 AS refs FROM customer)
+    SELECT card_id, 1 + coalesce((m <> allow_cash)::INT, 0) + 1 + refs AS n_configs, 1 + coalesce((m <> allow_cash)::INT, 0) AS own, 1 + refs AS rivals FROM c""")
+def configs_run(spark, sf_dir):
+    """How many configs each card (customer) runs as, with references of its own."""
+    n = F.col("c_nationkey")
+    reference = lambda i: F.struct(F.concat(F.lit("r"), i.cast("string")).alias("name"), F.lit("equal_weight").alias("template"))
+    cards = t.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("card_id"), F.col("c_mktsegment").alias("template"), F.lit(30.0).alias("spread_bps"), (n % 2 == 0).alias("allow_cash"), F.when(n % 3 > 0, n % 3 == 1).alias("mandate_allow_cash"),
+        F.array(F.struct(F.lit("flat").alias("name"), F.lit("equal_weight").alias("template"))).alias("benchmarks"),
+        F.transform(F.when(n % 4 > 0, F.sequence(F.lit(1), (n % 4).cast("int"))).otherwise(F.array().cast("array<int>")), reference).alias("references"),
+    )
+    return portfolio.configs_run(portfolio.fan_out(cards))

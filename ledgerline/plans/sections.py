@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import card_rules, evidence, feasibility
+from ledgerline.operators import card_rules, evidence, feasibility, rules
 from ledgerline.plans import tables as t
 from ledgerline.plans.queries import query
 
@@ -62,8 +62,9 @@ def whole_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     note = F.struct(F.when(k % 2 == 0, "data").otherwise("taste").alias("category"), F.lit("pledges").alias("item"), F.lit("they lead prices").alias("why"), _unless(k % 9 == 0).alias("triggered_by"), F.array(F.lit(" Promoter pledge ")).alias("addresses"), (k % 50).cast("int").alias("evidence_page"))
     targets = _items(k % 3, lambda i: F.lit("all").alias("portfolio"), lambda i: F.lit("cagr").alias("metric"), lambda i: F.concat(F.lit("b"), (i % 2).cast("string")).alias("basis"))
+    intent = F.struct(F.when(k % 2 == 0, "adaptation").otherwise("replication").alias("mode"), F.when(k % 4 > 1, F.array(F.lit("liquidity"))).alias("broken_assumptions"))
     return t.table(spark, sf_dir, "supplier").select(
-        k.cast("string").alias("card_id"), ambiguities.alias("ambiguities"), requests.alias("data_requests"), questions.alias("open_questions"), F.when(k % 3 > 0, plan).alias("data_plan"), selection.alias("selection"), strategy.alias("strategy"),
+        k.cast("string").alias("card_id"), intent.alias("intent"), ambiguities.alias("ambiguities"), requests.alias("data_requests"), questions.alias("open_questions"), F.when(k % 3 > 0, plan).alias("data_plan"), selection.alias("selection"), strategy.alias("strategy"),
         F.when(k % 7 > 0, translation).alias("universe_translation"), F.when(k % 2 == 1, convertible).alias("convertibility"), F.when(k % 3 != 1, test).alias("backtest_plan"), F.when(k % 3 == 0, F.array(note)).otherwise(F.array().cast("array<struct<category:string,item:string,why:string,triggered_by:string,addresses:array<string>,evidence_page:int>>")).alias("local_notes"),
         F.struct(F.lit("monthly").alias("rebalance"), (k % 3 == 0).alias("allow_cash")).alias("portfolio"), (k % 10).cast("int").alias("n_configs_tried"), targets.alias("replication_targets"), F.when(k % 17 == 0, F.array(F.lit("vix"), F.lit("repo"))).alias("missing"),
     )
@@ -145,6 +146,56 @@ def review_items(spark, sf_dir):
     return card_rules.review_items(found, resolved, findings)
 
 
+_LINES = f"""{_NUMBERED}, u AS (SELECT *, CASE k % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'none' WHEN 3 THEN 'fair' ELSE '' END AS grade, CASE WHEN k % 6 = 0 THEN '' WHEN k % 4 = 1 THEN 'NSE factor sleeves' ELSE 'NIFTY 500' END AS target FROM s WHERE k % 7 > 0),
+    l("group", card_id, label, value, detail, owner, flag, ref) AS (
+    SELECT 'UNIVERSE', card_id, 'target', target, '', 'pm', CASE WHEN grade = 'none' THEN 'BLOCK' ELSE '' END, 'universe_translation.target_universe' FROM u
+    UNION ALL SELECT 'SIGNAL', card_id, 'definition', CASE k % 4 WHEN 0 THEN 'rank by momentum over a year' WHEN 1 THEN 'earnings over price' WHEN 2 THEN 'a plain spread' ELSE '' END, 'top decile', 'researcher', '', 'strategy.signal_definition' FROM s
+    UNION ALL SELECT 'PORTFOLIO', card_id, 'weights', CASE WHEN k % 3 = 0 THEN 'value-weighted' ELSE 'equal' END, '', 'pm', CASE WHEN k % 2 = 1 THEN 'DECIDE' ELSE '' END, 'strategy.weighting_rule' FROM s
+    UNION ALL SELECT 'DATA', card_id, 'field', 'd' || i, CASE WHEN (k + i) % 6 = 0 THEN '' ELSE 'x' END, 'data_owner', CASE WHEN i = 2 THEN 'DECIDE' ELSE '' END, 'data_plan.ideal[' || (i - 1) || '].field' FROM n WHERE k % 3 > 0 AND i <= k % 4
+    UNION ALL SELECT 'SECURITIES', card_id, 'rule', 'x', '', 'researcher', '', 'selection.rule' FROM s WHERE k % 8 > 0 UNION ALL SELECT 'THE RUN', card_id, 'first day', '2005', CASE WHEN k % 9 = 2 THEN '' ELSE 'x' END, 'researcher', '', 'backtest_plan.sample_start' FROM s WHERE k % 3 <> 1
+    UNION ALL SELECT 'THE BAR', card_id, 'failure', 'x', '', 'pm', '', 'backtest_plan.failure_looks_like' FROM s WHERE k % 3 <> 1 AND k % 13 > 0
+    UNION ALL SELECT 'RISKS', card_id, 'reading', 'f' || i, CASE WHEN (k + i) % 3 = 0 THEN '' ELSE 'x' END, 'researcher', CASE WHEN i = 2 THEN 'DECIDE' WHEN (k + i) % 5 > 0 AND (k + i) % 2 = 0 THEN 'GUESS' ELSE '' END, 'ambiguities[' || (i - 1) || '].field' FROM n WHERE i <= k % 4
+    UNION ALL SELECT 'VERDICT', card_id, 'convertible', CASE WHEN k % 3 = 0 THEN 'maybe' ELSE 'mechanism_only' END, CASE WHEN k % 5 = 0 THEN '' ELSE 'x' END, 'pm', 'DECIDE', 'convertibility.verdict' FROM s WHERE k % 2 = 1
+    UNION ALL SELECT 'ASKS', card_id, 'question', 'q' || i, CASE WHEN (k + i) % 2 = 0 THEN '' ELSE 'x' END, CASE WHEN (k + i) % 6 = 0 THEN 'nobody' ELSE 'pm' END, CASE WHEN i = 2 THEN 'BLOCK' ELSE 'DECIDE' END, 'open_questions[' || (i - 1) || '].question' FROM n WHERE i <= (k + 1) % 3
+    UNION ALL SELECT 'ASKS', card_id, 'request', 'series ' || i, CASE WHEN (k * i) % 5 = 0 THEN '' ELSE 'x' END, 'data_owner', CASE WHEN (k + i) % 4 = 1 THEN 'BLOCK' ELSE 'DECIDE' END, 'data_requests[' || (i - 1) || '].item' FROM n WHERE i <= k % 3 AND (k + 2 * i) % 7 > 0
+    UNION ALL SELECT 'DATA', card_id, 'smallest honest set', CASE WHEN k % 4 > 1 THEN '1' ELSE '0' END || ' of ' || (k % 4), '', '', '', 'data_plan.ideal' FROM s WHERE k % 3 > 0 AND k % 4 > 0 UNION ALL SELECT 'RISKS', card_id, 'material readings', CASE WHEN k % 4 > 1 THEN '1' ELSE '0' END || ' of ' || (k % 4), '', '', '', 'ambiguities' FROM s WHERE k % 4 > 0
+    UNION ALL SELECT 'ASKS', card_id, 'blocking requests', (SELECT count(*) FROM n WHERE n.card_id = s.card_id AND i <= k % 3 AND (k + i) % 4 = 1) || ' of ' || (k % 3), '', '', '', 'data_requests' FROM s WHERE k % 3 > 0)"""
+_GROUP_ORDER = "list_position([" + ", ".join(f"'{g}'" for g in card_rules.GROUPS) + """], "group")"""
+
+
+@query(f"""WITH {_LINES} SELECT card_id, "group", label, value, detail, owner, flag, ref FROM l WHERE value <> ''""")
+def card_facts(spark, sf_dir):
+    """Every card as displayable lines, stated and counted."""
+    return card_rules.card_facts(whole_cards(spark, sf_dir)).drop("page")
+
+
+@query(f"""WITH {_LINES} SELECT card_id, label, value, flag, row_number() OVER (PARTITION BY card_id ORDER BY list_position(['BLOCK', 'DECIDE', 'GUESS'], flag), {_GROUP_ORDER}, ref)::INT AS place FROM l WHERE value <> '' AND flag <> ''""")
+def flagged_facts(spark, sf_dir):
+    """The decision sheets: what blocks, what has to be decided, what was guessed, in order."""
+    return card_rules.flagged_facts(card_rules.card_facts(whole_cards(spark, sf_dir))).select("card_id", "label", "value", "flag", "place")
+
+
+#: Gate A on cards with all sections: criterion, whether it blocks, where it applies, where it holds.
+_GATE = (
+    ("the universe is translated", True, "true", "k % 7 > 0"), ("the data set is designed", True, "true", "k % 3 > 0 AND k % 4 > 0"), ("alternatives were weighed", False, "k % 3 > 0", "k % 2 = 1"), ("the selection is a rule", True, "true", "k % 8 > 0"), ("the test is planned", True, "true", "k % 3 <> 1"),
+    ("the strategy can be built", True, "true", "k % 4 <> 3"), ("read with confidence", False, "true", "k % 9 > 0"), ("ambiguities are resolved", True, "true", "k % 4 > 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.k = s.k AND i <= k % 4 AND (k + i) % 3 = 0)"), ("convertibility is assessed", False, "true", "k % 2 = 1"),
+    ("there are numbers to replicate", True, "k % 2 = 1", "k % 3 > 0"), ("what breaks is named", False, "k % 2 = 0", "k % 4 > 1"),
+)
+_GATE_SQL = " UNION ALL ".join(f"SELECT card_id, '{name}' AS name, {holds} AS passed, {str(blocks).lower()} AS blocking FROM s WHERE {where}" for name, blocks, where, holds in _GATE)
+
+
+@query(f"WITH {_NUMBERED} {_GATE_SQL}")
+def gate_a_document(spark, sf_dir):
+    """Gate A on cards whose every section is there for some and not for others."""
+    return rules.gate_a(whole_cards(spark, sf_dir)).select("card_id", "name", "passed", "blocking")
+
+
+@query(f"WITH {_NUMBERED}, g AS ({_GATE_SQL}) SELECT card_id, bool_and(passed OR NOT blocking) AS passed, count(CASE WHEN NOT passed AND NOT blocking THEN 1 END) AS n_warnings FROM g GROUP BY 1")
+def gate_a_results(spark, sf_dir):
+    found = rules.gate_results(rules.gate_a(whole_cards(spark, sf_dir)))
+    return found.select("card_id", "passed", F.size("warnings").cast("long").alias("n_warnings"))
+
+
 # -- scanners -----------------------------------------------------------------------------
 
 _TICKERS, _SOURCES = ("SPY", "GLD", "NIFTY"), ("Bloomberg", "CRSP", "NSE", "FRED")
