@@ -147,7 +147,11 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, n_cuts: int, most: int) -> Ru
 def learn_rules(
     x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, precision: float = 0.75, least: int = 5, most_rules: int = 12
 ) -> list[Rule]:
-    """An ordered list of rules for ``bad`` rows; ``prune`` marks the rows held back for pruning."""
+    """An ordered list of rules for ``bad`` rows; ``prune`` marks the rows held back for pruning.
+
+    The list is bounded by its fit: at most ``most_rules`` rules, of at most four conditions each,
+    whose thresholds are among 64 cut points of a ratio's values in the sample.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     while len(rules) < most_rules and (bad & left & ~prune).sum() >= least:
@@ -196,7 +200,8 @@ def labelled_sample(statistics: DataFrame, labels: DataFrame, max_rows: int) ->
 def fit_rules(statistics: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[Rule]:
     """Learn from at most ``max_rows`` labelled rows (label 0 or 1 in ``quality``), drawn by hash.
 
-    The sample is the bound on what the driver holds: ``max_rows`` rows of ten ratios.  Null
+    The sample is the bound on what the driver holds: ``max_rows`` rows of ten ratios; the list has
+    at most twelve rules of four conditions (see :func:`learn_rules`).  Null
     labels and labels without a document take no part; without any, the list is empty.
     """
     sample = labelled_sample(statistics, labels, max_rows).toPandas()
