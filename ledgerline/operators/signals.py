@@ -204,6 +204,22 @@ def signal_bundle(panel: DataFrame, alpha: str, window: int = 60, halflife: int
     return momentum(base, window, skip, out="alpha") if alpha == "momentum" else base.withColumn("alpha", F.lit(None).cast("double"))
 
 
+def signal_inputs(panel: DataFrame, weights: DataFrame, alpha: str, window: int = 60, halflife: int = 60, skip: int = 0, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """What an allocator reads: (date, series_id, value, ret, vol, alpha, mix_vol), and the covariance tiles.
+
+    ``mix_vol`` is the vol of the fixed mix ``weights(series_id, weight)``; ``alpha`` is ``ewma``
+    (times ``scale``), ``momentum`` or ``none``.  All windows end at their own day; shift before use.
+    """
+    if alpha not in ("ewma", "momentum", "none"):
+        raise ValueError(f"unknown source of alpha: {alpha}")
+    bundle = signal_bundle(panel, alpha, window, halflife, skip)
+    if alpha == "ewma":
+        bundle = bundle.withColumn("alpha", F.col("alpha") * scale)
+    returns = simple_returns(panel)
+    mix = portfolio_trailing_vol(returns, weights, window).select("date", F.col("vol").alias("mix_vol"))
+    return bundle.join(mix, "date", "left"), covariance_tiles(returns, window)
+
+
 #: Named primitives, each DataFrame to DataFrame.
 PRIMITIVES: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f for f in (simple_returns, trailing_vol, ewma_return, momentum, vol_scaled_momentum, zscore, cross_sectional_rank, vol_ratio)

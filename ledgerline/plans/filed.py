@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans import tables as t
 from ledgerline.plans.queries import query, r6
-from ledgerline.sources import files
+from ledgerline.sources import files, panels
 
 
 @query("""SELECT substr(p_brand, 1, 7) AS file, p_brand AS series_id, DATE '2020-01-01' + p_size::INT AS date, round(max(p_retailprice) * 100)::BIGINT AS cents FROM part WHERE p_size <= 28 GROUP BY ALL""", days=("date",))
@@ -66,3 +66,22 @@ def read_records(spark, sf_dir):
     got = files.read_records(spark, path)
     kind = F.when(F.col("broken").isNull(), "whole").when(F.col("broken").contains("produced_by"), "no operator").otherwise("cut off")
     return r6(got.select(F.coalesce("record_id", F.regexp_extract("broken", r'"record_id": "(\d+)"', 1)).alias("record_id"), kind.alias("kind"), F.col("scores")["share"].alias("share")))
+
+
+@query(f"""WITH {t.segment_sql()} SELECT 'building' AS series_id, date, floor(value * 100)::BIGINT AS cents FROM seg WHERE series_id = 'BUILDING'""", days=("date",))
+def single_series(spark, sf_dir):
+    """One series written as CSV, rows without a date among its rows, read back as a panel."""
+    own = t.segment_panel(spark, sf_dir).where("series_id = 'BUILDING'").select(F.date_format("date", "yyyy-MM-dd").alias("Day"), F.floor(F.col("value") * 100).alias("Level"))
+    path = files.scratch_folder(spark, "series")
+    own.unionByName(own.select(F.lit("n/a").alias("Day"), F.col("Level"))).write.option("header", True).csv(path)
+    return panels.read_series(spark, path, "Day", "Level", "building").select("series_id", "date", F.col("value").cast("long").alias("cents"))
+
+
+@query("""WITH f AS (SELECT n_nationkey AS k, repeat(n_name || ' ', 1 + n_nationkey::INT * 3) AS text FROM nation) SELECT k, length(text) + 1 AS size, sha256(text || chr(10)) AS sha256, length(text) + 1 >= 200 AS accepted FROM f""")
+def file_catalogue(spark, sf_dir):
+    """Nations as files of different sizes, catalogued with size and digest; small ones are marked."""
+    nation = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.repeat(F.concat("n_name", F.lit(" ")), (1 + F.col("n_nationkey") * 3).cast("int")).alias("text"))
+    path = files.scratch_folder(spark, "catalogue")
+    nation.repartition("k").write.partitionBy("k").text(path)
+    found = panels.catalogue(spark, [path], "*.txt", least=200)
+    return found.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("int").alias("k"), F.col("size"), "sha256", "accepted")

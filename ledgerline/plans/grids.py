@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import portfolio, research, signals
 from ledgerline.plans import tables as t
-from ledgerline.plans.queries import _BRAND_E, _COV, _XS, ROOT, SPREAD, _configs, _rebalances, _win, account_sql, query, r6
+from ledgerline.plans.queries import _BRAND_E, _COV, _RET, _XS, ROOT, SPREAD, _configs, _rebalances, _win, account_sql, query, r6
 
 #: Two base configs and the values that each axis takes.
 BASES = (("inverse", "inverse_vol"), ("momentum", "ts_momentum"))
@@ -85,3 +85,17 @@ def configs_run(spark, sf_dir):
         F.transform(F.when(n % 4 > 0, F.sequence(F.lit(1), (n % 4).cast("int"))).otherwise(F.array().cast("array<int>")), reference).alias("references"),
     )
     return portfolio.configs_run(portfolio.fan_out(cards))
+
+
+_EW = "ewm AS (SELECT series_id, date, CASE WHEN k >= 13 THEN a / b * 21 END AS alpha FROM (SELECT series_id, date, sum(ret * pow(2::DOUBLE, n / 13::DOUBLE)) OVER w AS a, sum(CASE WHEN ret IS NOT NULL THEN pow(2::DOUBLE, n / 13::DOUBLE) END) OVER w AS b, count(ret) OVER w AS k FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) AS n FROM ret) WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING)))"
+_MIX = f"m AS (SELECT date, CASE WHEN count(ret) = 5 THEN sum(0.2::DOUBLE * ret) END AS r FROM ret GROUP BY date), mv AS (SELECT date, CASE WHEN count(r) OVER w = 26 THEN stddev_samp(r) OVER w * {ROOT} END AS mix_vol FROM m WINDOW w AS (ORDER BY date ROWS 25 PRECEDING))"
+
+
+@query(f"""WITH {t.segment_sql()}, {_RET.format("seg")}, {_EW}, {_MIX}, al AS (SELECT 'ewma' AS source, series_id, date, alpha FROM ewm UNION ALL SELECT 'momentum', series_id, date, lag(value, 2) OVER w / lag(value, 28) OVER w - 1 FROM seg WINDOW w AS (PARTITION BY series_id ORDER BY date) UNION ALL SELECT 'none', series_id, date, NULL FROM seg)
+    SELECT source, series_id, date, round(alpha, 6) AS alpha, round(mix_vol, 6) AS mix_vol FROM al LEFT JOIN mv USING (date)""", days=("date",))
+def signal_inputs(spark, sf_dir):
+    """The inputs of an allocator under each source of expected returns, with the vol of the fixed mix."""
+    panel = t.segment_panel(spark, sf_dir).persist()
+    weights = panel.select("series_id", F.lit(0.2).alias("weight")).distinct()
+    parts = [signals.signal_inputs(panel, weights, source, window=26, halflife=13, skip=2, scale=21.0)[0].select(F.lit(source).alias("source"), "series_id", "date", "alpha", "mix_vol") for source in ("ewma", "momentum", "none")]
+    return r6(parts[0].unionByName(parts[1]).unionByName(parts[2]))

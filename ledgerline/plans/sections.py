@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import card_rules, evidence, feasibility, rules
 from ledgerline.plans import tables as t
-from ledgerline.plans.queries import query
+from ledgerline.plans.queries import query, r6
 
 _INPUTS = ("book value of equity", "traded value per day", "closing prices", "promoter pledge share", "t-bill yields", "analyst breadth")
 
@@ -175,6 +175,34 @@ def flagged_facts(spark, sf_dir):
     return card_rules.flagged_facts(card_rules.card_facts(whole_cards(spark, sf_dir))).select("card_id", "label", "value", "flag", "place")
 
 
+#: The whole standard table on these cards: section, check, weight, where it applies, where it holds (never, where the field is not there or too short).
+_CHECKS = (
+    ("paper", "source file", 3, "true", "false"), ("paper", "digest of the source", 3, "true", "false"), ("paper", "authors", 1, "true", "false"), ("intent", "rationale", 2, "true", "false"), ("intent", "what transfers", 3, "k % 2 = 0", "false"), ("intent", "what breaks", 3, "k % 2 = 0", "false"),
+    ("intent", "numbers to replicate", 3, "k % 2 = 1", "k % 3 > 0"), ("universe", "translation", 3, "true", "k % 7 > 0"), ("universe", "source universe", 2, "k % 7 > 0", "false"), ("universe", "selection rule of the source", 2, "k % 7 > 0", "false"), ("universe", "argument for the target", 3, "k % 7 > 0", "false"),
+    ("universe", "risks of the transfer", 3, "k % 7 > 0", "false"), ("universe", "needs of the mechanism", 2, "k % 7 > 0", "true"), ("universe", "alternatives", 2, "k % 7 > 0", "false"), ("universe", "why not these", 2, "k % 7 > 0", "false"), ("universe", "page", 1, "k % 7 > 0", "false"), ("strategy", "reconstruction", 3, "true", "true"),
+    ("strategy", "signal", 3, "true", "false"), ("strategy", "inputs", 2, "true", "true"), ("strategy", "formation", 2, "true", "true"), ("strategy", "weighting", 2, "true", "true"), ("strategy", "constraints", 2, "true", "false"), ("strategy", "pages", 2, "true", "false"), ("strategy", "read with confidence", 1, "true", "k % 9 > 0"),
+    ("signal", "template", 3, "true", "false"), ("signal", "lookback", 2, "true", "false"), ("signal", "lag of a day or more", 3, "true", "false"), ("signal", "description", 1, "true", "false"), ("portfolio", "first day", 2, "true", "false"), ("portfolio", "cash stance of the mandate", 2, "true", "false"), ("costs", "own cost", 3, "true", "false"),
+    ("data", "requirements", 3, "true", "false"), ("data", "a purpose for each", 2, "true", "false"), ("ambiguities", "logged", 3, "true", "k % 4 = 3"), ("ambiguities", "all resolved", 3, "true", "k % 4 > 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.k = s.k AND i <= k % 4 AND (k + i) % 3 = 0)"), ("ambiguities", "some material", 2, "true", "k % 4 > 1"),
+    ("benchmarks", "free alternatives", 3, "true", "false"), ("honesty", "configs tried", 2, "true", "k % 10 > 0"), ("honesty", "notes", 1, "true", "false"), ("data plan", "designed", 3, "true", "k % 3 > 0"), ("data plan", "fields", 3, "k % 3 > 0", "k % 4 > 0"),
+    ("data plan", "granularity argued", 3, "k % 3 > 0", "k % 4 > 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.k = s.k AND i <= k % 4 AND (k + i) % 7 = 0)"), ("data plan", "history argued", 2, "k % 3 > 0", "false"), ("data plan", "adjustments", 2, "k % 3 > 0", "false"), ("data plan", "least set marked", 3, "k % 3 > 0", "k % 4 > 1"),
+    ("data plan", "rejected alternatives", 2, "k % 3 > 0", "k % 2 = 1"), ("data plan", "argument", 3, "k % 3 > 0", "false"), ("selection", "rule", 3, "true", "k % 8 > 0"), ("backtest plan", "plan", 3, "true", "k % 3 <> 1"), ("backtest plan", "window argued", 3, "k % 3 <> 1", "k % 9 <> 2"), ("backtest plan", "warm-up", 2, "k % 3 <> 1", "false"),
+    ("backtest plan", "weights", 3, "k % 3 <> 1", "k % 4 <> 2"), ("backtest plan", "reasons for benchmarks", 3, "k % 3 <> 1", "k % 2 = 1 AND k % 6 <> 3"), ("backtest plan", "what to beat", 2, "k % 3 <> 1", "false"), ("backtest plan", "failure defined", 3, "k % 3 <> 1", "k % 13 > 0"), ("asks", "open questions", 1, "true", "(k + 1) % 3 > 0"),
+    ("convertibility", "verdict", 3, "true", "k % 2 = 1"), ("convertibility", "chain", 2, "k % 2 = 1", "k % 4 = 3"), ("convertibility", "weakest link", 3, "k % 2 = 1", "k % 5 > 0"), ("convertibility", "decisive evidence", 3, "k % 2 = 1", "false"), ("convertibility", "worth of a null result", 2, "k % 2 = 1", "false"), ("convertibility", "capacity", 1, "k % 2 = 1", "false"),
+)
+_CHECKED = " UNION ALL ".join(f"SELECT card_id, '{section}' AS section, '{name}' AS name, {weight} AS weight, {holds} AS passed FROM s WHERE {where}" for section, name, weight, where, holds in _CHECKS)
+
+
+@query(f"WITH {_NUMBERED} {_CHECKED}")
+def whole_card_checks(spark, sf_dir):
+    """The whole table of completeness checks on cards with all sections."""
+    return rules.checked(whole_cards(spark, sf_dir)).withColumnRenamed("check", "name")
+
+
+@query(f"""WITH {_NUMBERED}, ck AS ({_CHECKED}) SELECT card_id, round(sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight), 6) AS score, coalesce(list_aggregate(list_sort(list(section || ': ' || name) FILTER (NOT passed AND weight = 3)), 'string_agg', '; '), '') AS gaps FROM ck GROUP BY 1""")
+def whole_card_scores(spark, sf_dir):
+    return r6(rules.completeness(whole_cards(spark, sf_dir)).withColumn("gaps", F.concat_ws("; ", "gaps")))
+
+
 #: Gate A on cards with all sections: criterion, whether it blocks, where it applies, where it holds.
 _GATE = (
     ("the universe is translated", True, "true", "k % 7 > 0"), ("the data set is designed", True, "true", "k % 3 > 0 AND k % 4 > 0"), ("alternatives were weighed", False, "k % 3 > 0", "k % 2 = 1"), ("the selection is a rule", True, "true", "k % 8 > 0"), ("the test is planned", True, "true", "k % 3 <> 1"),

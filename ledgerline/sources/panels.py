@@ -282,10 +282,12 @@ def lineage(steps: Sequence[tuple[str, DataFrame]]) -> list[dict]:
     return [{"step": name, "rows_before": n[i], "rows_after": n[i + 1]} for i, (name, _) in enumerate(steps[1:])]
 
 
-def catalogue(spark: SparkSession, folders: Sequence[str], pattern: str = "*.pdf", least: int = 1024) -> DataFrame:
-    """Files by pattern: path, slug, size and SHA-256; those under ``least`` bytes are marked."""
+def catalogue(spark: SparkSession, folders: Sequence[str], pattern: str = "*.pdf", least: int = 1024, strict: bool = False) -> DataFrame:
+    """Files by pattern: path, slug, size and SHA-256; those under ``least`` bytes are marked, or with ``strict`` refused."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(folders))
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    if strict:
+        refuse(files.where(F.col("length") < least).select("path"), f"files under {least} bytes")
     return files.dropDuplicates(["path"]).select(
         "path", F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "_").alias("slug"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.col("length") >= least).alias("accepted")
     )
