@@ -2,13 +2,13 @@
 
 Sets of a Jaccard similarity of p per cent differ in at most (100 - p) * (sizes) / (100 + p)
 n-grams.  Sizes fall into bands; a band's hash space is cut into more parts than two sets of its
-sizes can differ in, so similar sets agree in a whole part.  Documents of a band that agree in a
-part are a tile.  Sets that only share passages agree in no whole part, so tiles hold near copies,
-and few others, however common a passage is.
+sizes can differ in, so similar sets agree in a whole part.  Sets of a band that agree in a part
+have the least of them as a leader, and what has one leader is a tile.  Sets that only share
+passages agree in no whole part, so tiles hold near copies, and few others, however common a passage is.
 
-In a tile every set is compared with the tile's least first; what hangs together then needs no
-further comparison, and only where a tile holds several components its sets are compared across
-these, nearest ones first, large tiles split into pairs of smaller ones.  A comparison first bounds the overlap from
+In a tile every set is compared with the leader first; what hangs together then needs no further
+comparison, and only where a tile holds several components its sets are compared across these,
+nearest ones first, large tiles split into pairs of smaller ones.  A comparison first bounds the overlap from
 above: bitmaps hold the parity of a set's n-grams by hash, so where they differ in b bits the sets
 differ in b n-grams or more.  What passes has its sorted arrays intersected.  No pair of a tile is
 left out that could add a link between components, so none is lost.
@@ -32,8 +32,8 @@ from ledgerline.llm.simhash import components
 
 #: Part keys of the corpus for each range of keys; sets of a half of a split tile, and rows of tiles that one group works on.
 KEYS_A_SHARD, TILE, ROWS_A_GROUP = 1 << 21, 1024, 1 << 14
-#: Sizes of the least and largest bitmap, in bits; a set has about four times as many bits as n-grams.
-LEAST_BITS, MOST_BITS = 64, 1 << 18
+#: Sizes of the least and largest bitmap, in bits; a set has about eight times as many bits as n-grams.
+LEAST_BITS, MOST_BITS = 64, 1 << 19
 #: How often a set with many empty parts is dealt anew.
 DEALS = 4
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
@@ -122,8 +122,8 @@ def part_keys(s: np.ndarray, rule: Rule, bands: list[int]) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """The parity of the set's n-grams by hash, as bytes: about four times as many bits as n-grams, a power of two."""
-    bits = min(max(LEAST_BITS, 4 << max(len(s) - 1, 1).bit_length()), MOST_BITS)
+    """The parity of the set's n-grams by hash, as bytes: about eight times as many bits as n-grams, a power of two."""
+    bits = min(max(LEAST_BITS, 8 << max(len(s) - 1, 1).bit_length()), MOST_BITS)
     at = (t.mix64(s ^ _ODD[1]) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little")
 
@@ -230,12 +230,12 @@ def _meet(table: pa.Table) -> pa.Table:
     return t.rows_of(rows, t.REPLY_ARROW)
 
 
-_MET = "key long, node long, leader long"
+_MET = "leader long, node long"
 
 
 def _met(table: pa.Table, replies: pa.Table, n_shards: int) -> pa.Table:
-    """The block's sets in tiles of two or more: (key, set, least set of the tile)."""
-    out = [np.zeros(0, np.int64)] * 3
+    """The block's sets that share a key with others, with the least set that has it: distinct (leader, node)."""
+    out = np.zeros((2, 0), np.int64)
     if table.num_rows:
         k = _keys(table)
         at, shared, leader = t.shard_bounds(k.distinct, n_shards, 64), np.zeros(len(k.distinct), bool), np.zeros(len(k.distinct), np.int64)
@@ -245,8 +245,8 @@ def _met(table: pa.Table, replies: pa.Table, n_shards: int) -> pa.Table:
             leader[at[s] + np.flatnonzero(bits)] = np.frombuffer(sums[1], np.int64)
         place = np.searchsorted(k.distinct, k.key)
         chosen = np.flatnonzero(shared[place])
-        out = [k.key[chosen].view(np.int64), k.node[chosen], leader[place[chosen]]]
-    return pa.Table.from_arrays([pa.array(x) for x in out], ["key", "node", "leader"])
+        out = np.unique(np.stack([leader[place[chosen]], k.node[chosen]]), axis=1)
+    return pa.Table.from_arrays([pa.array(x) for x in out], ["leader", "node"])
 
 
 _MEMBER = "block long, doc_id long, n long, node long, check long"
@@ -322,7 +322,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return close.join(side("v", "items"), "v").join(side("u", "items"), "u").where(enough("items_u", "items_v")).select("u", "v")
 
 
-_PAIR = "u long, v long, root_u long, root_v long, unfinished long"
+_PAIR = "u long, v long, unfinished long"
 
 
 def _allowed(bits: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -330,32 +330,42 @@ def _allowed(bits: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndar
     low, high = np.minimum(n[first], n[second]), np.maximum(n[first], n[second])
     near = np.flatnonzero(100 * low >= rule.percent * high)
     first, second = first[near], second[near]
-    differ = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(bits[first[k : k + 4096]] ^ bits[second[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(first), 4096)]])
+    step = max(1, (1 << 22) // bits.shape[1])
+    differ = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(bits[first[k : k + step]] ^ bits[second[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(first), step)]])
     fine = can_be_alike(n[first], n[second], differ, rule.percent)
     return near[fine], differ[fine]
 
 
+def _nearest(first: np.ndarray, second: np.ndarray, differ: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Of the pairs (first, second) those that are, for one of their sets, the nearest to the other's component."""
+    each = np.stack([np.append(first, second), np.append(roots[second], roots[first]), np.tile(differ, 2), np.tile(np.arange(len(first)), 2)])
+    each = each[:, np.lexsort(each[[2, 1, 0]])]
+    lead = np.ones(each.shape[1], bool)
+    lead[1:] = (np.diff(each[0]) != 0) | (np.diff(each[1]) != 0)
+    return np.unique(each[3, lead])
+
+
 def _tile_pairs(table: pa.Table, rule: Rule, best: bool) -> pa.Table:
     """Pairs of tiles that lie in different components and that the bitmaps allow.
 
-    With ``best``, a tile with many such pairs gives only the pair of the fewest differing bits of
-    each set and other component, and its key as ``unfinished``.
+    With ``best``, a tile that has more such pairs than sets gives only the pair of the fewest
+    differing bits of each set and other component, and its leader as ``unfinished``.
     """
-    columns = {c: table[c].to_numpy() for c in ("key", "i", "j", "n", "node", "root", "half")}
-    order = np.lexsort([columns[c] for c in ("half", "j", "i", "key")])
-    key, i, j, n, node, root, half = (columns[c][order] for c in ("key", "i", "j", "n", "node", "root", "half"))
-    held, found, open_keys = table["bits"].to_pylist(), [np.zeros((4, 0), np.int64)], []
-    edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-    for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+    columns = {c: table[c].to_numpy() for c in ("leader", "i", "j", "n", "node", "root", "half")}
+    order = np.lexsort([columns[c] for c in ("half", "j", "i", "leader")])
+    leader, i, j, n, node, root, half = (columns[c][order] for c in ("leader", "i", "j", "n", "node", "root", "half"))
+    held, found, unfinished = table["bits"].to_pylist(), [np.zeros((2, 0), np.int64)], []
+    edge = np.flatnonzero((np.diff(leader) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(leader)], strict=True):
         roots, halves = root[begin:end], half[begin:end]
         if (roots == roots[0]).all():
             continue
         bits = [np.frombuffer(held[k], np.uint8) for k in order[begin:end]]
         size = min(map(len, bits))
         bits = np.stack([folded(b, size) for b in bits])
-        sizes, nodes, made = n[begin:end], node[begin:end], []
+        sizes, nodes, made = n[begin:end], node[begin:end], [np.zeros((3, 0), np.int64)]
         split = int(np.searchsorted(halves, j[begin])) if i[begin] != j[begin] else 0  # the first half's rows stand first
-        step = max(1, (1 << 16) // len(nodes))
+        step = max(1, (1 << 18) // len(nodes))
         for x in range(0, split or len(nodes), step):
             rows = np.arange(x, min(x + step, split or len(nodes)))
             first, second = np.nonzero((roots[rows][:, None] != roots[None, split:]) & (True if split else rows[:, None] < np.arange(len(nodes))[None, :]))
@@ -363,69 +373,65 @@ def _tile_pairs(table: pa.Table, rule: Rule, best: bool) -> pa.Table:
             at, differ = _allowed(bits, sizes, first, second, rule)
             made.append(np.stack([first[at], second[at], differ]))
         first, second, differ = np.concatenate(made, 1)
-        if best and len(first) > 4 * len(nodes):
-            open_keys.append(key[begin])
-            both = np.stack([np.append(first, second), np.append(roots[second], roots[first]), np.tile(differ, 2), np.tile(np.arange(len(first)), 2)])
-            both = both[:, np.lexsort(both[[2, 1, 0]])]
-            lead = np.flatnonzero((np.diff(both[0], prepend=-1) != 0) | (np.diff(both[1], prepend=both[1, 0] - 1) != 0))
-            at = np.unique(both[3, lead])
+        if best and len(first) > len(nodes):
+            at = _nearest(first, second, differ, roots)
+            if len(at) < len(first):
+                unfinished.append(leader[begin])
             first, second = first[at], second[at]
-        ends = np.stack([nodes[first], nodes[second], roots[first], roots[second]])
-        found.append(np.where(ends[1] < ends[0], ends[[1, 0, 3, 2]], ends))
-    out = np.concatenate(found, 1)
-    mark = pa.array([None] * out.shape[1] + open_keys, pa.int64())
-    none = pa.nulls(len(open_keys), pa.int64())
-    return pa.Table.from_arrays([*[pa.chunked_array([pa.array(c), none]).combine_chunks() for c in out], mark], [x.split()[0] for x in _PAIR.split(", ")])
+        found.append(np.sort(np.stack([nodes[first], nodes[second]]), axis=0))
+    u, v = np.unique(np.concatenate(found, 1), axis=1)
+    none = pa.nulls(len(unfinished), pa.int64())
+    ends = [pa.chunked_array([pa.array(c), none]).combine_chunks() for c in (u, v)]
+    return pa.Table.from_arrays([*ends, pa.array([None] * len(u) + unfinished, pa.int64())], [x.split()[0] for x in _PAIR.split(", ")])
 
 
-def _across(met: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, rule: Rule, best: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, keys): the distinct pairs (u, v), u < v, that share a tile, lie in different components, are allowed by the bitmaps and not tested; and the tiles that have more.
+def _across(tiles: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, rule: Rule, best: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs, leaders): the pairs (u, v), u < v, of ``tiles(leader, node)`` that lie in different components, are allowed by the bitmaps and not tested; and the tiles that have more.
 
-    Of tiles with the same sets one counts.  Tiles of more sets than ``TILE`` are dealt into halves,
-    and each two halves, and each half with itself, are a tile; many small tiles are one group of work.
+    Tiles of more sets than ``TILE`` are dealt into halves, and each two halves, and each half with
+    itself, are a tile; many small tiles are one group of work.
     """
-    tiles = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    alike = [F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s")]
-    sizes = tiles.groupBy("key").agg(F.count("*").alias("g"), F.min("root").alias("a"), F.max("root").alias("b"), *alike).where("a != b")
-    sizes = sizes.groupBy("g", "x", "s").agg(F.min("key").alias("key")).select("key", "g")
-    sized = t.cut(tiles.join(sizes, "key"), "open-tiles")
+    rooted_ = tiles.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted_.groupBy("leader").agg(F.count("*").alias("g"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("leader", "g")
+    sized = t.cut(rooted_.join(sizes, "leader"), "open-tiles")
     n_groups = max(1, sized.count() // ROWS_A_GROUP)
     halves = F.ceil(F.col("g") / TILE).cast("int")
     split = sized.withColumn("half", F.pmod(F.xxhash64("node"), halves).cast("int"))
-    split = split.select("key", "node", "root", "half", F.explode(F.sequence(F.lit(0), halves - 1)).alias("to")).select("key", "node", "root", "half", F.least("half", "to").alias("i"), F.greatest("half", "to").alias("j"))
-    split = split.join(sets.select("node", "n", "bits"), "node").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_groups)))
+    split = split.select("leader", "node", "root", "half", F.explode(F.sequence(F.lit(0), halves - 1)).alias("to")).select("leader", "node", "root", "half", F.least("half", "to").alias("i"), F.greatest("half", "to").alias("j"))
+    split = split.join(sets.select("node", "n", "bits"), "node").withColumn("group", F.pmod(F.xxhash64("leader", "i", "j"), F.lit(n_groups)))
     made = t.cut(split.groupBy("group").applyInArrow(lambda x: _tile_pairs(x, rule, best), _PAIR), "tile-pairs")
     pairs = t.cut(made.where("unfinished is null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs-across")
-    keys = t.cut(made.where("unfinished is not null").select(F.col("unfinished").alias("key")).distinct(), "unfinished-tiles")
+    leaders = t.cut(made.where("unfinished is not null").select(F.col("unfinished").alias("leader")).distinct(), "unfinished-tiles")
     t.discard(sized, made)
-    return pairs, keys
+    return pairs, leaders
 
 
 def linked(met: DataFrame, sets: DataFrame, rule: Rule, more: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the components that the alike sets of the tiles ``met(key, node, leader)`` form.
+    """(node, root) of the components that the alike sets of the tiles form.
 
-    First every set with the least of its tile, and the candidate pairs ``more(u, v)``; then all pairs
-    of tiles that lie across components and that the bitmaps allow, where a tile has very many only
-    the nearest of each set and other component; last, in these tiles, all that still lie across.
+    ``met(leader, node)``: sets that agree in a part with the leader, which is the least of those that
+    do; what agrees with one leader is a tile, so sets that agree in a part share one.  First every
+    set is compared with its leaders, and the candidate pairs ``more(u, v)`` are; then all pairs of
+    tiles that lie across components and that the bitmaps allow, where a tile has very many only the
+    nearest of each set and other component; last, in these tiles, all that still lie across.
     """
     led = met.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
     tested = t.cut((led if more is None else led.unionByName(more)).distinct(), "tested-pairs")
     edges = t.cut(_alike(tested, sets, rule), "alike-pairs")
-    roots, keys = components(edges), None
+    roots, leaders = components(edges), None
     for best in (True, False):
-        tiles = met if keys is None else met.join(keys, "key", "left_semi")
-        pairs, more_keys = _across(tiles, roots, tested, sets, rule, best)
+        tiles = met if leaders is None else met.join(leaders, "leader", "left_semi")
+        pairs, unfinished = _across(tiles, roots, tested, sets, rule, best)
         if not pairs.isEmpty():
             grown = t.cut(edges.unionByName(_alike(pairs, sets, rule)), "alike-pairs")
             both = t.cut(tested.unionByName(pairs), "tested-pairs")
             t.discard(edges, tested, roots)
             edges, tested, roots = grown, both, components(grown)
-        t.discard(pairs, *([keys] if keys is not None else []))
-        keys = more_keys
-        if keys.isEmpty():
+        t.discard(pairs, *([leaders] if leaders is not None else []))
+        leaders = unfinished
+        if leaders.isEmpty():
             break
-    t.discard(keys)
-    t.discard(tested, edges)
+    t.discard(tested, edges, leaders)
     return roots
 
 
@@ -446,7 +452,7 @@ def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int
     n_shards = max(1, n_keys // KEYS_A_SHARD)
     named = blocks.mapInArrow(t.as_batches(lambda b: _name_keys(b, n_shards)), t.REQUEST)
     replies = t.cut(t.by_shard(named, n_shards).applyInArrow(_meet, t.REPLY), "shared-keys")
-    met = t.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _met(a, b, n_shards), _MET), "tiles")
+    met = t.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _met(a, b, n_shards), _MET).distinct(), "tiles")
     t.discard(blocks, replies)
     pairs = more(members) if more else None
     nodes = met.select("node")
