@@ -102,7 +102,7 @@ def release(docs: DataFrame) -> None:
     """Delete held tables that ``docs`` does not read: what was made of them has been written by now."""
     if _HELD:
         read = docs.inputFiles()
-        gone = [x for x in _HELD if not any(x._scratch[0].split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") in f for f in read)]
+        gone = [x for x in _HELD if not any(x._scratch[0].rsplit("/", 1)[-1] in f for f in read)]  # folders have names of their own
         discard(*gone)
         _HELD[:] = [x for x in _HELD if not any(x is y for y in gone)]
 
