@@ -257,9 +257,10 @@ def bootstrap(daily: DataFrame, baseline: str, reps: int = 2000, block: int = 21
 def in_windows(daily: DataFrame, windows: DataFrame, least: int = 60) -> DataFrame:
     """CAGR, vol, Sharpe and drawdown per run in each window(label, lo, hi), both ends in; null under ``least`` rows.
 
-    ``windows`` are the few stated folds of a study; a row falls into each that holds it.
+    A row falls into each window that holds it; rows and windows meet by the years that a window touches.
     """
-    part = daily.join(F.broadcast(windows), (F.col("date") >= F.col("lo")) & (F.col("date") <= F.col("hi")))
+    touched = windows.select("label", "lo", "hi", F.explode(F.sequence(F.year("lo"), F.year("hi"))).alias("_year"))
+    part = daily.withColumn("_year", F.year("date")).join(touched, "_year").where((F.col("date") >= F.col("lo")) & (F.col("date") <= F.col("hi")))
     w = so_far("config_id", "label")
     part = part.withColumn("dd", F.col("nav") / F.max("nav").over(w) - 1)
     ok = F.count("*") >= least
