@@ -16,6 +16,7 @@ left out that could add a link between components, so none is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -61,9 +62,12 @@ class Rule(NamedTuple):
         while self.most_apart(out[-1] + self.most_partner(out[-1])) == 0 and out[-1] < 1 << 20:
             out[-1] += 1
         out[-1] -= 1  # up to here only equal sets are alike
+        # a band spans at most three partners' reach, and fewer where its smallest sets would leave parts empty
+        parts = 1.1 * (100 - self.percent) / (100 + self.percent) * (1 + 100 / self.percent)
+        steps = min(3, max(1, int(-math.log(2.5 * parts) / math.log(100 / self.percent)))) if parts and self.percent < 100 else 3
         while out[-1] < largest:
             n = out[-1]
-            for _ in range(3):
+            for _ in range(steps):
                 n = self.most_partner(n) + 1
             out.append(n)
         return out
@@ -266,8 +270,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SET = "node long, n long, bits binary, items binary"
 
 
-def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """(node, n, bits, items) of the sets named by ``nodes``, from the texts of one document each."""
+def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, text: str, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, n, bits, items) of the sets named by ``nodes``, from the texts of one document each; and the tables that this reads.
+
+    The sets are written once, dealt by node, so that joins on a node do not shuffle them.
+    """
     nodes = t.cut(nodes.distinct(), "wanted-sets")
     wanted = members.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     known = F.coalesce(F.col(doc_id).cast("long"), F.lit(t.NO_ID))
@@ -285,9 +292,9 @@ def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, te
                 columns = [[identity(s)[0] for s in sets], [len(s) for s in sets], [bitmap(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "bits", "items"])
 
-    out = t.cut(texts.mapInArrow(scan, _SET).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    t.discard(ids, nodes)
-    return out
+    held = t.cut(texts.mapInArrow(scan, _SET), "sets", bucket="node")
+    t.discard(ids)
+    return held.join(nodes, "node", "left_semi").dropDuplicates(["node"]), [held, nodes]
 
 
 @F.arrow_udf(LongType())
@@ -458,9 +465,9 @@ def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int
     nodes = met.select("node")
     if pairs is not None:
         nodes = nodes.unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node")))
-    sets = _sets(docs, members, nodes, doc_id, text, rule)
+    sets, held = _sets(docs, members, nodes, doc_id, text, rule)
     roots = linked(met, sets, rule, pairs)
-    t.discard(met, sets, *([pairs] if pairs is not None else []))
+    t.discard(met, *held, *([pairs] if pairs is not None else []))
     return members, roots
 
 
