@@ -2,9 +2,11 @@
 
 import datetime as dt
 import math
+import random
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +293,52 @@ def test_library_self_exclusion(spark):
     assert {r["query_id"]: r["total"] for r in library.trial_budget(lib, lib, prefix=4).collect()} == {"1": 1, "2": 1, "3": 0, "4": 0}
 
 
+def _library_rows():
+    rng = random.Random(3)
+    prints = [{f: (None if rng.random() < 0.05 else round(rng.uniform(-1, 1), 1)) for f in rng.sample("abcde", rng.randrange(6))} for _ in range(150)]
+    prints += [dict(prints[0]) for _ in range(30)] + [None, {}]
+    return [(str(i), f"card{i % 3}", None if i == 7 else f"c{i % 11}" if i < 100 else "often", m) for i, m in enumerate(prints)]
+
+
+def _alike(rows, threshold):
+    out = {}
+    for qid, _, _, q in rows:
+        for eid, _, _, e in rows:
+            both = [f for f in q or {} if (e or {}).get(f) is not None and q[f] is not None]
+            norm = sum(q[f] ** 2 for f in both) * sum(e[f] ** 2 for f in both) if both else 0
+            if qid != eid and len(both) >= max(2, len(q or {}) // 2) and norm > 0:
+                cosine = sum(q[f] * e[f] for f in both) / norm**0.5
+                if cosine >= threshold:
+                    out[qid, eid] = (cosine, len(both))
+    return out
+
+
+def test_library_tiles_find_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(library, "QUERIES", 40)
+    monkeypatch.setattr(library, "ENTRIES", 16)
+    rows = _library_rows()
+    lib = spark.createDataFrame(rows, "entry_id string, card_id string, card_fingerprint string, factor_fingerprint map<string,double>")
+    for threshold in (0.9001, 0.5001):
+        want = _alike(rows, threshold)
+        found = library.similar(lib, lib, threshold).collect()
+        assert len(found) == len(want) and {(r["query_id"], r["entry_id"]): r["shared"] for r in found} == {k: v[1] for k, v in want.items()}
+        first = {}
+        for (q, e), (cosine, _) in want.items():
+            first.setdefault(q, []).append((-round(cosine, 9), e))
+        best = library.top_similar(library.similar(lib, lib, threshold, best=3), 3).collect()
+        assert sorted((r["query_id"], r["place"], r["entry_id"]) for r in best) == sorted((q, i + 1, e) for q, x in first.items() for i, (_, e) in enumerate(sorted(x)[:3]))
+    assert library.similar(lib.limit(0), lib).count() == library.similar(lib, lib.limit(0)).count() == 0
+
+
+def test_library_pairs_leave_a_tile_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(library, "_tiled", lambda queries, entries, spread, made, *_: made)
+    fine = [{"key": "m", "value": 1.0}, {"key": "v", "value": 0.5}]
+    rows = pa.table({"asks": [True] * 600 + [False] * 2000, "id": [str(i) for i in range(2600)], "f": [fine] * 2600})
+    sizes = [b.num_rows for b in library.similar(None, None)(library._Tile(iter(rows.to_batches()), ["id"]))]
+    assert sum(sizes) == 600 * 2000 and max(sizes) <= library.CELLS
+    assert sum(b.num_rows for b in library.similar(None, None, best=10)(library._Tile(iter(rows.to_batches()), ["id"]))) == 6000
+
+
 def test_reconcile_treats_null_as_equal(spark):
     a = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.5)], "k int, v double")
