@@ -327,7 +327,10 @@ def test_library_tiles_find_what_brute_force_finds(spark, monkeypatch):
             first.setdefault(q, []).append((-round(cosine, 9), e))
         best = library.top_similar(library.similar(lib, lib, threshold, best=3), 3).collect()
         assert sorted((r["query_id"], r["place"], r["entry_id"]) for r in best) == sorted((q, i + 1, e) for q, x in first.items() for i, (_, e) in enumerate(sorted(x)[:3]))
-    assert library.similar(lib.limit(0), lib).count() == library.similar(lib, lib.limit(0)).count() == 0
+        config = {r[0]: r[2] for r in rows}
+        met = library.similar_configurations(lib, lib, threshold).collect()
+        assert sorted(map(tuple, met)) == sorted({(q, config[e]) for q, e in want if config[e] is not None})
+    assert library.similar(lib.limit(0), lib).count() == library.similar(lib, lib.limit(0)).count() == library.similar_configurations(lib, lib.limit(0)).count() == 0
 
 
 def test_library_pairs_leave_a_tile_in_bounded_pieces(monkeypatch):
