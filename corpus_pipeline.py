@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts linked by a 5-word-shingle similarity of 0.8 or more stays; no link is lost.
+    """One row of each group of texts stays that SimHash fingerprints within two bits, or a 5-word-shingle similarity of 0.8 or more, link; no link is lost.
 
     That of the least doc_id, of equal ones the first of the table; null and wordless texts are one group.
     """

@@ -17,7 +17,7 @@ left out that could add a link between components, so none is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +32,7 @@ from ledgerline.llm import _tools as t
 from ledgerline.llm.simhash import components
 
 #: Part keys of the corpus for each range of keys; sets of a half of a split tile, and rows of tiles that one group works on.
-KEYS_A_SHARD, TILE, ROWS_A_GROUP = 1 << 21, 1024, 1 << 14
+KEYS_A_SHARD, TILE, ROWS_A_GROUP = 1 << 19, 1024, 1 << 14
 #: Sizes of the least and largest bitmap, in bits; a set has about eight times as many bits as n-grams.
 LEAST_BITS, MOST_BITS = 64, 1 << 19
 #: How often a set with many empty parts is dealt anew.
@@ -413,17 +413,17 @@ def _across(tiles: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFra
     return pairs, leaders
 
 
-def linked(met: DataFrame, sets: DataFrame, rule: Rule, more: DataFrame | None = None) -> DataFrame:
+def linked(met: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the components that the alike sets of the tiles form.
 
     ``met(leader, node)``: sets that agree in a part with the leader, which is the least of those that
     do; what agrees with one leader is a tile, so sets that agree in a part share one.  First every
-    set is compared with its leaders, and the candidate pairs ``more(u, v)`` are; then all pairs of
-    tiles that lie across components and that the bitmaps allow, where a tile has very many only the
-    nearest of each set and other component; last, in these tiles, all that still lie across.
+    set is compared with its leaders; then all pairs of tiles that lie across components and that the
+    bitmaps allow, where a tile has very many only the nearest of each set and other component; last,
+    in these tiles, all that still lie across.
     """
     led = met.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    tested = t.cut((led if more is None else led.unionByName(more)).distinct(), "tested-pairs")
+    tested = t.cut(led.distinct(), "tested-pairs")
     edges = t.cut(_alike(tested, sets, rule), "alike-pairs")
     roots, leaders = components(edges), None
     for best in (True, False):
@@ -442,11 +442,8 @@ def linked(met: DataFrame, sets: DataFrame, rule: Rule, more: DataFrame | None =
     return roots
 
 
-def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int = 6 << 20, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, roots) of ``docs``: (block, doc_id, n, node, check) of every row, and (node, root) of the sets that link.
-
-    ``more`` makes further candidate pairs (u, v) of sets from the members.
-    """
+def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
+    """(members, roots) of ``docs``: (block, doc_id, n, node, check) of every row, and (node, root) of the sets that link."""
     while True:
         blocks = t.cut(_blocks(docs, doc_id, text, rule, block_bytes), "set-blocks", bucket="block")
         members = t.cut(blocks.mapInArrow(_members, _MEMBER), "set-members")
@@ -456,18 +453,14 @@ def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int
         t.discard(blocks, members)  # two sets share a number: hash anew
         rule = rule._replace(seed=rule.seed + 1)
     n_keys = blocks.agg(F.sum("n_keys")).first()[0] or 0  # one number, from which the number of ranges follows
-    n_shards = max(1, n_keys // KEYS_A_SHARD)
+    n_shards = max(1, math.ceil(n_keys / KEYS_A_SHARD))
     named = blocks.mapInArrow(t.as_batches(lambda b: _name_keys(b, n_shards)), t.REQUEST)
     replies = t.cut(t.by_shard(named, n_shards).applyInArrow(_meet, t.REPLY), "shared-keys")
     met = t.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _met(a, b, n_shards), _MET).distinct(), "tiles")
     t.discard(blocks, replies)
-    pairs = more(members) if more else None
-    nodes = met.select("node")
-    if pairs is not None:
-        nodes = nodes.unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node")))
-    sets, held = _sets(docs, members, nodes, doc_id, text, rule)
-    roots = linked(met, sets, rule, pairs)
-    t.discard(met, *held, *([pairs] if pairs is not None else []))
+    sets, held = _sets(docs, members, met.select("node"), doc_id, text, rule)
+    roots = linked(met, sets, rule)
+    t.discard(met, *held)
     return members, roots
 
 

@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerline.llm import similar
+from ledgerline.llm.simhash import simhash
 from tests.llm.fixtures import documents, empty
 
 
@@ -53,3 +56,23 @@ def test_each_row_is_judged_by_itself(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a), (1, b), (None, "x y"), (3, None), (0, "z")], key=str)
     assert similar.keep_one_similar(empty(spark)).count() == 0
     assert similar.keep_one_similar(documents(spark)).columns == documents(spark).columns
+
+
+def test_fingerprints_link_what_shingle_sets_do_not(spark):
+    pairs = {3: 212, 589: 6676, 385: 4738}  # within two bits, of a shingle similarity of 0.57 to 0.74
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin([*pairs, *pairs.values()]))
+    texts = dict(docs.select("doc_id", "text").collect())
+    for a, b in pairs.items():
+        assert (simhash(texts[a]) ^ simhash(texts[b])).bit_count() <= 2 and jaccard(texts[a].lower(), texts[b].lower()) < 0.8
+    assert {r["doc_id"] for r in similar.keep_one_similar(docs).collect()} == set(pairs)
+
+
+def test_links_of_both_kinds_make_one_group(spark):
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (589, 6676)")
+    texts = dict(docs.select("doc_id", "text").collect())
+    words = texts[6676].split()
+    words[len(words) // 2] = "changed"
+    data = [(5, texts[589]), (9, texts[6676]), (2, " ".join(words)), (7, "apart " + " ".join(text(rng))), (8, None), (4, " ")]
+    assert jaccard(data[1][1].lower(), data[2][1].lower()) >= 0.8 > jaccard(data[0][1].lower(), data[2][1].lower())
+    assert {r["doc_id"] for r in similar.keep_one_similar(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()} == {2, 4, 7}
