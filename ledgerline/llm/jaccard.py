@@ -35,6 +35,8 @@ from ledgerline.llm.simhash import components
 KEYS_A_SHARD, TILE, ROWS_A_GROUP = 1 << 19, 1024, 1 << 14
 #: Sizes of the least and largest bitmap, in bits; a set has about eight times as many bits as n-grams.
 LEAST_BITS, MOST_BITS = 64, 1 << 19
+#: Rows of a batch whose texts are Python strings at a time.
+SLICE = 256
 #: How often a set with many empty parts is dealt anew.
 DEALS = 4
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
@@ -172,17 +174,18 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, rule: Rule, block_bytes: in
             return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], [x.split()[0] for x in _BLOCK.split(", ")])
 
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                waiting.append(row)
-                size += len(row[1] or "") + 32
-                if size >= block_bytes:
-                    yield block()
-                    number, size = number + 1, 0
-                    waiting = []
+            for i in range(0, b.num_rows, SLICE):
+                for row in zip(*(b.column(c)[i : i + SLICE].to_pylist() for c in range(2)), strict=True):
+                    waiting.append(row)
+                    size += len(row[1] or "") + 32
+                    if size >= block_bytes:
+                        yield block()
+                        number, size = number + 1, 0
+                        waiting = []
         if waiting:
             yield block()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pack, _BLOCK)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(t.freeing_batches(pack), _BLOCK)
 
 
 class Keys(NamedTuple):
@@ -285,14 +288,14 @@ def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that one task reads are sent once
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                found = {identity(s)[0]: s for s in shingle_sets(b.column(0)[i : i + 256].to_pylist(), rule) if len(s)}
+            for i in range(0, b.num_rows, SLICE):
+                found = {identity(s)[0]: s for s in shingle_sets(b.column(0)[i : i + SLICE].to_pylist(), rule) if len(s)}
                 sets = [s for k, s in found.items() if k not in seen]
                 seen |= found.keys()
                 columns = [[identity(s)[0] for s in sets], [len(s) for s in sets], [bitmap(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "bits", "items"])
 
-    held = t.cut(texts.mapInArrow(scan, _SET), "sets", bucket="node")
+    held = t.cut(texts.mapInArrow(t.freeing_batches(scan), _SET), "sets", bucket="node")
     t.discard(ids)
     return held.join(nodes, "node", "left_semi").dropDuplicates(["node"]), [held, nodes]
 
@@ -309,7 +312,10 @@ def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the distinct ``pairs`` (u, v) whose sets are alike: the bitmaps' bound first, then exact intersections."""
+    """Those of the distinct ``pairs`` (u, v) whose sets are alike, as a table: the bitmaps' bound first, then exact intersections.
+
+    What the bitmaps leave is written in between: a task with both tests would have two Python workers, and Spark keeps them.
+    """
 
     @F.arrow_udf(BooleanType())
     def enough(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -326,7 +332,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     sized = pairs.join(side("v", "n", "bits"), "v").join(side("u", "n", "bits"), "u")
     close = sized.where(can_be_alike(F.col("n_u"), F.col("n_v"), F.lit(0), rule.percent) & (100 * F.least("n_u", "n_v") >= rule.percent * F.greatest("n_u", "n_v")))
     close = close.where((100 + rule.percent) * _differ("bits_u", "bits_v") <= (100 - rule.percent) * (F.col("n_u") + F.col("n_v"))).select("u", "v")
-    return close.join(side("v", "items"), "v").join(side("u", "items"), "u").where(enough("items_u", "items_v")).select("u", "v")
+    close = t.cut(close, "close-pairs")
+    out = t.cut(close.join(side("v", "items"), "v").join(side("u", "items"), "u").where(enough("items_u", "items_v")).select("u", "v"), "alike-pairs")
+    t.discard(close)
+    return out
 
 
 _PAIR = "u long, v long, unfinished long"
@@ -406,7 +415,7 @@ def _across(tiles: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFra
     split = sized.withColumn("half", F.pmod(F.xxhash64("node"), halves).cast("int"))
     split = split.select("leader", "node", "root", "half", F.explode(F.sequence(F.lit(0), halves - 1)).alias("to")).select("leader", "node", "root", "half", F.least("half", "to").alias("i"), F.greatest("half", "to").alias("j"))
     split = split.join(sets.select("node", "n", "bits"), "node").withColumn("group", F.pmod(F.xxhash64("leader", "i", "j"), F.lit(n_groups)))
-    made = t.cut(split.groupBy("group").applyInArrow(lambda x: _tile_pairs(x, rule, best), _PAIR), "tile-pairs")
+    made = t.cut(split.groupBy("group").applyInArrow(lambda x: t.freed(_tile_pairs(x, rule, best)), _PAIR), "tile-pairs")
     pairs = t.cut(made.where("unfinished is null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs-across")
     leaders = t.cut(made.where("unfinished is not null").select(F.col("unfinished").alias("leader")).distinct(), "unfinished-tiles")
     t.discard(sized, made)
@@ -424,15 +433,16 @@ def linked(met: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """
     led = met.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
     tested = t.cut(led.distinct(), "tested-pairs")
-    edges = t.cut(_alike(tested, sets, rule), "alike-pairs")
+    edges = _alike(tested, sets, rule)
     roots, leaders = components(edges), None
     for best in (True, False):
         tiles = met if leaders is None else met.join(leaders, "leader", "left_semi")
         pairs, unfinished = _across(tiles, roots, tested, sets, rule, best)
         if not pairs.isEmpty():
-            grown = t.cut(edges.unionByName(_alike(pairs, sets, rule)), "alike-pairs")
+            more = _alike(pairs, sets, rule)
+            grown = t.cut(edges.unionByName(more), "alike-pairs")
             both = t.cut(tested.unionByName(pairs), "tested-pairs")
-            t.discard(edges, tested, roots)
+            t.discard(edges, more, tested, roots)
             edges, tested, roots = grown, both, components(grown)
         t.discard(pairs, *([leaders] if leaders is not None else []))
         leaders = unfinished
@@ -454,9 +464,9 @@ def rooted(docs: DataFrame, rule: Rule, doc_id: str, text: str, block_bytes: int
         rule = rule._replace(seed=rule.seed + 1)
     n_keys = blocks.agg(F.sum("n_keys")).first()[0] or 0  # one number, from which the number of ranges follows
     n_shards = max(1, math.ceil(n_keys / KEYS_A_SHARD))
-    named = blocks.mapInArrow(t.as_batches(lambda b: _name_keys(b, n_shards)), t.REQUEST)
-    replies = t.cut(t.by_shard(named, n_shards).applyInArrow(_meet, t.REPLY), "shared-keys")
-    met = t.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _met(a, b, n_shards), _MET).distinct(), "tiles")
+    named = blocks.mapInArrow(t.as_batches(lambda b: t.freed(_name_keys(b, n_shards))), t.REQUEST)
+    replies = t.cut(t.by_shard(named, n_shards).applyInArrow(lambda x: t.freed(_meet(x)), t.REPLY), "shared-keys")
+    met = t.cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: t.freed(_met(a, b, n_shards)), _MET).distinct(), "tiles")
     t.discard(blocks, replies)
     sets, held = _sets(docs, members, met.select("node"), doc_id, text, rule)
     roots = linked(met, sets, rule)

@@ -1,11 +1,13 @@
 """The near-dedup stage against brute-force shingle similarity."""
 
 import random
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import similar
+from ledgerline.llm import _tools, similar
 from ledgerline.llm.simhash import simhash
 from tests.llm.fixtures import documents, empty
 
@@ -76,3 +78,39 @@ def test_links_of_both_kinds_make_one_group(spark):
     data = [(5, texts[589]), (9, texts[6676]), (2, " ".join(words)), (7, "apart " + " ".join(text(rng))), (8, None), (4, " ")]
     assert jaccard(data[1][1].lower(), data[2][1].lower()) >= 0.8 > jaccard(data[0][1].lower(), data[2][1].lower())
     assert {r["doc_id"] for r in similar.keep_one_similar(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()} == {2, 4, 7}
+
+
+def test_no_task_has_two_python_workers(spark, monkeypatch):
+    rng, plans, write = random.Random(3), {}, _tools.cut
+    words = [text(rng) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(changed(rng, words[i % 40], i // 40))) for i in range(120)], "doc_id long, text string")
+
+    def cut(df, name, bucket=None):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, bucket)
+
+    for module in (_tools, similar):
+        monkeypatch.setattr(module, "cut", cut)
+    assert similar.keep_one_similar(docs).count() == 40
+    assert {"set-blocks", "shared-keys", "sets", "alike-pairs"} <= plans.keys()
+    for name, made in plans.items():  # small joins are broadcast, so tests on pairs would stand in one task
+        for plan in made:
+            assert plan.count("ArrowEvalPython") <= 1, name
+
+
+def test_a_worker_gives_back_what_it_freed():
+    def held():
+        return sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Pss_Anon:")) // 1024
+
+    def work(batches):
+        arrays = [np.full(2000, i) for i in range(12_000)]  # 190 MB in pieces under the size that is mapped
+        yield arrays[-1].copy(), held()
+        del arrays
+
+    before = held()
+    kept = list(_tools.freeing_batches(work)(iter([])))
+    assert kept[0][1] > before + 150 and held() < before + 50
+    pieces = [np.zeros(2000) + i for i in range(12_000)]
+    last = pieces[-1]  # what stands last would keep the rest
+    del pieces
+    assert _tools.freed(last) is last and held() < before + 50
