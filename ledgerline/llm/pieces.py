@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding for merge-type vocabularies with byte fallback.
 
-A text is cut before each run of spaces; no piece crosses such a place, which is checked when the
-vocabulary is read.  Each part keeps an agenda of its adjacent symbol pairs ordered by the score
-of the piece they would make, and the best pair (the leftmost among equals) is merged until none
-is left.  Short parts advance together, one agenda step per part and round, in numpy; long ones
-use a heap.  Every Arrow batch is checked against the sentencepiece library.
+A text is cut before each run of spaces and where the vocabulary's letters meet other characters;
+no piece crosses such a place, which is checked when the vocabulary is read, so a text's ids are
+those of its parts in order.  Each part keeps an agenda of its adjacent symbol pairs ordered by the
+score of the piece they would make, and the best pair (the leftmost among equals) is merged until
+none is left.  Short parts advance together, one agenda step per part and round, in numpy; long ones
+use a heap.  Every part that a worker learns is checked against the sentencepiece library, and every
+text against what the library decodes from its ids.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -23,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = "▁"
-_PARTS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
+#: No vocabulary may hold it: what follows it in a text is encoded as if alone.
+_APART = "\n"
 _LONG = 64
-_CACHE = 600_000
+_KNOWN = 600_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -42,16 +46,21 @@ class MergeVocabulary:
         norm = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
             raise ValueError("a merge-type vocabulary with byte fallback, without normalization, is needed")
+        if any(p.type in (4, 5) for p in proto.pieces):
+            raise ValueError("user-defined and unused pieces are not supported")
         self.end = self.library.eos_id()
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.ids):
-            raise ValueError("pieces that cross words are not supported")
+        chars = sorted({c for p in self.ids for c in p})
+        letters = re.escape("".join(c for c in chars if c.isalpha()))
+        self.parts = re.compile(f"{_SPACE}*[{letters}]+|{_SPACE}*[^{letters}{_SPACE}]+|{_SPACE}+")
+        if any(len(self.parts.findall(p)) != 1 for p in self.ids) or _APART in chars:
+            raise ValueError("pieces that cross words, or letters and others, or lines are not supported")
+        self.apart = self.library.encode(_APART)
         score = {i: p.score for i, p in enumerate(proto.pieces)}
         # rank 0 is the best score; equal scores share a rank, so that the leftmost of them goes first
         order = {s: r for r, s in enumerate(sorted({score[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {i: order[score[i]] for i in self.ids.values()}
-        chars = sorted({c for p in self.ids for c in p})
         self.symbols = {c: self.ids.get(c, len(proto.pieces) + k) for k, c in enumerate(chars)}
         self.none = len(proto.pieces) + len(chars)
         size = self.none + 1
@@ -67,12 +76,17 @@ class MergeVocabulary:
         self.plain = np.zeros(size, bool)  # the symbols that are pieces
         self.plain[list(self.rank)] = True
         self.names = [str(i) for i in range(len(proto.pieces))]
-        self.shared = np.array(range(size), object)  # one int object per symbol, for all cached parts
+        self.shared = np.array(range(size), object)  # one int object per symbol, for all parts
         self.pairs = pd.Index(np.array(list(merges), np.int64))
         # one more place at the end answers for pairs that make no piece
         self.pair_ids = np.array([*merges.values(), 0], np.int32)
         self.pair_ranks = np.array([*(self.rank[i] for i in merges.values()), _NONE], np.int32)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No part is known: its number, and by number where its ids begin and how many there are."""
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)  # the next number for a new part
+        self.first, self.n_ids, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _finish(self, part: str, symbols: list[int], spans: list[int]) -> tuple[int, ...]:
         """Ids of the merged symbols; single characters outside the vocabulary become bytes."""
@@ -167,26 +181,41 @@ class MergeVocabulary:
         rank[:-1], into[:-1] = np.where(owner[:-1] == owner[1:], r, _NONE), m
         return rank, into
 
-    def learn(self, parts: set[str]) -> None:
-        """Encode the parts that the cache lacks."""
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        new = sorted(parts - self.cache.keys(), key=len)
+    def learn(self, check: bool) -> None:
+        """Encode the parts that have a number but no ids yet."""
+        new = sorted(islice(reversed(self.known), len(self.known) - len(self.first)), key=len)
+        ids: list[tuple[int, ...]] = []
         short = [p for p in new if len(p) <= _LONG]
         for k in range(0, len(short), 20_000):
-            some = short[k : k + 20_000]
-            self.cache.update(zip(some, self.together(some), strict=True))
-        for p in new[len(short) :]:
-            self.cache[p] = self.by_heap(p)
+            ids.extend(self.together(short[k : k + 20_000]))
+        ids.extend(map(self.by_heap, new[len(short) :]))
+        if check:
+            for p, mine, theirs in zip(new, ids, self.library.encode([_APART + p for p in new], num_threads=1), strict=True):
+                if [*self.apart, *mine] != theirs:
+                    raise ValueError(f"the library encodes {p!r} differently")
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new)) - len(self.first)
+        first, n_ids = np.empty_like(n), np.empty_like(n)
+        first[at], n_ids[at] = len(self.flat) + np.cumsum(n) - n, n
+        self.first, self.n_ids = np.append(self.first, first), np.append(self.n_ids, n_ids)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))
 
-    def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
+    def encode(self, texts: list[str], check: bool = True) -> list[tuple[str, list[int]]]:
         """(ids as text, ids) of each text, with the end id."""
-        cut = [_PARTS.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        out = []
-        for parts in cut:
-            ids = [*chain.from_iterable(map(self.cache.__getitem__, parts)), self.end]
+        if len(self.known) > _KNOWN:
+            self._forget()
+        cut = [self.parts.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
+        stops = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        parts = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(stops[-1]) if len(cut) else 0)
+        self.learn(check)
+        n = self.n_ids[parts]
+        ends = np.append(0, np.cumsum(n))
+        flat = self.flat[np.repeat(self.first[parts] - ends[:-1], n) + np.arange(ends[-1])]
+        out, a = [], 0
+        for z in ends[stops].tolist():
+            ids = [*flat[a:z].tolist(), self.end]
             out.append((" ".join(map(self.names.__getitem__, ids)), ids))
+            a = z
         return out
 
 
@@ -217,8 +246,8 @@ def encode_documents(docs: DataFrame, model_file: str, check: bool = True, outpu
     """(doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256) for every row.
 
     Ids are those of the library with an end id only; decoding is the library's.  ``check``
-    compares every text's ids with the library's own and stops at a difference.  Without
-    ``outputs`` the ids and decoded texts are null, and only their digests are returned.  Null
+    compares each distinct part's ids with the library's own where a worker learns it, and every
+    text with what its ids decode to, and stops at a difference.  Without ``outputs`` the ids and decoded texts are null, and only their digests are returned.  Null
     texts count as empty (one id, the end); repeated rows are encoded each; an empty table gives
     an empty table.
     """
@@ -229,12 +258,12 @@ def encode_documents(docs: DataFrame, model_file: str, check: bool = True, outpu
             doc_ids, all_texts = b.column(0), [x or "" for x in b.column(1).to_pylist()]
             for a, z in _slices(all_texts):
                 texts = all_texts[a:z]
-                got = v.encode(texts)
+                got = v.encode(texts, check)
                 ids = [x for _, x in got]
-                if check and (theirs := v.library.encode(texts, add_eos=True, num_threads=1)) != ids:
-                    k = next(i for i, (x, y) in enumerate(zip(ids, theirs, strict=True)) if x != y)
-                    raise ValueError(f"the library encodes document {doc_ids[a + k]} differently")
                 decoded = v.library.decode(ids, num_threads=1)
+                if check and (meant := [x.replace(_SPACE, " ") for x in texts]) != decoded:
+                    k = next(i for i, (x, y) in enumerate(zip(meant, decoded, strict=True)) if x != y)
+                    raise ValueError(f"the ids of document {doc_ids[a + k]} do not spell its text")
                 sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
                 columns = [
                     [len(x) for x in ids], ids if outputs else [None] * len(ids), [sha(x) for x, _ in got],

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -569,6 +570,68 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode_documents(empty(spark), vocabulary_file()).count() == 0
 
 
+def test_pieces_of_any_text_equal_the_library():
+    v = pieces.MergeVocabulary(vocabulary_file())
+    rng = random.Random(9)
+    anything = [chr(c) for c in rng.sample([*range(0xD800), *range(0xE000, 0x110000)], 3000)] + ["\ufffe", "\uffff", "\ufffd", "\ufeff"]
+    common = [*v.symbols, *" \n\t\x00'.,²1"]
+    texts = ["".join(rng.choice(common if rng.random() < 0.8 else anything) for _ in range(rng.randrange(60))) for _ in range(600)]
+    texts += ["don't,stop.\nNow!!", "x² ².", "</s><unk>", "▁▁ a▁", "", "\n\n", "the,the.the the"]
+    for text, (shown, ids) in zip(texts, v.encode(texts), strict=True):
+        assert ids == v.library.encode(text, add_eos=True) and shown == " ".join(map(str, ids))
+        assert v.library.decode(ids) == text.replace("▁", " ")
+    assert v.encode([""]) == [(str(v.end), [v.end])] and v.encode([]) == []
+
+
+def test_pieces_are_the_same_after_parts_are_forgotten(monkeypatch):
+    v = pieces.MergeVocabulary(vocabulary_file())
+    monkeypatch.setattr(pieces, "_KNOWN", 20)
+    for text in [*(f"part{i} the cat, {i} more" for i in range(40)), "a" * 100, "the cat"]:
+        assert v.encode([text, text])[1][1] == v.library.encode(text, add_eos=True)
+    assert len(v.known) < 40
+
+
+class _Frame:
+    """Gives back the function over batches that a table would be mapped by."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, work, schema):
+        return work
+
+
+def test_the_library_is_given_each_part_once(spark, monkeypatch):
+    v = pieces.MergeVocabulary(vocabulary_file())
+    library, given = v.library, []
+
+    class Library:
+        def encode(self, texts, **options):
+            given.extend(texts)
+            return library.encode(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    v.library = Library()
+    monkeypatch.setattr(pieces, "vocabulary", lambda _: v)
+    work = pieces.encode_documents(_Frame(), vocabulary_file())
+    texts = [f"The cat, the dog and 你好.\nThe end of {i % 3}! " * 50 for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "text": texts})
+    got = pa.Table.from_batches(work(iter([batch, batch])))
+    assert got["ids"].to_pylist() == [library.encode(x, add_eos=True) for x in texts] * 2
+    assert got["decoded"].to_pylist() == texts * 2
+    assert len(given) == len(set(given)) and sum(map(len, given)) < 200
+    # a part whose ids are wrong stops the task, and so do ids of another text
+    v._forget()
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="differently"):
+        m.setattr(v, "together", lambda parts: [(5,)] * len(parts))
+        list(work(iter([batch])))
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="document 0 do not spell"):
+        m.setattr(v, "encode", lambda texts, check: [("5", [5])] * len(texts))
+        list(work(iter([batch])))
+
+
 # -- 10 language model --------------------------------------------------------------------
 
 
