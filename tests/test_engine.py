@@ -342,6 +342,29 @@ def test_library_pairs_leave_a_tile_in_bounded_pieces(monkeypatch):
     assert sum(b.num_rows for b in library.similar(None, None, best=10)(library._Tile(iter(rows.to_batches()), ["id"]))) == 6000
 
 
+def test_library_writes_a_fingerprint_once_for_all_its_tiles(spark, monkeypatch):
+    monkeypatch.setattr(library, "QUERIES", 40)
+    monkeypatch.setattr(library, "ENTRIES", 8)
+    rows = _library_rows()
+    lib = panels.settled(spark.createDataFrame(rows, "entry_id string, card_id string, card_fingerprint string, factor_fingerprint map<string,double>"))
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    assert len(library.similar(lib, lib, 0.9001).collect()) == len(_alike(rows, 0.9001))
+    assert written() - before < 2.5 * len(rows)  # five parts of queries, 23 of entries
+
+
+def test_library_compares_maps_that_hold_no_null_with_others(spark):
+    lib = spark.createDataFrame([("1", {"m": 1.0, "v": 0.5, "q": None}), ("2", {"m": 1.0, "v": 0.4})], "entry_id string, factor_fingerprint map<string,double>")
+    asked = spark.range(3, 4).select(F.col("id").cast("string").alias("entry_id"), F.create_map(F.lit("m"), F.lit(2.0), F.lit("v"), F.lit(1.0)).alias("factor_fingerprint"))
+    assert {(r["query_id"], r["entry_id"], r["shared"]) for r in library.similar(asked, lib).collect()} == {("3", "1", 2), ("3", "2", 2)}
+
+
 def test_reconcile_treats_null_as_equal(spark):
     a = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.5)], "k int, v double")
